@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op6_language_id
+from .minhash import op9_minhash_dedup
 from .packing import op7_packing
 from .quality import op1_quality
 from .secrets import op8_secret_scan
@@ -14,7 +15,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_toxicity, op6_language_id, op7_packing, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op3_toxicity, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,13 +135,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than \\x20 and \\x09-\\x0D, A-Z lower-cased.
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes other than gaps (\\x20 and \\x09-\\x0D), A-Z lower-cased.
 
     Gives each word's hash, its start and end among the padded bytes, the first
     word of each row (n + 1) and the padded bytes."""
     flat, starts = padded(data, offsets)
-    inside = ~_SPACE[flat]
+    inside = ~gaps[flat]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     first, last = edge[::2], edge[1::2]
     return span_hash(prefix_hash(flat, True), first, last), first, last, np.searchsorted(first, starts), flat

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op4_decontamination
 from .embeddings import op5_embedding_dedup
 from .langid import op6_language_id
+from .maxent import op10_lm_scoring
 from .minhash import op9_minhash_dedup
 from .packing import op7_packing
 from .quality import op1_quality
@@ -17,7 +18,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

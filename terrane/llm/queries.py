@@ -14,11 +14,12 @@ from .minhash import op9_minhash_dedup
 from .packing import op7_packing
 from .quality import op1_quality
 from .secrets import op8_secret_scan
+from .substrings import op2_suffix_dedup
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.scalar import GRID_METRES_PER_DEGREE, Moments, axial_difference, direction_cosines, strike_to_dip_direction, turn, whole, with_spread
+from terrane.functions.scalar import GRID_METRES_PER_DEGREE, TINY, Moments, axial_difference, direction_cosines, strike_to_dip_direction, turn, whole, with_spread
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,8 @@ def grid_average(df: DataFrame, size: float = 1000.0, floor_bounds: bool = False
 def spherical_kent(df: DataFrame, size: float = 1000.0, floor_bounds: bool = False) -> DataFrame:
     """grid_average with concentration and ovalness; cells without a mean are dropped."""
     dip, direction = Moments.of().mean()
-    cells = with_spread(cell_moments(df, size, floor_bounds), Moments.of()).where(F.col("kappa").isNotNull())
+    cells = cell_moments(df, size, floor_bounds)
+    cells = with_spread(cells.where(Moments.of().resultant() >= TINY), Moments.of())  # a filter on kappa would be rewritten into all that makes it
     return cells.select(*_centre(df, size), whole(dip).alias("dip"), whole(direction).alias("dip_dir"), F.col("s_n").alias("n"), "kappa", "beta")
 
 

@@ -1 +1,118 @@
-ORACLE: dict[str, str] = {}
+"""The same queries in SQL, spelled out in arithmetic."""
+
+from __future__ import annotations
+
+from terrane.sources.fixtures import LINES_SQL, POINTS_SQL, POLYGONS_SQL
+
+P, L, G = f"with {POINTS_SQL}", f"with {LINES_SQL}", f"with {POLYGONS_SQL}"
+#: Steps of lines: consecutive vertices.
+STEPS = """steps as (select * from (select fid, v s, x x0, y y0, lead(x) over w x1, lead(y) over w y1, last_v from verts window w as (partition by fid order by v)) q where x1 is not null),
+lens as (select fid, sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))) len from steps group by fid)"""
+ENDS = """ends as (select fid, max(case when v = 0 then x end) ax, max(case when v = 0 then y end) ay, max(case when v = last_v then x end) bx, max(case when v = last_v then y end) by_, max(o_totalprice) price from verts group by fid),
+az as (select fid, case when ax = bx and ay = by_ then null else (degrees(atan2(bx-ax, by_-ay)) + 360e0) % 180e0 end endpt_az from ends)"""
+BINS = """b as (select cast(trunc(min(easting)) as bigint) minx, cast(trunc(max(easting)) as bigint)+1 maxx, cast(trunc(min(northing)) as bigint) miny, cast(trunc(max(northing)) as bigint)+1 maxy from points),
+cells as (select p.*, b.minx, b.miny, cast(floor((easting-minx)/5000e0) as bigint) cx, cast(floor((northing-miny)/5000e0) as bigint) cy,
+ sin(radians(dip))*sin(radians(dip_dir)) l, sin(radians(dip))*cos(radians(dip_dir)) m, cos(radians(dip)) z from points p, b where easting >= minx and easting < maxx and northing >= miny and northing < maxy),
+sums as (select cx, cy, minx, miny, count(*) n, sum(l) l, sum(m) m, sum(z) z, sqrt(sum(l)*sum(l)+sum(m)*sum(m)+sum(z)*sum(z)) r from cells group by all),
+means as (select cx, cy, cast(trunc(minx+(cx+0.5e0)*5000e0) as bigint) easting, cast(trunc(miny+(cy+0.5e0)*5000e0) as bigint) northing, n,
+ case when r >= 1e-12 then cast(trunc(round(90e0-degrees(asin(greatest(-1e0, least(1e0, z/r)))), 9)) as bigint) end dip,
+ case when r >= 1e-12 then cast(trunc(round((720e0+degrees(atan2(l/r, m/r))) % 360e0, 9)) as bigint) end dip_dir from sums)"""
+AREAS = "areas as (select fid, abs(sum(x0*y1-x1*y0))/2 area, sum(length) perimeter, max(strat1) strat1, max(strat2) strat2, max(lith) lith from segs group by fid)"
+PAIRS = "pairs as (select a.fid fid1, b.fid fid2, sum(a.length) shared from segs a join segs b on a.seg_key = b.seg_key and a.fid < b.fid group by all)"
+NET = """net as (select fid*2 line_id, x0, y0, x1, y1 from psteps where s = 0 and fid % 7 <> 0
+ union all select a.fid*2+1, a.x x0, a.y y0, b.x x1, b.y y1 from pverts a join pverts b on a.fid = b.fid and a.v = 0 and b.v = 3 where a.fid % 5 <> 0),
+nedges as (select x, y, x2, y2, max(line_id) line_id, max(sqrt((x-x2)*(x-x2)+(y-y2)*(y-y2))) length from (select line_id,
+ case when x0 < x1 or (x0 = x1 and y0 <= y1) then x0 else x1 end x, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y0 else y1 end y,
+ case when x0 < x1 or (x0 = x1 and y0 <= y1) then x1 else x0 end x2, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y1 else y0 end y2 from net) q group by x, y, x2, y2),
+nnodes as (select x, y, count(*) degree from (select x, y from nedges union all select x2, y2 from nedges) q group by x, y),
+ntypes as (select *, case when degree = 0 then 'I' when degree = 1 then 'Z' when degree = 2 then 'Y' else 'X' end node_type from nnodes)"""
+_NEAR = """segaz as (select fid seg_fid, s, x0, y0, x1, y1, (degrees(atan2(x1-x0, y1-y0))+360e0) % 180e0 azimuth from psteps),
+near as (select p.fid, p.dip_dir, g.seg_fid, g.s, g.azimuth, t.dist from points p join segaz g on least(x0,x1)-500 <= easting and greatest(x0,x1)+500 >= easting and least(y0,y1)-500 <= northing and greatest(y0,y1)+500 >= northing,
+ lateral (select greatest(0e0, least(1e0, ((easting-x0)*(x1-x0)+(northing-y0)*(y1-y0))/((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)))) k) u,
+ lateral (select sqrt((easting-(x0+k*(x1-x0)))*(easting-(x0+k*(x1-x0)))+(northing-(y0+k*(y1-y0)))*(northing-(y0+k*(y1-y0)))) dist) t where t.dist <= 500),
+best as (select * from (select *, row_number() over (partition by fid order by round(dist, 9), seg_fid, s) rn from near) q where rn = 1)"""
+_PROBES = """cum as (select fid, s, x0, y0, x1, y1, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) n from steps),
+cum2 as (select *, sum(n) over (partition by fid order by s) - n before, sum(n) over (partition by fid) total from cum),
+shares as (select * from (values ('p0', 0e0), ('p01', 0.01e0), ('p49', 0.49e0), ('p5', 0.5e0), ('p51', 0.51e0), ('p99', 0.99e0), ('p1', 1e0)) t(name, share)),
+spots as (select fid, name, x, y from (select fid, name, x0+(total*share-before)/n*(x1-x0) x, y0+(total*share-before)/n*(y1-y0) y, row_number() over (partition by fid, name order by s) rn
+ from cum2, shares where n > 0 and (before + n >= total*share or abs(before + n - total*share) < 1e-6)) q where rn = 1),
+pr as (select c.fid, t.location, c.x cx, c.y cy, b.x-a.x dx, b.y-a.y dy from (values ('start','p0','p0','p01'), ('midpoint','p5','p49','p51'), ('end','p1','p99','p1')) t(location, pc, pa, pb)
+ join spots c on c.name = t.pc join spots a on a.name = t.pa and a.fid = c.fid join spots b on b.name = t.pb and b.fid = c.fid),
+probes as (select fid, location, side, cx - k*dy/sqrt(dx*dx+dy*dy)*50 x, cy + k*dx/sqrt(dx*dx+dy*dy)*50 y from pr, (values ('side1', 1e0), ('side2', -1e0)) t(side, k) where dx*dx+dy*dy > 0)"""
+_UNITS = """boxes as (select fid, min(x) bx0, max(x) bx1, min(y) by0, max(y) by1 from pverts group by fid),
+inside as (select p.fid, location, side, min(b.fid) poly from probes p join boxes b on x >= bx0 and x <= bx1 and y >= by0 and y <= by1
+ where (select count(*) from psteps s where s.fid = b.fid and (s.y0 > p.y) <> (s.y1 > p.y) and p.x < s.x0 + (p.y-s.y0)*(s.x1-s.x0)/(s.y1-s.y0)) % 2 = 1 group by all),
+units as (select i.fid, location, side, strat1, strat2, lith from inside i join polys on polys.fid = i.poly),
+sides as (select fid, location, count(distinct side) n, max(case when side='side1' then strat1 end) a1, max(case when side='side2' then strat1 end) b1, max(case when side='side1' then strat2 end) a2,
+ max(case when side='side2' then strat2 end) b2, max(case when side='side1' then lith end) a3, max(case when side='side2' then lith end) b3 from units group by fid, location),
+levels as (select *, case when n < 2 then -1 when a3 <> b3 then 3 when a2 <> b2 then 2 when a1 <> b1 then 1 else 0 end offset_level from sides),
+ranked as (select *, row_number() over (partition by fid order by offset_level desc, location) rn from levels)"""
+_DESC = "case {} when -1 then 'Fault at edge of map' when 0 then 'No offset - same at all levels' when 1 then 'Offset at strat1 level (priority 1)' when 2 then 'Offset at strat2 level (priority 2)' when 3 then 'Offset at lith level (priority 3)' end"
+_QX = "cast(round_even(x/0.1e0, 0) as bigint) qx, cast(round_even(y/0.1e0, 0) as bigint) qy"
+
+ORACLE: dict[str, str] = {
+    "pt_setup_strike": f"{P} select fid, easting, northing, dip, (dip_dir + 270e0) % 360e0 dip_dir from points",
+    "pt_standardise": f"{P} select fid, easting, northing, dip, (dip_dir + 90e0) % 360e0 dip_dir from points where kind = 'click'",
+    "pt_cosines": f"{P} select fid, round(sin(radians(dip))*sin(radians(dip_dir)), 6)+0e0 l, round(sin(radians(dip))*cos(radians(dip_dir)), 6)+0e0 m, round(cos(radians(dip)), 6)+0e0 n, round(dip, 4) dip, round(dip_dir, 4) dip_dir from points where dip > 0",
+    "pt_bounds": f"{P}, {BINS} select * from b",
+    "pt_decimation": f"{P} select fid, easting, northing from (select *, row_number() over (order by fid) - 1 k from points) q where k % 5 = 0",
+    "pt_stochastic_exact": f"{P} select fid, easting, northing from (select *, row_number() over (order by ((fid+42)*48271) % 2147483647, fid) k, count(*) over () n from points) q where k <= round_even(n*0.3e0, 0)",
+    "pt_grid_average": f"{P}, {BINS} select easting, northing, dip, dip_dir, n from means",
+    "pt_first_order": f"{P}, {POLYGONS_SQL}, {_NEAR} select fid, round(dist, 6) distance, round(azimuth, 6) azimuth from best, lateral (select abs(azimuth - (dip_dir + 270e0) % 180e0) % 180e0 dd) t where least(dd, 180e0-dd) <= 15",
+    "pt_target_n_probe": f"""{P}, {BINS} select size, count(*) cells from (select distinct size, floor((easting-minx)/size) a, floor((northing-miny)/size) c from points, b, (values (2500e0), (5000e0), (10000e0), (20000e0)) t(size)
+ where easting >= minx and easting < maxx and northing >= miny and northing < maxy) q group by size""",
+    "tp_counts": f"""{P}, rs as (select unnest([0.9e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0, 0.4e0, 0.3e0, 0.2e0, 0.1e0]) ratio), k as (select kind, count(*) n from points group by kind)
+ select kind, n, ratio, cast(greatest(1, round_even(n*pow(ratio, 0.5e0), 0)) as bigint) points, cast(greatest(1, round_even(n*ratio, 0)) as bigint) lines, cast(greatest(1, round_even(n*pow(ratio, 1.5e0), 0)) as bigint) areas from k, rs""",
+    "tp_lines_length": f"{L}, {STEPS} select fid, round(len, 6) length from (select *, row_number() over (order by len desc, fid) k, count(*) over () n from lens) q where k <= round_even(n*0.1e0, 0)",
+    "tp_lines_graph": f"""{L}, {STEPS} select fid, coalesce(et, '') edge_type from (select *, row_number() over (order by case when et is null then 2 when et = 'X-X' then 0 when et = 'Z-Z' then 3 else 1 end, len desc, fid) k, count(*) over () n
+ from (select *, case fid % 4 when 0 then 'X-X' when 1 then 'Y-Z' when 2 then 'Z-Z' end et from lens) p) q where k <= round_even(n*0.3e0, 0)""",
+    "tp_lines_offset": f"{L}, {STEPS} select fid, mo max_offset from (select *, row_number() over (order by abs(mo) desc nulls last, len desc, fid) k, count(*) over () n from (select *, case when fid % 3 > 0 then fid % 7 - 3 end mo from lens) p) q where k <= round_even(n*0.2e0, 0)",
+    "tp_lines_clusters": f"{L}, {STEPS} select fid, cluster from (select *, row_number() over (order by size desc, len desc, fid) k from (select *, count(*) over (partition by cluster) size, count(*) over () n from (select *, cast(floor(sqrt(fid % 50)) as bigint) cluster from lens) p) o) q where k <= round_even(n*0.2e0, 0)",
+    "tp_points_scaled": f"""{P}, f as (select *, greatest(0.001e0, greatest(1, round_even(n*pow(0.1e0, 0.5e0), 0))/n) frac from (select count(*) n from points) q)
+ select fid, easting, northing from (select p.*, row_number() over (order by ((fid+42)*48271) % 2147483647, fid) k, round_even(n*frac, 0) want from points p, f) q where k <= want""",
+    "ln_length": f"{L}, {STEPS} select fid, round(len, 6) m, round(len*0.001e0, 6) km, round(len*3.28084e0, 4) ft, round(len*0.000621371e0, 6) mi from lens",
+    "ln_min_filter": f"{L}, {STEPS} select fid from lens where len >= 2000",
+    "ln_min_parts": f"{L}, {STEPS}, parts as (select fid, case when s = 0 then 0 else 1 end p, sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))) len from steps group by all) select fid, count(*) parts from parts where len >= 900 group by fid",
+    "ln_filter_statistics": f"""{L}, {STEPS} select count(*) original_count, count(*) filter (len >= 2000) filtered_count, count(*) filter (len < 2000) removed_count, round(sum(len), 2) original_length,
+ round(sum(len) filter (len >= 2000), 2) filtered_length, round(count(*) filter (len < 2000)*100e0/count(*), 6) removed_percent from lens""",
+    "ln_azimuth": f"{L}, {ENDS} select fid, round(endpt_az, 6) endpt_az from az",
+    "ln_explode_parts": f"{L} select fid, cast(p as bigint) part_no, count(*) vertices from (select fid, v, unnest(case when v = 1 then [0, 1] when v = 0 then [0] else [1] end) p from verts) q group by fid, p",
+    "cl_rose": f"{L}, {ENDS} select cast(least(floor(endpt_az/10), 17)*10 as bigint) bin_start, count(*) n, cast(least(floor(endpt_az/10), 17)*10 + 180 as bigint) opposite_start from az where endpt_az is not null group by all",
+    "net_edges": f"{G}, {NET} select x, y, x2, y2, line_id, round(length, 6) length from nedges",
+    "net_node_types": f"{G}, {NET} select x, y, degree, node_type from ntypes",
+    "net_edge_types": f"{G}, {NET} select least(a.node_type, b.node_type)||'-'||greatest(a.node_type, b.node_type) edge_type, count(*) n, round(sum(length), 3) length from nedges e join ntypes a on e.x = a.x and e.y = a.y join ntypes b on e.x2 = b.x and e.y2 = b.y group by 1",
+    "so_probe_points": f"{L}, {STEPS}, {_PROBES} select fid, location, side, round(x, 4) x, round(y, 4) y from probes",
+    "so_pip_join": f"""{G}, {POINTS_SQL}, boxes as (select fid, min(x) bx0, max(x) bx1, min(y) by0, max(y) by1 from pverts group by fid), q as (select fid pid, easting+0.25e0 px, northing+0.25e0 py from points)
+ select pid, b.fid from q join boxes b on px >= bx0 and px <= bx1 and py >= by0 and py <= by1 where (select count(*) from psteps s where s.fid = b.fid and (s.y0 > py) <> (s.y1 > py) and px < s.x0 + (py-s.y0)*(s.x1-s.x0)/(s.y1-s.y0)) % 2 = 1""",
+    "so_offset_level": f"""{L}, {STEPS}, {POLYGONS_SQL}, {_PROBES}, {_UNITS} select fid, location, cast(offset_level as integer) offset_level, case when n = 2 then concat_ws(',', a1, a2, a3) else '' end side1_units, case when n = 2 then concat_ws(',', b1, b2, b3) else '' end side2_units from levels""",
+    "so_fault_offsets": f"""{L}, {STEPS}, {POLYGONS_SQL}, {_PROBES}, {_UNITS} select fid, cast(max(offset_level) as integer) max_offset, max(location) filter (rn = 1) max_location, {_DESC.format('max(offset_level)')} max_description,
+ cast(max(offset_level) filter (location = 'start') as integer) start_offset, cast(max(offset_level) filter (location = 'midpoint') as integer) midpoint_offset, cast(max(offset_level) filter (location = 'end') as integer) end_offset from ranked group by fid""",
+    "so_fault_summary": f"{L}, {STEPS}, {POLYGONS_SQL}, {_PROBES}, {_UNITS} select cast(offset_level as integer) max_offset, location max_location, count(*) n from ranked where rn = 1 group by all",
+    "pg_area": f"{G}, {AREAS} select fid, round(area, 6) area from areas",
+    "pg_large": f"{G}, {AREAS} select fid from areas where area >= 5e6",
+    "pg_adjacency": f"{G}, {PAIRS} select fid1, fid2, round(shared, 6) shared from pairs",
+    "pg_merge_target": f"""{G}, {AREAS}, {PAIRS}, both_ as (select fid1 fid, fid2 nbr, shared from pairs union all select fid2, fid1, shared from pairs),
+ t as (select b.fid, nbr, shared, case when a.strat1 = n.strat1 then 0 when a.strat2 = n.strat2 then 1 when a.lith = n.lith then 2 else 3 end tier from both_ b join areas a on a.fid = b.fid join areas n on n.fid = b.nbr where a.area < 5e6)
+ select fid, nbr target, round(shared, 6) shared, case tier when 0 then 'same_strat1' when 1 then 'same_strat2' when 2 then 'same_lith' else 'fallback_boundary_length' end reason
+ from (select *, row_number() over (partition by fid order by tier, round(shared, 6) desc, nbr) rn from t) q where rn = 1""",
+    "pg_small_holes": f"""{G}, {AREAS} select fid, cast(0 as bigint) ring_no, round(area, 6) area from areas union all select fid, 1, 40000e0 from areas where fid % 100 = 0""",
+    "pg_triangle_areas": f"{G}, {AREAS} select fid, round(area, 3) area from areas",
+    "tz_junctions": f"""{G}, q as (select fid, v, {_QX} from pverts), nb as (select fid, v, qx, qy, lag(qx||','||qy) over w a, lead(qx||','||qy) over w b from q window w as (partition by fid order by v)),
+ firsts as (select * from (select *, row_number() over (partition by fid, qx, qy order by v) rn from nb) p where rn = 1)
+ select qx, qy from (select qx, qy, count(distinct case when a is null then b when b is null then a when a = b then a else least(a, b)||';'||greatest(a, b) end) k from firsts group by qx, qy) p where k > 1""",
+    "tz_shared_segments": f"{G} select seg_key, count(distinct fid) polygons, round(max(length), 6) length from segs group by seg_key",
+    "tz_exterior_vertices": f"""{G}, u as (select seg_key, count(distinct fid) n from segs group by seg_key), e as (select seg_key, x0 x, y0 y from segs union all select seg_key, x1, y1 from segs)
+ select qx, qy from (select {_QX}, n from e join u using (seg_key)) q group by qx, qy having max(n) = 1""",
+    "tz_box_vertices": f"{G}, b as (select min(x) a, max(x) b, min(y) c, max(y) d from pverts) select distinct {_QX} from pverts, b where abs(x-a) <= 0.1e0 or abs(x-b.b) <= 0.1e0 or abs(y-c) <= 0.1e0 or abs(y-d) <= 0.1e0",
+    "tz_thin_bodies": f"{G}, {AREAS} select fid, round(area, 6) area, round(perimeter, 6) perimeter from areas where 2*area/perimeter < 0.5e0*sqrt(5.2e6)",
+    "tz_contacts": f"""{G}, c as (select a.fid f1, b.fid f2, least(a.strat1, b.strat1) code_a, greatest(a.strat1, b.strat1) code_b, a.x0, a.y0, a.x1, a.y1, a.length from segs a join segs b on a.seg_key = b.seg_key and a.fid < b.fid and a.strat1 <> b.strat1),
+ firsts as (select * from (select code_a, code_b, f1, f2, row_number() over (partition by code_a, code_b order by f1, f2) rn from (select distinct code_a, code_b, f1, f2 from c) q) p where rn = 1),
+ own as (select c.* from c join firsts using (code_a, code_b, f1, f2)), mid as (select code_a, code_b, f1, f2, sum(length) length, sum(length*(x0+x1)/2)/sum(length) cx, sum(length*(y0+y1)/2)/sum(length) cy from own group by all),
+ e as (select distinct code_a, code_b, x, y from (select code_a, code_b, x0 x, y0 y from own union all select code_a, code_b, x1, y1 from own) q),
+ r as (select m.*, x, y, count(*) over (partition by code_a, code_b) vertices, row_number() over (partition by code_a, code_b order by round((x-cx)*(x-cx)+(y-cy)*(y-cy), 6), x, y) rn from e join mid m using (code_a, code_b))
+ select code_a, code_b, f1, f2, round(length, 6) length, vertices, x, y from r where rn = 1""",
+    "sv_decimate": f"{L} select fid, count(*) vertices, round(sum(x+y), 3) total from verts where v = 0 or v = last_v or v % greatest(least(2, (last_v+1)//2), 1) = 0 group by fid",
+    "sv_bend": f"""{L}, w as (select fid, v, last_v, x, y, lag(x) over o ax, lag(y) over o ay, lead(x) over o cx, lead(y) over o cy from verts window o as (partition by fid order by v)),
+ k as (select *, 4*pi()*abs((x-ax)*(cy-ay)-(cx-ax)*(y-ay))/2/pow(sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay))+sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y))+sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)), 2) c from w)
+ select fid, count(*) vertices, round(sum(x+y), 3) total from k where v = 0 or v = last_v or last_v < 3 or c >= 0.05e0 group by fid""",
+}

@@ -116,3 +116,43 @@ ORACLE: dict[str, str] = {
  k as (select *, 4*pi()*abs((x-ax)*(cy-ay)-(cx-ax)*(y-ay))/2/pow(sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay))+sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y))+sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)), 2) c from w)
  select fid, count(*) vertices, round(sum(x+y), 3) total from k where v = 0 or v = last_v or last_v < 3 or c >= 0.05e0 group by fid""",
 }
+
+_KENT = """m2 as (select cx, cy, count(*) n, sum(l) l, sum(m) m, sum(z) z, sum(l*l) ll, sum(m*m) mm, sum(z*z) zz, sum(l*m) lm, sum(l*z) lz, sum(m*z) mz from cells group by all),
+k1 as (select *, sqrt(l*l+m*m+z*z) r from m2), k2 as (select *, acos(greatest(-1e0, least(1e0, z/r))) t, case when abs(l/r) > 1e-12 then atan((m/r)/(l/r)) when m >= 0 then pi()/2 else -pi()/2 end p from k1 where r >= 1e-12),
+k3 as (select *, cos(t)*cos(p) a1, -sin(p) a2, sin(t)*cos(p) a3, cos(t)*sin(p) b1, cos(p) b2, sin(t)*sin(p) b3 from k2),
+k4 as (select *, (a1*a1*ll+a2*a2*mm+a3*a3*zz+2*a1*a2*lm+2*a1*a3*lz+2*a2*a3*mz)/n aa, (b1*b1*ll+b2*b2*mm+b3*b3*zz+2*b1*b2*lm+2*b1*b3*lz+2*b2*b3*mz)/n bb,
+ (a1*b1*ll+a2*b2*mm+a3*b3*zz+(a1*b2+a2*b1)*lm+(a1*b3+a3*b1)*lz+(a2*b3+a3*b2)*mz)/n ab from k3),
+k5 as (select *, case when abs(aa-bb) > 1e-12 then atan(2*ab/(aa-bb)) else 0e0 end w from k4), k6 as (select *, cos(w)*(aa-bb)+2*sin(w)*ab q from k5),
+k7 as (select *, case when abs(2-2*r-q) > 1e-12 then 1/(2-2*r-q) else 'inf'::double end i, case when abs(2-2*r+q) > 1e-12 then 1/(2-2*r+q) else 'inf'::double end j from k6),
+k8 as (select *, case when isnan(i+j) or i+j < 1e-6 then 1e-6 else i+j end kappa from k7),
+kent as (select cx, cy, n, kappa, case when isnan(i-j) then 0e0 else greatest(0e0, least((i-j)*0.5e0, kappa/2-1e-9)) end beta from k8)"""
+_CLUSTERS = """cs as (select fid, endpt_az, cos(radians(2*(endpt_az % 180e0))) x, sin(radians(2*(endpt_az % 180e0))) y from az),
+far as (select *, round((x-1)*(x-1)+y*y, 12) d0, round((x+0.5e0)*(x+0.5e0)+(y-0.8660254e0)*(y-0.8660254e0), 12) d1, round((x+0.5e0)*(x+0.5e0)+(y+0.8660254e0)*(y+0.8660254e0), 12) d2 from cs),
+labels as (select fid, endpt_az, case when endpt_az is null then null when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end cluster from far)"""
+_HEALTH = """f as (select * from segs), both_ as (select 0 part, * from f union all select 1, * from f where fid % 3 <> 0),
+c as (select a.part, a.fid f1, b.fid f2, least(a.strat1, b.strat1) code_a, greatest(a.strat1, b.strat1) code_b, a.x0, a.y0, a.x1, a.y1 from both_ a join both_ b on a.part = b.part and a.seg_key = b.seg_key and a.fid < b.fid and a.strat1 <> b.strat1),
+firsts as (select * from (select part, code_a, code_b, f1, f2, row_number() over (partition by part, code_a, code_b order by f1, f2) rn from (select distinct part, code_a, code_b, f1, f2 from c) q) p where rn = 1),
+own as (select c.* from c join firsts using (part, code_a, code_b, f1, f2)),
+vs as (select part, code_a, code_b, count(*) n from (select distinct part, code_a, code_b, x, y from (select part, code_a, code_b, x0 x, y0 y from own union all select part, code_a, code_b, x1, y1 from own) q) p group by all)"""
+
+ORACLE |= {
+    "pt_kent": f"{P}, {BINS}, {_KENT} select easting, northing, dip, dip_dir, means.n, round(kappa, 5)+0e0 kappa, round(beta, 5)+0e0 beta from means join kent using (cx, cy)",
+    "cl_assign": f"{L}, {ENDS}, {_CLUSTERS} select fid, cluster from labels",
+    "cl_stats": f"""{L}, {ENDS}, {_CLUSTERS} select cluster, count(*) n, round(stddev_pop(endpt_az), 4) std, round(min(endpt_az), 4) least, round(max(endpt_az), 4) most, round(count(*)*100e0/(select count(*) from labels where cluster is not null), 4) percentage
+ from labels where cluster is not null group by cluster""",
+    "tz_contact_health": f"""{G}, {_HEALTH} select a.code_a, a.code_b, case when b.n >= 3 then 'preserved' when b.n = 2 then 'minimal' when b.n = 1 then 'shape_lost' else 'boundary_diverged' end health
+ from (select * from vs where part = 0) a left join (select * from vs where part = 1) b on a.code_a = b.code_a and a.code_b = b.code_b""",
+    "tz_grid_snap": f"""{L}, q as (select fid, x/7 x, y/7 y, round_even(x/7, 2) rx, round_even(y/7, 2) ry from verts) select fid, bool_or(x <> rx or y <> ry) changed, round(sum(rx+ry), 2)+0e0 total from q group by fid""",
+    "tz_significance": f"""{G}, {NET}, nk as (select cast(cast(x as bigint) as varchar)||'|'||cast(cast(y as bigint) as varchar)||'|'||cast(cast(x2 as bigint) as varchar)||'|'||cast(cast(y2 as bigint) as varchar) seg_key from
+ (select case when x0 < x1 or (x0 = x1 and y0 <= y1) then x0 else x1 end x, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y0 else y1 end y, case when x0 < x1 or (x0 = x1 and y0 <= y1) then x1 else x0 end x2, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y1 else y0 end y2 from net) q),
+ n as (select seg_key, sum(p) p, sum(f) f from (select seg_key, 1 p, 0 f from segs union all select seg_key, 0, 1 from nk) q group by seg_key having sum(p)+sum(f) >= 2)
+ select case when p > 0 and f > 0 then 'fault_polygon' when p >= 2 then 'polygon_polygon' else 'other' end kind, count(*) segments from n group by 1""",
+    "tp_lines_chain": f"""{L}, {STEPS}, c as (select count(*) n from lens), n1 as (select round_even(n*0.75e0, 0) a, round_even(round_even(n*0.75e0, 0)*(0.5e0/0.75e0), 0) b from c),
+ k as (select fid, row_number() over (order by len desc, fid) k from lens) select 1e0 ratio, fid from k union all select 0.75e0, fid from k, n1 where k <= a union all select 0.5e0, fid from k, n1 where k <= b""",
+    "ln_merge_candidates": f"""{L}, e as (select a.fid, 'start' en, a.x, a.y, b.x ix, b.y iy, atan2(b.y-a.y, b.x-a.x) angle from verts a join verts b on a.fid = b.fid and a.v = 0 and b.v = 1
+ union all select a.fid, 'end', a.x, a.y, b.x, b.y, atan2(a.y-b.y, a.x-b.x) from verts a join verts b on a.fid = b.fid and a.v = a.last_v and b.v = a.last_v - 1),
+ p as (select a.fid fid1, a.en end1, b.fid fid2, b.en end2, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) distance, abs(a.angle-b.angle) d1, abs(a.angle-(b.angle+pi())) d2,
+ (a.ix-a.x)*(b.ix-b.x)+(a.iy-a.y)*(b.iy-b.y) dot, sqrt((a.ix-a.x)*(a.ix-a.x)+(a.iy-a.y)*(a.iy-a.y))*sqrt((b.ix-b.x)*(b.ix-b.x)+(b.iy-b.y)*(b.iy-b.y)) mag from e a join e b on a.fid < b.fid and abs(a.x-b.x) <= 200 and abs(a.y-b.y) <= 200),
+ q as (select *, degrees(least(least(d1, 2*pi()-d1), least(d2, 2*pi()-d2))) bend, case when mag > 0 then degrees(acos(greatest(-1e0, least(1e0, dot/mag)))) else 180e0 end joint from p where distance <= 200)
+ select fid1, end1, fid2, end2, round(distance, 6) distance, round(distance + bend/30*200 + (180-joint)/60*200, 4) score from q where bend <= 30 and joint >= 120""",
+}

@@ -26,8 +26,10 @@ from . import common
 POSITIONS, PATH_POSITIONS = 128, 64
 #: Independent trees, rows of a node compared exhaustively, levels, rows of a block in nodes left at the last level.
 TREES, SMALL, DEPTH, BLOCK = 16, 48, 5, 400
-#: Sketch bits of 128 that agree, at least: 3.9 deviations below the mean at similarity 0.8.
-AGREE = 102
+#: Sketch bits of 128 that agree, at least: 3.3 deviations below the mean at similarity 0.8.
+AGREE = 104
+#: Trees whose large nodes are compared before components are known, partners tried for a row that then stands apart.
+DENSE_TREES, WEAK = 3, 4
 
 _SALT = common.salts(41, POSITIONS)
 
@@ -100,109 +102,119 @@ def _children(node: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """rows: id, path and, below the roots, node; gives (node, id)."""
+    """rows: id, path and, below the roots, node and tree; gives (node, tree, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = common.column_of(batch, "id").to_numpy()
             path = np.frombuffer(b"".join(common.column_of(batch, "path").to_pylist()), np.uint16).reshape(-1, PATH_POSITIONS)
             if level == 0:
-                roots = common.salts(53, TREES)
-                node, at = np.tile(roots, len(ids)), np.repeat(np.arange(len(ids)), TREES)
+                node, tree, at = np.tile(common.salts(53, TREES), len(ids)), np.tile(np.arange(TREES, dtype=np.int32), len(ids)), np.repeat(np.arange(len(ids)), TREES)
             else:
-                node, at = common.column_of(batch, "node").to_numpy().view(np.uint64), np.arange(len(ids))
+                node, tree, at = common.column_of(batch, "node").to_numpy().view(np.uint64), common.column_of(batch, "tree").to_numpy(), np.arange(len(ids))
             back, child = _children(node, path[at])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[at][back])], ["node", "id"])
-
-    return rows.mapInArrow(run, "node long, id long")
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(len(a), len(b)) agreeing sketch bits; sketches are rows of +1 and -1."""
-    return (a @ b.T + POSITIONS) / 2
-
-
-def forest(agree: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Candidate edges of a block that hold its components together, strongest
-    first: the best partner of each row and of each column, and between the parts
-    that these leave, every row's best partner in each other part."""
-    m = np.where(agree >= AGREE, agree, 0.0)
-    m[rows[:, None] == cols[None, :]] = 0
-    edges = set()
-    label = {int(x): int(x) for x in [*rows, *cols]}
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    def add(i: int, j: int) -> None:
-        a, b = int(rows[i]), int(cols[j])
-        edges.add((min(a, b), max(a, b)))
-        if m[i, j] >= AGREE + 8:  # sure enough to count as joined
-            label[root(a)] = root(b)
-
-    for i in np.flatnonzero(m.max(1, initial=0) > 0):
-        add(i, int(m[i].argmax()))
-    for j in np.flatnonzero(m.max(0, initial=0) > 0):
-        add(int(m[:, j].argmax()), j)
-    while True:
-        r, c = np.array([root(int(x)) for x in rows]), np.array([root(int(x)) for x in cols])
-        apart = np.where(r[:, None] != c[None, :], m, 0)
-        strong = apart.max(1, initial=0)
-        pick = np.flatnonzero(strong >= AGREE + 8)
-        if not len(pick):
-            break
-        i = int(pick[0])
-        add(i, int(apart[i].argmax()))
-    parts = np.unique(c)
-    for p in parts[:BLOCK]:
-        own = np.where(c[None, :] == p, apart, 0)
-        for i in np.flatnonzero(own.max(1, initial=0) > 0):
-            add(i, int(own[i].argmax()))
-    return np.array(sorted(edges), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(tree[back]), pa.array(ids[at][back])], ["node", "tree", "id"])
+
+    return rows.mapInArrow(run, "node long, tree int, id long")
+
+
+def _bits(rows: pd.DataFrame) -> np.ndarray:
+    """Sketches as rows of +1 and -1."""
+    sketch = np.ascontiguousarray(rows[["s1", "s2"]].to_numpy(np.int64))
+    return np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def _strongest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j): for each row of a its `most` rows of b of greatest agreement, AGREE bits at least, among those that are apart."""
+    m = np.where(apart, (a @ b.T + POSITIONS) / 2, 0.0)
+    top = np.argsort(-m, axis=1, kind="stable")[:, :most]
+    i, k = np.nonzero(np.take_along_axis(m, top, 1) >= AGREE)
+    return i, top[i, k]
 
 
 def _dense(members: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes still large at the last level. A node's rows are
-    dealt to blocks by a hash of their id, and each pair of blocks is one group,
-    so no group exceeds a few BLOCK rows however large the node; a group returns
-    at most a forest of its candidates, not all pairs."""
+    """Of nodes still large at the last level, each row's best partner in each
+    pair of blocks. A node's rows are dealt to blocks by a hash of their id, and
+    each pair of blocks is one group, so no group exceeds a few BLOCK rows however
+    large the node, and what a group returns is no more than what it got."""
     sized = members.groupBy("node").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("node", "blocks")
     own = members.join(sized, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = own.select("node", "id", "s1", "s2", "block", other).select("node", "id", "s1", "s2", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
 
     def compare(key: tuple[int, int, int], rows: pd.DataFrame) -> pd.DataFrame:
-        _, a, b = key
         rows = rows.drop_duplicates("id").sort_values("id")
-        bits = np.unpackbits(rows[["s1", "s2"]].to_numpy(np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        left, right, ids = (rows["block"] == a).to_numpy(), (rows["block"] == b).to_numpy(), rows["id"].to_numpy()
-        found = forest(_agreement(bits[left], bits[right]), ids[left], ids[right]) if left.any() and right.any() else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        bits, ids = _bits(rows), rows["id"].to_numpy()
+        left, right = np.flatnonzero(rows["block"] == key[1]), np.flatnonzero(rows["block"] == key[2])
+        i, j = _strongest(bits[left], bits[right], ids[left][:, None] != ids[right][None, :], 1)
+        return pd.DataFrame({"a": np.minimum(ids[left][i], ids[right][j]), "b": np.maximum(ids[left][i], ids[right][j])})
 
     return paired.groupBy("node", "a", "b").applyInPandas(compare, "a long, b long")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of likely links among sets (id, s1, s2, path), one row per different set."""
+def _bridges(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of large nodes whose rows are not all joined yet: the WEAK best partners, in
+    other components, of each row outside the node's largest component. Joined rows are
+    never compared with each other again."""
+    labelled = members.join(labels, "id", "left").select("node", "id", "s1", "s2", F.coalesce("component", "id").alias("c"))
+    parts = labelled.groupBy("node", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    sized = main.select("node", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("minor"))
+    rows = common.materialize(labelled.join(sized, "node"), "minhash-bridges")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["node", "id", "s1", "s2", "c"]
+    small = rows.where("c <> main").select(*columns, place("minor").alias("a"), every("blocks").alias("b")).withColumn("minor", F.lit(True))
+    all_ = rows.select(*columns, every("minor").alias("a"), place("blocks").alias("b")).withColumn("minor", F.lit(False))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (part.drop_duplicates("id").sort_values("id") for part in (rows[rows["minor"]], rows[~rows["minor"]]))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        i, j = _strongest(_bits(x), _bits(y), x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :], WEAK)
+        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return small.union(all_).groupBy("node", "a", "b").applyInPandas(compare, "a long, b long")
+
+
+def branch(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees over sets (id, s1, s2, path), one row per different set: the pairs
+    a < b that small nodes find, with their agreeing bits, and the members (node, tree, id,
+    s1, s2) of nodes still large at the last level."""
     sketches = sets.select("id", "s1", "s2")
-    found, active = [], None
+    found, active, large = [], None, None
     for level in range(DEPTH):
         steered = sets.select("id", "path") if active is None else active.join(sets.select("id", "path"), "id")
         children = common.materialize(_branch(steered, level), "minhash-level").distinct()
         counts = children.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         members = common.materialize(children.join(counts, "node").join(sketches, "id"), "minhash-members")
-        small = members.where(F.col("n") <= SMALL).select("node", "id", "s1", "s2")
+        small = members.where(F.col("n") <= SMALL)
         left, right = small.select("node", F.col("id").alias("a"), "s1", "s2"), small.select("node", F.col("id").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= POSITIONS - AGREE
-        found.append(left.join(right.hint("merge"), "node").where((F.col("a") < F.col("b")) & near).select("a", "b"))
-        large = members.where(F.col("n") > SMALL)
-        if level + 1 == DEPTH:
-            found.append(_dense(large.select("node", "id", "s1", "s2")))
-        active = large.select("node", "id")
-    return reduce(DataFrame.union, found).distinct()
+        differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        found.append(left.join(right.hint("merge"), "node").where((F.col("a") < F.col("b")) & (differ <= POSITIONS - AGREE)).select("a", "b", (POSITIONS - differ).alias("agree")))
+        large = members.where(F.col("n") > SMALL).select("node", "tree", "id", "s1", "s2")
+        active = large.select("node", "tree", "id")
+    return common.materialize(reduce(DataFrame.union, found).distinct(), "minhash-pairs"), large
+
+
+def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join all that candidates join.
+
+    First every set's strongest candidates are confirmed, and in large nodes of a
+    few trees the best of each block. Of the other candidates only those between
+    different components can matter then, so a group of many near-copies costs
+    links in proportion to its size, not all its pairs."""
+    pairs, large = branch(sets)
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"))
+    first = common.materialize(best.union(_dense(large.where(F.col("tree") < DENSE_TREES).select("node", "id", "s1", "s2"))).distinct(), "minhash-first")
+    sure = common.materialize(verify(first, docs, k, percent), "minhash-links")
+    labels = common.materialize(common.connected_components(sure).withColumnRenamed("component", "c"), "minhash-labels")
+    a, b = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    rest = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    bridges = _bridges(large.select("node", "id", "s1", "s2"), labels.withColumnRenamed("c", "component"))
+    more = common.materialize(rest.union(bridges).distinct().join(first, ["a", "b"], "left_anti"), "minhash-rest")
+    return sure.union(common.materialize(verify(more, docs, k, percent), "minhash-links"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -241,9 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = sigs.where("n_shingles > 0")
     classes = common.materialize(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "s1", "s2", "path")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), "m.s1", "m.s2", "m.path"), "minhash-classes")
     sets = classes.select("id", "s1", "s2", "path").dropDuplicates(["id"])
-    pairs = common.materialize(candidates(sets), "minhash-pairs")
-    links = common.materialize(verify(pairs, docs, k, percent), "minhash-links")
-    components = common.connected_components(links)
+    components = common.connected_components(links(sets, docs, k, percent))
     of_class = classes.join(components, "id", "left").select("set_key", F.least("id", F.coalesce("component", "id")).alias("component_id"))
     out = sigs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

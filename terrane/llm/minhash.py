@@ -28,8 +28,8 @@ POSITIONS, PATH_POSITIONS = 128, 64
 TREES, SMALL, DEPTH, BLOCK = 16, 48, 5, 400
 #: Sketch bits of 128 that agree, at least: 3.3 deviations below the mean at similarity 0.8.
 AGREE = 104
-#: Trees whose large nodes are compared before components are known, partners tried for a row that then stands apart.
-DENSE_TREES, WEAK = 3, 4
+#: Trees whose large nodes are compared before components are known; shingles of a block of full sets.
+DENSE_TREES, MOST_WEIGHT = 3, 1_000_000
 
 _SALT = common.salts(41, POSITIONS)
 
@@ -124,62 +124,137 @@ def _bits(rows: pd.DataFrame) -> np.ndarray:
     return np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
-def _strongest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j): for each row of a its `most` rows of b of greatest agreement, AGREE bits at least, among those that are apart."""
-    m = np.where(apart, (a @ b.T + POSITIONS) / 2, 0.0)
-    top = np.argsort(-m, axis=1, kind="stable")[:, :most]
-    i, k = np.nonzero(np.take_along_axis(m, top, 1) >= AGREE)
-    return i, top[i, k]
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketch bits that each row of a has in common with each row of b."""
+    return (a @ b.T + POSITIONS) / 2
 
 
 def _dense(members: DataFrame) -> DataFrame:
-    """Of nodes still large at the last level, each row's best partner in each
-    pair of blocks. A node's rows are dealt to blocks by a hash of their id, and
-    each pair of blocks is one group, so no group exceeds a few BLOCK rows however
-    large the node, and what a group returns is no more than what it got."""
+    """Of nodes still large at the last level, each row's best partner in its own
+    block and in the node's first block, so that a node costs rows in proportion to its
+    size: a group is one block and the first, a row of which goes to every block."""
     sized = members.groupBy("node").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("node", "blocks")
     own = members.join(sized, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = own.select("node", "id", "s1", "s2", "block", other).select("node", "id", "s1", "s2", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
+    meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = own.select("node", "id", "s1", "s2", "block", F.explode(meets).alias("at"))
 
-    def compare(key: tuple[int, int, int], rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sort_values("id")
         bits, ids = _bits(rows), rows["id"].to_numpy()
-        left, right = np.flatnonzero(rows["block"] == key[1]), np.flatnonzero(rows["block"] == key[2])
-        i, j = _strongest(bits[left], bits[right], ids[left][:, None] != ids[right][None, :], 1)
-        return pd.DataFrame({"a": np.minimum(ids[left][i], ids[right][j]), "b": np.maximum(ids[left][i], ids[right][j])})
-
-    return paired.groupBy("node", "a", "b").applyInPandas(compare, "a long, b long")
-
-
-def _bridges(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of large nodes whose rows are not all joined yet: the WEAK best partners, in
-    other components, of each row outside the node's largest component. Joined rows are
-    never compared with each other again."""
-    labelled = members.join(labels, "id", "left").select("node", "id", "s1", "s2", F.coalesce("component", "id").alias("c"))
-    parts = labelled.groupBy("node", "c").agg(F.count("*").alias("n"))
-    main = parts.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-    sized = main.select("node", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("minor"))
-    rows = common.materialize(labelled.join(sized, "node"), "minhash-bridges")
+        left = np.flatnonzero(rows["block"] == key[1])
+        found = []
+        for right in {key[1], 0}:
+            right = np.flatnonzero(rows["block"] == right)
+            if len(left) and len(right):
+                m = np.where(ids[left][:, None] != ids[right][None, :], _agree(bits[left], bits[right]), 0)
+                best = m.argmax(1)
+                i = np.flatnonzero(m[np.arange(len(left)), best] >= AGREE)
+                found.append((ids[left][i], ids[right][best[i]]))
+        p, q = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return dealt.groupBy("node", "at").applyInPandas(compare, "a long, b long")
+
+
+def _forest(label: np.ndarray, touches: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (row, its partners), those of a spanning forest over rows already joined where labels are equal."""
+    label, found = label.copy(), []
+    for i, partners in touches:
+        partners = partners[label[partners] != label[i]]
+        for j in partners[np.unique(label[partners], return_index=True)[1]]:
+            found.append((i, j))
+            label[label == label[j]] = label[i]
+    p = np.array(found, np.int64).reshape(-1, 2)
+    return p[:, 0], p[:, 1]
+
+
+def _outside(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows (key, id, c, weight, ...) dealt to groups (key, at, with) so that each row
+    outside its key's largest component c meets each row of the key in one group.
+
+    Rows of the largest component never meet each other, and keys of one component
+    vanish. A group has two blocks, each of about BLOCK rows and MOST_WEIGHT at most on
+    average, however large the key."""
+    rows = common.materialize(rows, name)
+    parts = rows.groupBy(key, "c").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    top = parts.groupBy(key).agg(F.max(F.struct("n", "c", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > m.n")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / MOST_WEIGHT), F.lit(1)).cast("int")
+    sized = top.select(key, F.col("m.c").alias("main"), blocks(F.col("n"), F.col("w")).alias("all"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("few"))
+    held = rows.join(sized, key)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    columns = ["node", "id", "s1", "s2", "c"]
-    small = rows.where("c <> main").select(*columns, place("minor").alias("a"), every("blocks").alias("b")).withColumn("minor", F.lit(True))
-    all_ = rows.select(*columns, every("minor").alias("a"), place("blocks").alias("b")).withColumn("minor", F.lit(False))
+    asks = held.where("c <> main").select(*rows.columns, place("few").alias("at"), every("all").alias("with"), F.lit(True).alias("asks"))
+    return asks.union(held.select(*rows.columns, every("few").alias("at"), place("all").alias("with"), F.lit(False).alias("asks")))
+
+
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's different rows, the places of those that ask and are asked, and every row's component as a small number."""
+    asks, asked = rows.loc[rows["asks"], "id"], rows.loc[~rows["asks"], "id"]
+    rows = rows.drop_duplicates("id").sort_values("id")
+    return rows, np.flatnonzero(rows["id"].isin(asks)), np.flatnonzero(rows["id"].isin(asked)), np.unique(rows["c"].to_numpy(), return_inverse=True)[1]
+
+
+def _clusters(members: DataFrame) -> DataFrame:
+    """(c, cluster): components that candidates in large nodes hold together.
+
+    members: node, id, s1, s2, c. Every candidate pair of a node (AGREE bits, different
+    components) is looked at; a group returns a spanning forest of its candidates."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = (part.drop_duplicates("id").sort_values("id") for part in (rows[rows["minor"]], rows[~rows["minor"]]))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        i, j = _strongest(_bits(x), _bits(y), x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :], WEAK)
-        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        rows, left, right, label = _sides(rows)
+        near = _agree(_bits(rows.iloc[left]), _bits(rows.iloc[right])) >= AGREE
+        i, j = _forest(label, ((x, right[near[n]]) for n, x in enumerate(left)))
+        c = rows["c"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j])})
+
+    dealt = _outside(members.withColumn("weight", F.lit(0)), "node", "minhash-nodes")
+    found = common.connected_components(dealt.groupBy("node", "at", "with").applyInPandas(compare, "a long, b long"), "minhash-clusters")
+    return common.materialize(found.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "minhash-clusters")
 
-    return small.union(all_).groupBy("node", "a", "b").applyInPandas(compare, "a long, b long")
+
+def _bridges(sets: DataFrame, labels: DataFrame, clusters: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between components of a cluster. Candidates are compared
+    on full sets within groups; a group returns a spanning forest of its links."""
+    rows = sets.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")).join(clusters, "c")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = common.column_of(batch, "doc_id")
+            for lo, hi, data, offsets in common.slices(common.column_of(batch, "text")):
+                hashes, _, _, firsts, _ = common.words(data, offsets)
+                held = [shingles(hashes[firsts[i] : firsts[i + 1]], k).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(held, pa.binary())], ["id", "held"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, left, right, label = _sides(rows)
+        near = _agree(_bits(rows.iloc[left]), _bits(rows.iloc[right])) >= AGREE
+        held = [np.frombuffer(x, np.uint64) for x in rows["held"]]
+        size, at = np.array([len(x) for x in held]), np.concatenate(([0], np.cumsum([len(x) for x in held])))
+        word = np.unique(np.concatenate(held), return_inverse=True)[1] if len(held) else np.zeros(0, np.int64)
+        inside = np.zeros(len(word) + 1, bool)
+
+        def linked() -> Iterator[tuple[int, np.ndarray]]:
+            for n, x in enumerate(left):
+                others = right[near[n]]
+                others = others[label[others] != label[x]]
+                if len(others):
+                    mine = word[at[x] : at[x + 1]]
+                    inside[mine] = True
+                    both = np.array([np.count_nonzero(inside[word[at[y] : at[y + 1]]]) for y in others])
+                    inside[mine] = False
+                    yield x, others[100 * both >= percent * (size[x] + size[others] - both)]
+
+        i, j = _forest(label, linked())
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    held = common.texts(docs).join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full, "id long, held binary")
+    dealt = _outside(rows.select("cluster", "id", "c", "s1", "s2", F.col("n_shingles").alias("weight")).join(held, "id"), "cluster", "minhash-bridges")
+    return dealt.groupBy("cluster", "at", "with").applyInPandas(compare, "a long, b long")
 
 
 def branch(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trees over sets (id, s1, s2, path), one row per different set: the pairs
+    """Trees over sets (id, s1, s2, path, n_shingles), one row per different set: the pairs
     a < b that small nodes find, with their agreeing bits, and the members (node, tree, id,
     s1, s2) of nodes still large at the last level."""
     sketches = sets.select("id", "s1", "s2")
@@ -201,10 +276,10 @@ def branch(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that join all that candidates join.
 
-    First every set's strongest candidates are confirmed, and in large nodes of a
-    few trees the best of each block. Of the other candidates only those between
-    different components can matter then, so a group of many near-copies costs
-    links in proportion to its size, not all its pairs."""
+    First every set's strongest candidates are confirmed, and in large nodes of a few
+    trees the best in two blocks. Of the other candidates only those between different
+    components can matter then: pairs of small nodes are confirmed one by one, large
+    nodes are compared by clusters of components, every candidate on full sets."""
     pairs, large = branch(sets)
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"))
     first = common.materialize(best.union(_dense(large.where(F.col("tree") < DENSE_TREES).select("node", "id", "s1", "s2"))).distinct(), "minhash-first")
@@ -212,9 +287,11 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     labels = common.materialize(common.connected_components(sure).withColumnRenamed("component", "c"), "minhash-labels")
     a, b = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
     rest = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    bridges = _bridges(large.select("node", "id", "s1", "s2"), labels.withColumnRenamed("c", "component"))
-    more = common.materialize(rest.union(bridges).distinct().join(first, ["a", "b"], "left_anti"), "minhash-rest")
-    return sure.union(common.materialize(verify(more, docs, k, percent), "minhash-links"))
+    more = sure.union(common.materialize(verify(rest.join(first, ["a", "b"], "left_anti"), docs, k, percent), "minhash-links"))
+    if not large.take(1):
+        return more
+    clusters = _clusters(large.select("node", "id", "s1", "s2").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    return more.union(common.materialize(_bridges(sets, labels, clusters, docs, k, percent), "minhash-links"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -251,8 +328,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     count as that id. Empty tables: an empty result."""
     sigs = common.materialize(signatures(docs, k), "minhash-signatures")
     full = sigs.where("n_shingles > 0")
-    classes = common.materialize(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "s1", "s2", "path")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), "m.s1", "m.s2", "m.path"), "minhash-classes")
-    sets = classes.select("id", "s1", "s2", "path").dropDuplicates(["id"])
+    classes = common.materialize(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "s1", "s2", "path", "n_shingles")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), "m.s1", "m.s2", "m.path", "m.n_shingles"), "minhash-classes")
+    sets = classes.select("id", "s1", "s2", "path", "n_shingles").dropDuplicates(["id"])
     components = common.connected_components(links(sets, docs, k, percent))
     of_class = classes.join(components, "id", "left").select("set_key", F.least("id", F.coalesce("component", "id")).alias("component_id"))
     out = sigs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -318,6 +318,37 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return with_a.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """What names a row: its id, or if that is null a hash of its text, which equal texts share."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, named (whether the key is an id), n_shingles, component_id, kept for every row of docs."""
+    rows = common.texts(docs)
+    unnamed = rows.where("doc_id is null")
+    some = bool(unnamed.take(1))
+    found = signatures(rows.where("doc_id is not null") if some else rows, k).withColumn("named", F.lit(True))
+    if some:
+        unnamed = unnamed.select(_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+        found = found.union(signatures(unnamed, k).withColumn("named", F.lit(False)))
+        rows = rows.where("doc_id is not null").union(unnamed.dropDuplicates(["doc_id"]))
+    sigs = common.materialize(found, "minhash-signatures")
+    full = sigs.where("n_shingles > 0")
+    classes = common.materialize(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "s1", "s2", "path", "n_shingles")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), "m.s1", "m.s2", "m.path", "m.n_shingles"), "minhash-classes")
+    sets = classes.select("id", "s1", "s2", "path", "n_shingles").dropDuplicates(["id"])
+    components = common.connected_components(links(sets, rows, k, percent))
+    of_class = classes.join(components, "id", "left").select("set_key", F.least("id", F.coalesce("component", "id")).alias("c"))
+    out = sigs.join(of_class, "set_key", "left").select(F.col("doc_id").alias("key"), "named", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("c"))
+    if not some:
+        return out.select("key", "named", "n_shingles", F.col("c").alias("component_id"), (F.col("key") == F.col("c")).alias("kept"))
+    # groups with unnamed rows go by their smallest id, if they have one
+    out = common.materialize(out, "minhash-groups")
+    mixed = out.groupBy("c").agg(F.min(F.when(F.col("named"), F.col("key"))).alias("first"), F.bool_and("named").alias("all_named")).where("not all_named").select("c", "first", F.lit(True).alias("mixed"))
+    out = out.join(mixed, "c", "left")
+    return out.select("key", "named", "n_shingles", F.when(F.col("mixed"), F.col("first")).otherwise(F.col("c")).alias("component_id"), (F.col("key") == F.coalesce("first", "c")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -325,24 +356,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     all; classes are joined, so copies never make pairs. Null text, no text or no
     word: an empty set that links with nothing. doc_id is expected to be unique;
     a repeated row gets a repeated result, and of different texts with one id all
-    count as that id. Empty tables: an empty result."""
-    sigs = common.materialize(signatures(docs, k), "minhash-signatures")
-    full = sigs.where("n_shingles > 0")
-    classes = common.materialize(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "s1", "s2", "path", "n_shingles")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), "m.s1", "m.s2", "m.path", "m.n_shingles"), "minhash-classes")
-    sets = classes.select("id", "s1", "s2", "path", "n_shingles").dropDuplicates(["id"])
-    components = common.connected_components(links(sets, docs, k, percent))
-    of_class = classes.join(components, "id", "left").select("set_key", F.least("id", F.coalesce("component", "id")).alias("component_id"))
-    out = sigs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    count as that id. Rows with a null id link as others do, and equal texts of
+    them count as one repeated row. They are kept only in groups without an id,
+    whose component_id is null. Empty tables: an empty result."""
+    return _grouped(docs, k, percent).select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near-duplicates: of each group the smallest doc_id stays,
-    once if its row is repeated; same columns."""
-    rows = common.materialize(near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept_id")), "minhash-kept")
+    """docs without near-duplicates: of each group the smallest doc_id stays (of
+    one without ids, one text), once if its row is repeated; rows with neither
+    id nor words all stay; same columns."""
+    lone = ~F.col("named") & (F.col("n_shingles") == 0)
+    rows = common.materialize(_grouped(docs, k, percent).where("kept").select(F.col("key").alias("__kept"), lone.alias("__lone")), "minhash-kept")
     kept = rows.distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if rows.count() > kept.count() else out
+    keyed = docs.withColumn("__key", _key(F.col("doc_id"), F.col("text")))
+    of = lambda d, k: d.join(k, F.col("__key") == F.col("__kept"), "left_semi")
+    if rows.count() == kept.count():
+        return of(keyed, kept).drop("__key")
+    return of(keyed, kept.where("not __lone")).dropDuplicates(["__key"]).union(of(keyed.where("doc_id is null"), kept.where("__lone"))).drop("__key")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

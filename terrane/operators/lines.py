@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -114,34 +115,39 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fid1", "end1", "fid2", "end2"])
 
 
-#: A component of more candidate pairs than this is matched by mutual best choices instead of in one task.
+#: A component of more candidate pairs than this is matched by choosers and takers instead of in one task.
 MOST_PAIRS = 50_000
 
 
-def _matches(pairs: DataFrame) -> DataFrame:
+def _matches(pairs: DataFrame, turn: int) -> DataFrame:
     """Disjoint pairs of one pass. Components of the candidate graph are independent; small ones are walked in
-    order, in large ones the pairs that are each other's best are taken (the pass is repeated anyway)."""
+    order. In large ones a hash of fid and turn makes each line a chooser or a taker; choosers ask their best
+    taker, which takes its best chooser, so that whatever the scores a share of the lines is matched in each pass."""
     label = components(pairs.select(F.col("fid1").alias("a"), F.col("fid2").alias("b")))
     held = cut(pairs.join(label.withColumnRenamed("id", "fid1"), "fid1"))
     size = held.groupBy("component").agg(F.count("*").alias("pairs"))
     held = held.join(size, "component")
     small = held.where(F.col("pairs") <= MOST_PAIRS).groupBy("component").applyInPandas(_greedy, "fid1 long, end1 string, fid2 long, end2 string")
-    large = held.where(F.col("pairs") > MOST_PAIRS)
-    sides = large.select(F.col("fid1").alias("f"), F.struct("score", "fid1", "fid2", "end1", "end2").alias("p")).union(large.select(F.col("fid2").alias("f"), F.struct("score", "fid1", "fid2", "end1", "end2").alias("p")))
-    best = sides.groupBy("f").agg(F.min("p").alias("p"))
-    mutual = best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.fid1", "p.end1", "p.fid2", "p.end2")
-    return small.union(mutual)
+    takes = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
+    large = held.where((F.col("pairs") > MOST_PAIRS) & (takes("fid1") != takes("fid2")))
+    sides = large.select(F.when(takes("fid1"), F.col("fid2")).otherwise(F.col("fid1")).alias("chooser"), F.struct("score", "fid1", "fid2", "end1", "end2").alias("p"), F.when(takes("fid1"), F.col("fid1")).otherwise(F.col("fid2")).alias("taker"))
+    asked = sides.groupBy("chooser").agg(F.min(F.struct("p", "taker")).alias("b"))
+    taken = asked.groupBy("b.taker").agg(F.min("b.p").alias("p")).select("p.fid1", "p.end1", "p.fid2", "p.end2")
+    return small.union(taken)
 
 
-def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join_angle: float = 150.0, most_passes: int = 50) -> DataFrame:
+def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join_angle: float = 150.0, most_passes: int | None = None) -> DataFrame:
     """Lines joined end to end until no pair is left: fid (of the first
-    operand), geom, members (fids in it). Attributes are lost, lineage is kept."""
+    operand), geom, members (fids in it). Attributes are lost, lineage is kept.
+    Raises if pairs are left after most_passes (default: no bound)."""
     now = cut(df.select(F.col("fid").cast("long").alias("fid"), "geom", F.array(F.col("fid").cast("long")).alias("members")))
-    for _ in range(most_passes):
+    for turn in itertools.count():
         pairs = cut(merge_candidates(now, distance, angle, join_angle))
         if not pairs.take(1):
             break
-        chosen = cut(_matches(pairs))
+        if turn == most_passes:
+            raise RuntimeError(f"lines are left to merge after {most_passes} passes")
+        chosen = cut(_matches(pairs, turn))
         g1, g2 = now.select(F.col("fid").alias("fid1"), F.col("geom").alias("g1"), F.col("members").alias("m1")), now.select(F.col("fid").alias("fid2"), F.col("geom").alias("g2"), F.col("members").alias("m2"))
         joined = chosen.join(g1, "fid1").join(g2, "fid2").select(F.col("fid1").alias("fid"), join_lines(F.col("g1"), F.col("end1"), F.col("g2"), F.col("end2")).alias("geom"), F.concat("m1", "m2").alias("members"))
         gone = chosen.select(F.explode(F.array("fid1", "fid2")).alias("fid"))

@@ -5,6 +5,7 @@ Polygons are (fid, ring, attributes), ring a closed vertex array; holes are
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -68,7 +69,7 @@ def merge_targets(small: DataFrame, nodes: DataFrame, pairs: DataFrame, columns:
 
 
 #: Chosen merges that hang together up to which they are settled in the order of their fids in one task;
-#: larger ones by a rule that looks one step ahead.
+#: larger ones by who leaves and who stays in this round.
 MOST_TOGETHER = 20_000
 
 
@@ -88,16 +89,21 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fid", "target", "reason"])
 
 
-def settle(chosen: DataFrame) -> DataFrame:
-    """The merges of one round that do not get in each other's way: fid, target, reason."""
+def settle(chosen: DataFrame, turn: int = 0) -> DataFrame:
+    """The merges of one round that do not get in each other's way: fid, target, reason.
+
+    In large components polygons that nobody chose leave, those that chose nobody
+    stay, and a hash of fid and turn decides for the rest; a target that stays takes
+    all its leaving choosers, so that a round settles any star and a share of each chain."""
     chosen = cut(chosen.select("fid", "target", "reason"))
     label = components(chosen.select(F.col("fid").alias("a"), F.col("target").alias("b")))
     held = cut(chosen.join(label.withColumnRenamed("id", "fid"), "fid"))
     held = held.join(held.groupBy("component").agg(F.count("*").alias("n")), "component")
     few = held.where(F.col("n") <= MOST_TOGETHER).groupBy("component").applyInPandas(_in_order, "fid long, target long, reason string")
     many = held.where(F.col("n") > MOST_TOGETHER).select("fid", "target", "reason")
-    leaving = many.where("fid < target").select(F.col("fid").alias("target"))
-    return few.union(many.where("fid < target").join(leaving, "target", "left_anti").select("fid", "target", "reason"))
+    taken = many.select(F.col("target").alias("fid"), F.lit(True).alias("wanted")).distinct()
+    leaving = many.join(taken, "fid", "left").where(F.col("wanted").isNull() | (F.pmod(F.xxhash64("fid", F.lit(turn)), F.lit(2)) == 0)).drop("wanted")
+    return few.union(leaving.join(leaving.select(F.col("fid").alias("target")), "target", "left_anti").select("fid", "target", "reason"))
 
 
 def _merge(nodes: DataFrame, pairs: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,17 +118,22 @@ def _merge(nodes: DataFrame, pairs: DataFrame, labels: DataFrame, done: DataFram
     return nodes, pairs, labels
 
 
-def clean_small(df: DataFrame, threshold: float, columns: list[str], most_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+def clean_small(df: DataFrame, threshold: float, columns: list[str], most_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M1, M4, M6: polygons under threshold merge into their best neighbour, round
     after round. Gives (fid, area, columns, inherit: all fids inside, in order)
     and the number of merges for each reason. Rounds work on the adjacency graph;
     dissolve() makes the geometry once, at the end."""
     nodes = cut(with_area(df).select(F.col("fid").cast("long").alias("fid"), "area", *columns))
     pairs, labels, reasons = cut(adjacency(df)), cut(df.select(F.col("fid").cast("long").alias("fid"), F.col("fid").cast("long").alias("group"))), None
-    for _ in range(most_rounds):
-        done = cut(settle(merge_targets(nodes.where(F.col("area") < threshold), nodes, pairs, columns)))
-        if not done.take(1):
+    for turn in itertools.count():
+        chosen = cut(merge_targets(nodes.where(F.col("area") < threshold), nodes, pairs, columns))
+        if not chosen.take(1):
             break
+        if turn == most_rounds:
+            raise RuntimeError(f"polygons are left to merge after {most_rounds} rounds")
+        done = cut(settle(chosen, turn))
+        if not done.take(1):
+            continue
         reasons = done.select("reason") if reasons is None else reasons.union(done.select("reason"))
         nodes, pairs, labels = _merge(nodes, pairs, labels, done)
     lineage = labels.groupBy("group").agg(F.array_sort(F.collect_list("fid")).alias("inherit")).withColumnRenamed("group", "fid")
@@ -130,22 +141,29 @@ def clean_small(df: DataFrame, threshold: float, columns: list[str], most_rounds
     return nodes.join(lineage, "fid"), counts
 
 
-def merge_to_count(df: DataFrame, target: int, columns: list[str], most_rounds: int = 60) -> DataFrame:
+def merge_to_count(df: DataFrame, target: int, columns: list[str], most_rounds: int | None = None) -> DataFrame:
     """Merges the smallest polygons until `target` are left, as far as they
     have neighbours. Rounds take all of the n - target smallest that do not get
     in each other's way, instead of one at a time; the last one takes just enough."""
     nodes = cut(with_area(df).select(F.col("fid").cast("long").alias("fid"), "area", *columns))
     pairs, labels = cut(adjacency(df)), cut(df.select(F.col("fid").cast("long").alias("fid"), F.col("fid").cast("long").alias("group")))
-    for _ in range(most_rounds):
+    for turn in itertools.count():
         excess = nodes.count() - target
         if excess <= 0:
             break
         small = nodes.orderBy("area", "fid").limit(excess)
         chosen = cut(merge_targets(small, nodes, pairs, columns))
-        done = settle(chosen).join(nodes.select("fid", "area"), "fid").orderBy("area", "fid").limit(excess).select("fid", "target", "reason")
+        if not chosen.take(1):  # none of these has a neighbour, so the smallest that have one
+            small = nodes.join(both_ways(pairs).select("fid").distinct(), "fid", "left_semi").orderBy("area", "fid").limit(excess)
+            chosen = cut(merge_targets(small, nodes, pairs, columns))
+        if not chosen.take(1):
+            break
+        if turn == most_rounds:
+            raise RuntimeError(f"polygons are left to merge after {most_rounds} rounds")
+        done = settle(chosen, turn).join(nodes.select("fid", "area"), "fid").orderBy("area", "fid").limit(excess).select("fid", "target", "reason")
         done = cut(done)
         if not done.take(1):
-            break
+            continue
         nodes, pairs, labels = _merge(nodes, pairs, labels, done)
     lineage = labels.groupBy("group").agg(F.array_sort(F.collect_list("fid")).alias("inherit")).withColumnRenamed("group", "fid")
     return nodes.join(lineage, "fid")

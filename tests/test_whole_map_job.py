@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrane.operators import lines
+from terrane.operators import lines, polygons
 
 
 def test_merge_joins_a_long_chain_in_a_large_component(spark, monkeypatch):
@@ -13,3 +13,20 @@ def test_merge_joins_a_long_chain_in_a_large_component(spark, monkeypatch):
     assert [sorted(r["members"]) for r in got] == [list(range(60))] and len(got[0]["geom"]) == 61
     with pytest.raises(RuntimeError):
         lines.merge_lines(df, 1.0, 30.0, 150.0, most_passes=1)
+
+
+def test_large_components_of_merges_settle(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "MOST_TOGETHER", 4)
+    schema = "fid long, target long, reason string"
+    star = spark.createDataFrame([(i, 0, "x") for i in range(1, 31)], schema)
+    assert polygons.settle(star).count() == 30
+    chain = spark.createDataFrame([(i, i - 1, "x") for i in range(1, 31)], schema)
+    got = [(r["fid"], r["target"]) for r in polygons.settle(chain).collect()]
+    assert got and not {f for f, _ in got} & {t for _, t in got}
+
+
+def test_merge_to_count_goes_past_polygons_without_neighbours(spark):
+    box = lambda x, w: [{"x": float(a), "y": float(b)} for a, b in ((x, 0), (x + w, 0), (x + w, 10), (x, 10), (x, 0))]
+    p = spark.createDataFrame([(0, box(0, 10), "a"), (1, box(10, 9), "a"), (2, box(100, 1), "a")], "fid long, ring array<struct<x: double, y: double>>, strat1 string")
+    got = polygons.merge_to_count(p, 2, ["strat1"]).collect()
+    assert sorted((r["fid"], r["inherit"]) for r in got) == [(0, [0, 1]), (2, [2])]

@@ -121,6 +121,11 @@ def ring_area(ring: Column) -> Column:
     return F.abs(_total(steps(ring), lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"])) / 2
 
 
+def ring_turn(ring: Column) -> Column:
+    """Signed shoelace area of a closed ring: positive counterclockwise."""
+    return _total(steps(ring), lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"]) / 2
+
+
 def quantum(value: Column, q: float = 0.1) -> Column:
     """Half-even multiple of q, as bigint key."""
     return F.bround(value / q).cast("bigint")

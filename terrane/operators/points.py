@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import GRID_METRES_PER_DEGREE, TINY, Moments, axial_difference, direction_cosines, strike_to_dip_direction, turn, whole, with_spread
+from terrane.operators.ranks import first, ranked
 
 
 @dataclass(frozen=True)
@@ -76,11 +77,7 @@ def decimate(df: DataFrame, n: int = 5, dense: bool = False) -> DataFrame:
     Otherwise ranks come from range partitions, whose sizes are summed first, so no task sorts the whole layer."""
     if dense:
         return df.where(F.col("fid") % n == 0)
-    ranged = df.repartitionByRange("fid").withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy("fid")) - 1 + F.col("__before")
-    return ranged.join(F.broadcast(before), "__part").withColumn("__rank", rank).where(F.col("__rank") % n == 0).drop("__part", "__before", "__rank")
+    return ranked(df, "fid", name="__rank").where(F.col("__rank") % n == 0).drop("__rank")
 
 
 def stochastic(df: DataFrame, fraction: float = 0.5, seed: int = 42, replace: bool = False, total: int | None = None) -> DataFrame:
@@ -88,7 +85,7 @@ def stochastic(df: DataFrame, fraction: float = 0.5, seed: int = 42, replace: bo
     if replace:
         return df.sample(True, fraction, seed)
     want = round((df.count() if total is None else total) * fraction)
-    return df.orderBy(hash_order(seed), "fid").limit(want)
+    return first(df.withColumn("__order", hash_order(seed)), want, "__order", "fid").drop("__order")
 
 
 def hash_order(seed: int) -> Column:

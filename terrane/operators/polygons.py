@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from terrane.functions import kernels
 from terrane.functions.scalar import ring_area
 from terrane.operators.graphs import components, cut
+from terrane.operators.ranks import first
 from terrane.operators.selection import order_statistic, target_count
-from terrane.sources.fixtures import segments
+from terrane.operators.spatial import segments
 
 STRATA = ("strat1", "strat2", "strat3", "strat4")
 
@@ -151,16 +152,16 @@ def merge_to_count(df: DataFrame, target: int, columns: list[str], most_rounds:
         excess = nodes.count() - target
         if excess <= 0:
             break
-        small = nodes.orderBy("area", "fid").limit(excess)
+        small = first(nodes, excess, "area", "fid")
         chosen = cut(merge_targets(small, nodes, pairs, columns))
         if not chosen.take(1):  # none of these has a neighbour, so the smallest that have one
-            small = nodes.join(both_ways(pairs).select("fid").distinct(), "fid", "left_semi").orderBy("area", "fid").limit(excess)
+            small = first(nodes.join(both_ways(pairs).select("fid").distinct(), "fid", "left_semi"), excess, "area", "fid")
             chosen = cut(merge_targets(small, nodes, pairs, columns))
         if not chosen.take(1):
             break
         if turn == most_rounds:
             raise RuntimeError(f"polygons are left to merge after {most_rounds} rounds")
-        done = settle(chosen, turn).join(nodes.select("fid", "area"), "fid").orderBy("area", "fid").limit(excess).select("fid", "target", "reason")
+        done = first(settle(chosen, turn).join(nodes.select("fid", "area"), "fid"), excess, "area", "fid").select("fid", "target", "reason")
         done = cut(done)
         if not done.take(1):
             continue
@@ -203,34 +204,44 @@ def dissolve(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def overflow(text: Column, name: str = "inherit", width: int = 254, columns: int = 4) -> list[Column]:
-    """M4 at a sink of narrow fields: text cut into name, name1, ..."""
+    """M4 at a sink of narrow fields: text cut into name, name1, ...; text that the
+    columns cannot hold raises, so no lineage is lost. Other sinks take it whole."""
+    text = F.when(F.length(text) > width * columns, F.raise_error(F.lit(f"text is longer than {columns} fields of {width}"))).otherwise(text)
     return [F.substring(text, 1 + i * width, width).alias(name if i == 0 else f"{name}{i}") for i in range(columns)]
 
 
 # ---------------------------------------------------------------- dykes
-def triangulate(df: DataFrame, ids: list[str], column: str, least: float = 1.0) -> DataFrame:
+def triangulate(df: DataFrame, ids: list[str], column: str, least: float = 1.0, holes: DataFrame | None = None) -> DataFrame:
     """Polygons named by ids and smaller than least become their
     triangles (fid, rec_type 'triangle', tri_id, ring, area), all others stay
     (rec_type 'polygon'). A triangle counts if its centroid is inside, or more
-    than half of it. Codes of triangles are unique, so a later merge goes by boundary length."""
+    than half of it; not if its centroid lies in one of holes (fid, ring) or
+    more than a tenth of it. Codes of triangles are unique, so a later merge goes by boundary length."""
     hit = F.col(column).cast("string").isin([str(i) for i in ids]) & (ring_area(F.col("ring")) < least)
     schema = "fid long, tri_id int, ring array<struct<x: double, y: double>>"
+    xy = lambda ring: [(p["x"], p["y"]) for p in ring]
 
     def split(batches):
         for pdf in batches:
             out = []
-            for fid, ring in zip(pdf["fid"], pdf["ring"]):
-                points = [(p["x"], p["y"]) for p in ring]
+            for fid, ring, inner in zip(pdf["fid"], pdf["ring"], pdf["holes"]):
+                points, gaps = xy(ring), [xy(h) for h in inner] if inner is not None else []
                 kept = 0
                 for t in kernels.triangles(points):
                     centre = (sum(p[0] for p in t) / 3, sum(p[1] for p in t) / 3)
                     whole = abs(kernels.area2([*t, t[0]])) / 2
-                    if kernels.inside(centre, points) or kernels.clipped_area(points, list(t)) > 0.5 * whole:
+                    own = kernels.inside(centre, points) or kernels.clipped_area(points, list(t)) > 0.5 * whole
+                    if own and not any(kernels.inside(centre, h) or kernels.clipped_area(h, list(t)) > 0.1 * whole for h in gaps):
                         out.append((fid, kept, [{"x": x, "y": y} for x, y in (*t, t[0])]))
                         kept += 1
             yield pd.DataFrame(out, columns=["fid", "tri_id", "ring"])
 
-    split_up = df.where(hit).select(F.col("fid").cast("long").alias("fid"), "ring").mapInPandas(split, schema)
+    own = df.where(hit).select(F.col("fid").cast("long").alias("fid"), "ring")
+    if holes is None:
+        own = own.withColumn("holes", F.lit(None).cast("array<array<struct<x: double, y: double>>>"))
+    else:
+        own = own.join(holes.groupBy(F.col("fid").cast("long").alias("fid")).agg(F.collect_list("ring").alias("holes")), "fid", "left")
+    split_up = own.mapInPandas(split, schema)
     rest = df.where(~F.coalesce(hit, F.lit(False))).select(F.col("fid").cast("long").alias("fid"), F.lit(None).cast("int").alias("tri_id"), "ring")
     code = F.when(F.col("tri_id").isNotNull(), F.concat(F.lit("tri"), F.col("fid").cast("string"), F.lit("_"), F.col("tri_id").cast("string")))
     return split_up.union(rest).select("fid", F.when(F.col("tri_id").isNotNull(), "triangle").otherwise("polygon").alias("rec_type"), "tri_id", code.alias("code"), "ring", ring_area(F.col("ring")).alias("area"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.scalar import azimuth, steps
+from terrane.functions.scalar import azimuth, quantum, steps
 
 
 def bucket(value: Column, size: float) -> Column:
@@ -28,6 +28,25 @@ def segment_azimuths(layer: DataFrame, geom: str = "geom") -> DataFrame:
     return rows.withColumn("azimuth", azimuth(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("azimuth is not null")
 
 
+def cell_size(sizes: DataFrame) -> float:
+    """Side of buckets for things of these sizes (column size): twice their mean, so that most are in a few buckets."""
+    mean = sizes.agg(F.avg("size")).first()[0]
+    return 2 * mean if mean else 1.0
+
+
+def segments(layer: DataFrame, ring: str = "ring", q: float | None = None) -> DataFrame:
+    """Fid, s, ends, length and seg_key of every side. The key, the two ends
+    (ax, ay, bx, by) in order, reads the same from both sides. It is exact, so it
+    holds in metres and degrees alike; with q, ends are counted in steps of q."""
+    rows = layer.select("fid", F.posexplode(steps(F.col(ring))).alias("s", "e")).select("fid", "s", "e.*")
+    at = (lambda c: F.col(c) + F.lit(0.0)) if q is None else (lambda c: quantum(F.col(c), q))  # no negative zero
+    x0, y0, x1, y1 = (at(c) for c in ("x0", "y0", "x1", "y1"))
+    first, last = F.struct(x0.alias("x"), y0.alias("y")), F.struct(x1.alias("x"), y1.alias("y"))
+    low, high = F.least(first, last), F.greatest(first, last)
+    key = F.struct(low["x"].alias("ax"), low["y"].alias("ay"), high["x"].alias("bx"), high["y"].alias("by"))
+    return rows.withColumn("seg_key", key).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
 def distance_to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     dx, dy = x1 - x0, y1 - y0
     t = F.coalesce(F.try_divide((px - x0) * dx + (py - y0) * dy, dx * dx + dy * dy), F.lit(0.0))
@@ -46,11 +65,12 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius: float) -> Da
     return points.join(best, "fid")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring") -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, ring: str = "ring") -> DataFrame:
     """(pid, fid) of each point (pid, x, y) strictly inside a polygon: parity
     of the sides that a ray to the right crosses. Sides are dealt to all buckets
     left of them within their own rows of the polygon's box, so one equi-join
     brings a point all sides that matter."""
+    cell = cell or cell_size(polygons.select(F.explode(F.array(*(F.array_max(v) - F.array_min(v) for v in (F.transform(F.col(ring), lambda p: p["x"]), F.transform(F.col(ring), lambda p: p["y"]))))).alias("size")))
     sides = polygons.select("fid", F.posexplode(steps(F.col(ring))).alias("s", "e")).select("fid", "s", "e.*").where("y0 <> y1")
     box = polygons.select("fid", F.array_min(F.transform(F.col(ring), lambda p: p["x"])).alias("left"))
     sides = sides.join(box, "fid")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import kernels
-from terrane.functions.scalar import quantum, ring_area, step_length, steps
-from terrane.operators.spatial import bucket, close_pairs
-from terrane.sources.fixtures import segments
+from terrane.functions.scalar import quantum, ring_area, ring_turn, step_length, steps
+from terrane.operators.graphs import cut
+from terrane.operators.spatial import bucket, cell_size, close_pairs, segments
 
 #: Words in the name of a column that may hold units.
 UNIT_WORDS = ("code", "unit", "strat", "lith", "form", "geol", "name", "rock", "symbol", "label", "type")
@@ -175,9 +175,10 @@ def apply_snaps(df: DataFrame, snaps: DataFrame, geom: str = "ring", decimals: i
     return df.drop(geom).join(new, "fid")
 
 
-def node_segments(df: DataFrame, cell: float = 2500.0, tolerance: float = 1e-6) -> DataFrame:
+def node_segments(df: DataFrame, cell: float | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Rings with every vertex of the layer that lies on one of their sides put into it, so that neighbours share sides."""
-    s = segments(df).select("fid", "s", "x0", "y0", "x1", "y1")
+    s = segments(df).select("fid", "s", "x0", "y0", "x1", "y1", "length")
+    cell = cell or cell_size(s.select(F.col("length").alias("size")))
     p = vertices(df).select("x", "y").distinct().withColumns({"bx": bucket(F.col("x"), cell), "by": bucket(F.col("y"), cell)})
     boxes = s.withColumn("bx", F.explode(F.sequence(bucket(F.least("x0", "x1") - tolerance, cell), bucket(F.greatest("x0", "x1") + tolerance, cell)))).withColumn("by", F.explode(F.sequence(bucket(F.least("y0", "y1") - tolerance, cell), bucket(F.greatest("y0", "y1") + tolerance, cell))))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -191,50 +192,100 @@ def node_segments(df: DataFrame, cell: float = 2500.0, tolerance: float = 1e-6)
 
 def gap_rings(df: DataFrame) -> DataFrame:
     """Gap, ring, area and filler (the polygon that shares most of its
-    boundary) of each hole of the mosaic: sides used once, grouped by connection,
-    all but the outermost ring of a group."""
+    boundary) of each hole of a noded mosaic.
+
+    Sides of one polygon only, walked with the polygon on the left, have no
+    polygon on their right. Each is followed by the first side counterclockwise
+    from it at its end, so each empty face is one cycle of sides, and its signed
+    area, a grouped sum, tells holes from the outline. Only holes are put together in tasks."""
     from terrane.operators.graphs import components
 
-    once = segments(df).groupBy("seg_key").agg(F.count("*").alias("n"), F.min(F.struct("fid", "x0", "y0", "x1", "y1", "length")).alias("e")).where("n = 1").select("seg_key", "e.*")
-    point = lambda x, y: F.xxhash64(F.col(x), F.col(y))
-    label = components(once.select(point("x0", "y0").alias("a"), point("x1", "y1").alias("b")))
-    rows = once.join(label.withColumnRenamed("id", "p"), point("x0", "y0") == F.col("p"))
+    turned = df.withColumn("ring", F.when(ring_turn(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring")))
+    once = segments(turned).groupBy("seg_key").agg(F.count("*").alias("n"), F.min(F.struct("fid", "x0", "y0", "x1", "y1", "length")).alias("e")).where("n = 1")
+    once = cut(once.select(F.xxhash64("seg_key").alias("side"), "seg_key", "e.*"))
+    out = once.select(F.col("side").alias("next"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("to"))
+    back = F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1"))
+    around = F.pmod(F.col("to") - F.col("back"), F.lit(2 * math.pi))
+    follows = once.select("side", "x1", "y1", back.alias("back")).join(out, ["x1", "y1"]).groupBy("side").agg(F.min(F.struct(around.alias("d"), "next")).alias("b")).select(F.col("side").alias("a"), F.col("b.next").alias("b"))
+    faces = once.join(components(follows).select(F.col("id").alias("side"), F.col("component").alias("gap")), "side")
+    area = F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2
+    faces = cut(faces.join(faces.groupBy("gap").agg(area.alias("signed")).where("signed < 0").select("gap", (-F.col("signed")).alias("area")), "gap"))
 
     def stitch(key: tuple[int], own: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.rings([((a, b), (c, d)) for a, b, c, d in own[["x0", "y0", "x1", "y1"]].itertuples(index=False)])
-        return pd.DataFrame([(key[0], i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(found)], columns=["component", "ring_no", "ring"])
-
-    found = rows.groupBy("component").applyInPandas(stitch, "component long, ring_no int, ring array<struct<x: double, y: double>>").withColumn("area", ring_area(F.col("ring")))
-    # the outline of the whole mosaic is the ring that reaches the layer's left edge
-    left = F.array_min(F.transform("ring", lambda p: p["x"]))
-    gaps = found.crossJoin(F.broadcast(extent(df).select("minx"))).where((left > F.col("minx")) | (F.col("ring_no") > 0)).select(F.xxhash64("component", "ring_no").alias("fid"), "ring", "area")
-    sides = segments(gaps).select(F.col("fid").alias("gap"), "seg_key", "length")
-    share = sides.join(once.select("seg_key", "fid"), "seg_key").groupBy("gap", "fid").agg(F.sum("length").alias("shared"))
-    best = share.groupBy("gap").agg(F.max_by("fid", F.struct(F.round("shared", 6), -F.col("fid"))).alias("filler"))
-    return gaps.withColumnRenamed("fid", "gap").join(best, "gap", "left")
-
-
-def overlaps(df: DataFrame, cell: float = 2500.0) -> DataFrame:
-    """Z3: pairs fid1 < fid2 of convex polygons that overlap, and by how much. Pairs come from shared buckets;
-    the exact area from clipping one by the other's corner triangles."""
+        points = kernels.chain([((a, b), (c, d)) for a, b, c, d in own[["x0", "y0", "x1", "y1"]].itertuples(index=False)])
+        return pd.DataFrame({"gap": [key[0]], "ring": [[{"x": x, "y": y} for x, y in points]]})
+
+    ring = faces.groupBy("gap").applyInPandas(stitch, "gap long, ring array<struct<x: double, y: double>>")
+    share = faces.groupBy("gap", "area", "fid").agg(F.sum("length").alias("shared"))
+    best = share.groupBy("gap", "area").agg(F.max_by("fid", F.struct(F.round("shared", 6), -F.col("fid"))).alias("filler"))
+    return ring.join(best, "gap").select("gap", "ring", "area", "filler")
+
+
+def fill_gaps(df: DataFrame, least: float = 0.0) -> DataFrame:
+    """The mosaic with each gap larger than least given to the neighbour with
+    which it shares most of its boundary. Other rows and all attributes stay."""
+    from terrane.operators.polygons import dissolve
+
+    gaps = cut(gap_rings(df).where(F.col("area") > least))
+    taken = gaps.select(F.col("filler").alias("fid")).distinct()
+    fid = F.col("fid").cast("long")
+    parts = df.join(taken, "fid", "left_semi").select(fid.alias("member"), fid.alias("group"), "ring").union(gaps.select("gap", "filler", "ring"))
+    new = dissolve(parts.select(F.col("member").alias("fid"), "ring"), parts.select("member", "group")).where("ring_no = 0").select(F.col("fid").alias("__fid"), F.col("ring").alias("__new"))
+    return df.join(new, fid == F.col("__fid"), "left").withColumn("ring", F.coalesce("__new", "ring")).drop("__fid", "__new")
+
+
+def _meeting_pairs(df: DataFrame, cell: float | None) -> DataFrame:
+    """fid1 < fid2 and rings of polygons whose boxes share a place, each pair once, through buckets."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = df.select("fid", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    box = df.select(F.col("fid").cast("long").alias("fid"), "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    cell = cell or cell_size(box.select(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("size")))
     dealt = box.withColumn("bx", F.explode(F.sequence(bucket(F.col("x0"), cell), bucket(F.col("x1"), cell)))).withColumn("by", F.explode(F.sequence(bucket(F.col("y0"), cell), bucket(F.col("y1"), cell))))
     a, b = dealt.select(*(F.col(c).alias(f"{c}_a") for c in box.columns), "bx", "by"), dealt.select(*(F.col(c).alias(f"{c}_b") for c in box.columns), "bx", "by")
     met = (F.col("fid_a") < F.col("fid_b")) & (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")) & (F.col("y0_a") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1_a"))
     # each pair in one bucket: that of the lower left corner of what the boxes share
     one = (F.col("bx") == bucket(F.greatest("x0_a", "x0_b"), cell)) & (F.col("by") == bucket(F.greatest("y0_a", "y0_b"), cell))
-    pairs = a.join(b, ["bx", "by"]).where(met & one).select(F.col("fid_a").alias("fid1"), F.col("fid_b").alias("fid2"), "ring_a", "ring_b")
+    return a.join(b, ["bx", "by"]).where(met & one).select(F.col("fid_a").alias("fid1"), F.col("fid_b").alias("fid2"), "ring_a", "ring_b")
+
+
+def _xy(ring) -> list[kernels.Point]:
+    return [(p["x"], p["y"]) for p in ring]
+
+
+def overlaps(df: DataFrame, least: float = 1e-6, cell: float | None = None) -> DataFrame:
+    """Z3: pairs fid1 < fid2 of polygons of any shape that overlap by more than least, and by how much."""
 
     def measure(batches):
         for pdf in batches:
             areas = []
             for p, q in zip(pdf["ring_a"], pdf["ring_b"]):
-                p, q = [(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q]
-                areas.append(sum(kernels.clipped_area(p, [q[0], q[i], q[i + 1]]) for i in range(1, len(q) - 2) if abs(kernels.area2([q[0], q[i], q[i + 1], q[0]])) > 1e-9))
+                # a ring inside another counts against it where parity says hole; rings of one overlay do not nest otherwise
+                areas.append(kernels.covered_area(kernels.overlay([_xy(p)], [_xy(q)], lambda a, b: a and b)))
             yield pd.DataFrame({"fid1": pdf["fid1"], "fid2": pdf["fid2"], "overlap": areas})
 
-    return pairs.mapInPandas(measure, "fid1 long, fid2 long, overlap double").where("overlap > 1e-6")
+    return _meeting_pairs(df, cell).mapInPandas(measure, "fid1 long, fid2 long, overlap double").where(F.col("overlap") > least)
+
+
+def fix_overlaps(df: DataFrame, least: float = 1e-6, cell: float | None = None) -> DataFrame:
+    """Z3: (fid, ring_no, ring) of the layer in which each polygon has lost what
+    polygons of lesser fids cover. Taking them away one after the other comes to
+    the same, so all is one join. Overlaps up to least stay; a polygon that is covered whole has no row."""
+    pairs = cut(_meeting_pairs(df, cell))
+    over = pairs.select("fid2", "ring_b", "ring_a").groupBy("fid2").agg(F.first("ring_b").alias("ring"), F.array_sort(F.collect_list("ring_a")).alias("others"))
+
+    def subtract(batches):
+        for pdf in batches:
+            out = []
+            for fid, ring, others in zip(pdf["fid2"], pdf["ring"], pdf["others"]):
+                left = [_xy(ring)]
+                for other in others:
+                    if left and kernels.covered_area(kernels.overlay(left, [_xy(other)], lambda a, b: a and b)) > least:
+                        left = kernels.overlay(left, [_xy(other)], lambda a, b: a and not b)
+                out += [(fid, i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(left)]
+            yield pd.DataFrame(out, columns=["fid", "ring_no", "ring"])
+
+    changed = over.mapInPandas(subtract, "fid long, ring_no int, ring array<struct<x: double, y: double>>")
+    rest = df.select(F.col("fid").cast("long").alias("fid"), F.lit(0).alias("ring_no"), "ring").join(over.select(F.col("fid2").alias("fid")), "fid", "left_anti")
+    return rest.union(changed)
 
 
 def invalid_rings(df: DataFrame, geom: str = "ring") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.sources.fixtures import LINES_SQL, POINTS_SQL, POLYGONS_SQL
+from terrane.sources.fixtures import DEGREES_SQL, LINES_SQL, POINTS_SQL, POLYGONS_SQL
 
-P, L, G = f"with {POINTS_SQL}", f"with {LINES_SQL}", f"with {POLYGONS_SQL}"
+P, L, G, D = f"with {POINTS_SQL}", f"with {LINES_SQL}", f"with {POLYGONS_SQL}", f"with {DEGREES_SQL}"
 #: Steps of lines: consecutive vertices.
 STEPS = """steps as (select * from (select fid, v s, x x0, y y0, lead(x) over w x1, lead(y) over w y1, last_v from verts window w as (partition by fid order by v)) q where x1 is not null),
 lens as (select fid, sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))) len from steps group by fid)"""
@@ -48,6 +48,8 @@ sides as (select fid, location, count(distinct side) n, max(case when side='side
 levels as (select *, case when n < 2 then -1 when a3 <> b3 then 3 when a2 <> b2 then 2 when a1 <> b1 then 1 else 0 end offset_level from sides),
 ranked as (select *, row_number() over (partition by fid order by offset_level desc, location) rn from levels)"""
 _DESC = "case {} when -1 then 'Fault at edge of map' when 0 then 'No offset - same at all levels' when 1 then 'Offset at strat1 level (priority 1)' when 2 then 'Offset at strat2 level (priority 2)' when 3 then 'Offset at lith level (priority 3)' end"
+_SHARED = """select min(case when f then x0 else x1 end) ax, min(case when f then y0 else y1 end) ay, min(case when f then x1 else x0 end) bx, min(case when f then y1 else y0 end) "by", count(distinct fid) polygons, round(max(length), {}) length
+ from (select *, x0 < x1 or (x0 = x1 and y0 <= y1) f from segs) q group by seg_key"""
 _QX = "cast(round_even(x/0.1e0, 0) as bigint) qx, cast(round_even(y/0.1e0, 0) as bigint) qy"
 
 ORACLE: dict[str, str] = {
@@ -63,11 +65,11 @@ ORACLE: dict[str, str] = {
  where easting >= minx and easting < maxx and northing >= miny and northing < maxy) q group by size""",
     "tp_counts": f"""{P}, rs as (select unnest([0.9e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0, 0.4e0, 0.3e0, 0.2e0, 0.1e0]) ratio), k as (select kind, count(*) n from points group by kind)
  select kind, n, ratio, cast(greatest(1, round_even(n*pow(ratio, 0.5e0), 0)) as bigint) points, cast(greatest(1, round_even(n*ratio, 0)) as bigint) lines, cast(greatest(1, round_even(n*pow(ratio, 1.5e0), 0)) as bigint) areas from k, rs""",
-    "tp_lines_length": f"{L}, {STEPS} select fid, round(len, 6) length from (select *, row_number() over (order by len desc, fid) k, count(*) over () n from lens) q where k <= round_even(n*0.1e0, 0)",
-    "tp_lines_graph": f"""{L}, {STEPS} select fid, coalesce(et, '') edge_type from (select *, row_number() over (order by case when et is null then 2 when et = 'X-X' then 0 when et = 'Z-Z' then 3 else 1 end, len desc, fid) k, count(*) over () n
+    "tp_lines_length": f"{L}, {STEPS} select fid, round(len, 6) length from (select *, row_number() over (order by round(len, 6) desc, fid) k, count(*) over () n from lens) q where k <= round_even(n*0.1e0, 0)",
+    "tp_lines_graph": f"""{L}, {STEPS} select fid, coalesce(et, '') edge_type from (select *, row_number() over (order by case when et is null then 2 when et = 'X-X' then 0 when et = 'Z-Z' then 3 else 1 end, round(len, 6) desc, fid) k, count(*) over () n
  from (select *, case fid % 4 when 0 then 'X-X' when 1 then 'Y-Z' when 2 then 'Z-Z' end et from lens) p) q where k <= round_even(n*0.3e0, 0)""",
-    "tp_lines_offset": f"{L}, {STEPS} select fid, mo max_offset from (select *, row_number() over (order by abs(mo) desc nulls last, len desc, fid) k, count(*) over () n from (select *, case when fid % 3 > 0 then fid % 7 - 3 end mo from lens) p) q where k <= round_even(n*0.2e0, 0)",
-    "tp_lines_clusters": f"{L}, {STEPS} select fid, cluster from (select *, row_number() over (order by size desc, len desc, fid) k from (select *, count(*) over (partition by cluster) size, count(*) over () n from (select *, cast(floor(sqrt(fid % 50)) as bigint) cluster from lens) p) o) q where k <= round_even(n*0.2e0, 0)",
+    "tp_lines_offset": f"{L}, {STEPS} select fid, mo max_offset from (select *, row_number() over (order by abs(mo) desc nulls last, round(len, 6) desc, fid) k, count(*) over () n from (select *, case when fid % 3 > 0 then fid % 7 - 3 end mo from lens) p) q where k <= round_even(n*0.2e0, 0)",
+    "tp_lines_clusters": f"{L}, {STEPS} select fid, cluster from (select *, row_number() over (order by size desc, round(len, 6) desc, fid) k from (select *, count(*) over (partition by cluster) size, count(*) over () n from (select *, cast(floor(sqrt(fid % 50)) as bigint) cluster from lens) p) o) q where k <= round_even(n*0.2e0, 0)",
     "tp_points_scaled": f"""{P}, f as (select *, greatest(0.001e0, greatest(1, round_even(n*pow(0.1e0, 0.5e0), 0))/n) frac from (select count(*) n from points) q)
  select fid, easting, northing from (select p.*, row_number() over (order by ((fid+42)*48271) % 2147483647, fid) k, round_even(n*frac, 0) want from points p, f) q where k <= want""",
     "ln_length": f"{L}, {STEPS} select fid, round(len, 6) m, round(len*0.001e0, 6) km, round(len*3.28084e0, 4) ft, round(len*0.000621371e0, 6) mi from lens",
@@ -100,7 +102,11 @@ ORACLE: dict[str, str] = {
     "tz_junctions": f"""{G}, q as (select fid, v, {_QX} from pverts), nb as (select fid, v, qx, qy, lag(qx||','||qy) over w a, lead(qx||','||qy) over w b from q window w as (partition by fid order by v)),
  firsts as (select * from (select *, row_number() over (partition by fid, qx, qy order by v) rn from nb) p where rn = 1)
  select qx, qy from (select qx, qy, count(distinct case when a is null then b when b is null then a when a = b then a else least(a, b)||';'||greatest(a, b) end) k from firsts group by qx, qy) p where k > 1""",
-    "tz_shared_segments": f"{G} select seg_key, count(distinct fid) polygons, round(max(length), 6) length from segs group by seg_key",
+    "tz_shared_segments": f"{G} {_SHARED.format(6)}",
+    "tz_shared_segments_degrees": f"{D} {_SHARED.format(9)}",
+    "tz_exterior_vertices_degrees": f"""{D}, u as (select seg_key, count(distinct fid) n from segs group by seg_key), e as (select seg_key, x0 x, y0 y from segs union all select seg_key, x1, y1 from segs)
+ select qx, qy from (select cast(round_even(x/1e-6, 0) as bigint) qx, cast(round_even(y/1e-6, 0) as bigint) qy, n from e join u using (seg_key)) q group by qx, qy having max(n) = 1""",
+    "pg_adjacency_degrees": f"{D}, {PAIRS} select fid1, fid2, round(shared, 9) shared from pairs",
     "tz_exterior_vertices": f"""{G}, u as (select seg_key, count(distinct fid) n from segs group by seg_key), e as (select seg_key, x0 x, y0 y from segs union all select seg_key, x1, y1 from segs)
  select qx, qy from (select {_QX}, n from e join u using (seg_key)) q group by qx, qy having max(n) = 1""",
     "tz_box_vertices": f"{G}, b as (select min(x) a, max(x) b, min(y) c, max(y) d from pverts) select distinct {_QX} from pverts, b where abs(x-a) <= 0.1e0 or abs(x-b.b) <= 0.1e0 or abs(y-c) <= 0.1e0 or abs(y-d) <= 0.1e0",
@@ -143,16 +149,89 @@ ORACLE |= {
     "tz_contact_health": f"""{G}, {_HEALTH} select a.code_a, a.code_b, case when b.n >= 3 then 'preserved' when b.n = 2 then 'minimal' when b.n = 1 then 'shape_lost' else 'boundary_diverged' end health
  from (select * from vs where part = 0) a left join (select * from vs where part = 1) b on a.code_a = b.code_a and a.code_b = b.code_b""",
     "tz_grid_snap": f"""{L}, q as (select fid, x/7 x, y/7 y, round_even(x/7, 2) rx, round_even(y/7, 2) ry from verts) select fid, bool_or(x <> rx or y <> ry) changed, round(sum(rx+ry), 2)+0e0 total from q group by fid""",
-    "tz_significance": f"""{G}, {NET}, nk as (select cast(cast(x as bigint) as varchar)||'|'||cast(cast(y as bigint) as varchar)||'|'||cast(cast(x2 as bigint) as varchar)||'|'||cast(cast(y2 as bigint) as varchar) seg_key from
+    "tz_significance": f"""{G}, {NET}, nk as (select concat_ws('|', x, y, x2, y2) seg_key from
  (select case when x0 < x1 or (x0 = x1 and y0 <= y1) then x0 else x1 end x, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y0 else y1 end y, case when x0 < x1 or (x0 = x1 and y0 <= y1) then x1 else x0 end x2, case when x0 < x1 or (x0 = x1 and y0 <= y1) then y1 else y0 end y2 from net) q),
  n as (select seg_key, sum(p) p, sum(f) f from (select seg_key, 1 p, 0 f from segs union all select seg_key, 0, 1 from nk) q group by seg_key having sum(p)+sum(f) >= 2)
  select case when p > 0 and f > 0 then 'fault_polygon' when p >= 2 then 'polygon_polygon' else 'other' end kind, count(*) segments from n group by 1""",
     "tp_lines_chain": f"""{L}, {STEPS}, c as (select count(*) n from lens), n1 as (select round_even(n*0.75e0, 0) a, round_even(round_even(n*0.75e0, 0)*(0.5e0/0.75e0), 0) b from c),
- k as (select fid, row_number() over (order by len desc, fid) k from lens) select 1e0 ratio, fid from k union all select 0.75e0, fid from k, n1 where k <= a union all select 0.5e0, fid from k, n1 where k <= b""",
+ k as (select fid, row_number() over (order by round(len, 6) desc, fid) k from lens) select 1e0 ratio, fid from k union all select 0.75e0, fid from k, n1 where k <= a union all select 0.5e0, fid from k, n1 where k <= b""",
     "ln_merge_candidates": f"""{L}, e as (select a.fid, 'start' en, a.x, a.y, b.x ix, b.y iy, atan2(b.y-a.y, b.x-a.x) angle from verts a join verts b on a.fid = b.fid and a.v = 0 and b.v = 1
  union all select a.fid, 'end', a.x, a.y, b.x, b.y, atan2(a.y-b.y, a.x-b.x) from verts a join verts b on a.fid = b.fid and a.v = a.last_v and b.v = a.last_v - 1),
  p as (select a.fid fid1, a.en end1, b.fid fid2, b.en end2, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) distance, abs(a.angle-b.angle) d1, abs(a.angle-(b.angle+pi())) d2,
- (a.ix-a.x)*(b.ix-b.x)+(a.iy-a.y)*(b.iy-b.y) dot, sqrt((a.ix-a.x)*(a.ix-a.x)+(a.iy-a.y)*(a.iy-a.y))*sqrt((b.ix-b.x)*(b.ix-b.x)+(b.iy-b.y)*(b.iy-b.y)) mag from e a join e b on a.fid < b.fid and abs(a.x-b.x) <= 200 and abs(a.y-b.y) <= 200),
+ (a.ix-a.x)*(b.ix-b.x)+(a.iy-a.y)*(b.iy-b.y) dot, sqrt((a.ix-a.x)*(a.ix-a.x)+(a.iy-a.y)*(a.iy-a.y))*sqrt((b.ix-b.x)*(b.ix-b.x)+(b.iy-b.y)*(b.iy-b.y)) mag from (select *, cast(floor(x/200) as bigint) gx, cast(floor(y/200) as bigint) gy from e) a join (select e.*, cast(floor(x/200) as bigint) + i gx, cast(floor(y/200) as bigint) + j gy from e, (values (-1), (0), (1)) s(i), (values (-1), (0), (1)) t(j)) b on a.gx = b.gx and a.gy = b.gy and a.fid < b.fid),
  q as (select *, degrees(least(least(d1, 2*pi()-d1), least(d2, 2*pi()-d2))) bend, case when mag > 0 then degrees(acos(greatest(-1e0, least(1e0, dot/mag)))) else 180e0 end joint from p where distance <= 200)
  select fid1, end1, fid2, end2, round(distance, 6) distance, round(distance + bend/30*200 + (180-joint)/60*200, 4) score from q where bend <= 30 and joint >= 120""",
 }
+
+_REACH = """nid as (select x, y, row_number() over (order by x, y) id from nnodes),
+link as (select a.id u, b.id v from nedges e join nid a on e.x = a.x and e.y = a.y join nid b on e.x2 = b.x and e.y2 = b.y),
+both_ways as (select u, v from link union all select v, u from link)"""
+#: Nodes with the least node that they reach; the relation is closed step by step.
+_COMPONENTS = f"with recursive {POLYGONS_SQL}, {NET}, {_REACH}, reach as (select id, id c from nid union select b.v, r.c from reach r join both_ways b on b.u = r.id), comp as (select id, min(c) c from reach group by id)"
+_CHAINS = f"""with recursive {POLYGONS_SQL}, {NET}, eid as (select *, row_number() over (order by x, y, x2, y2) id from nedges),
+touch as (select id, x, y from eid union all select id, x2, y2 from eid), two as (select x, y from nnodes where degree = 2),
+near as (select a.id u, b.id v from touch a join two using (x, y) join touch b using (x, y) where a.id <> b.id),
+reach as (select id, id c from eid union select n.v, r.c from reach r join near n on n.u = r.id), chain as (select id, min(c) c from reach group by id),
+open_ends as (select c, min(node_type) a, max(node_type) b from chain join touch using (id) join ntypes using (x, y) where degree <> 2 group by c),
+body as (select c, min(line_id) line_id, sum(length) length, count(*) segments from chain join eid using (id) group by c)"""
+
+
+def _kent(sums: str, name: str, keys: str) -> str:
+    """The estimator over a table of sums with the given keys."""
+    return f"""{name}1 as (select *, sqrt(l*l+m*m+z*z) r from {sums}), {name}2 as (select *, acos(greatest(-1e0, least(1e0, z/r))) t, case when abs(l/r) > 1e-12 then atan((m/r)/(l/r)) when m >= 0 then pi()/2 else -pi()/2 end p from {name}1 where r >= 1e-12),
+{name}3 as (select *, cos(t)*cos(p) a1, -sin(p) a2, sin(t)*cos(p) a3, cos(t)*sin(p) b1, cos(p) b2, sin(t)*sin(p) b3 from {name}2),
+{name}4 as (select *, (a1*a1*ll+a2*a2*mm+a3*a3*zz+2*a1*a2*lm+2*a1*a3*lz+2*a2*a3*mz)/n aa, (b1*b1*ll+b2*b2*mm+b3*b3*zz+2*b1*b2*lm+2*b1*b3*lz+2*b2*b3*mz)/n bb,
+ (a1*b1*ll+a2*b2*mm+a3*b3*zz+(a1*b2+a2*b1)*lm+(a1*b3+a3*b1)*lz+(a2*b3+a3*b2)*mz)/n ab from {name}3),
+{name}5 as (select *, case when abs(aa-bb) > 1e-12 then atan(2*ab/(aa-bb)) else 0e0 end w from {name}4), {name}6 as (select *, cos(w)*(aa-bb)+2*sin(w)*ab q from {name}5),
+{name}7 as (select *, case when abs(2-2*r-q) > 1e-12 then 1/(2-2*r-q) else 'inf'::double end i, case when abs(2-2*r+q) > 1e-12 then 1/(2-2*r+q) else 'inf'::double end j from {name}6),
+{name} as (select {keys}, case when isnan(i+j) or i+j < 1e-6 then 1e-6 else i+j end kappa from {name}7)"""
+
+
+_TERMS = "n l m z ll mm zz lm lz mz".split()
+_OUTLIER = f"""c2 as (select fid, cx, cy, minx, miny, 1 n, l, m, z, l*l ll, m*m mm, z*z zz, l*m lm, l*z lz, m*z mz from cells),
+all_ as (select cx, cy, {', '.join(f'sum({c}) {c}' for c in _TERMS)} from c2 group by cx, cy having count(*) > 3),
+rest as (select c2.fid, cx, cy, minx, miny, {', '.join(f'a.{c} - c2.{c} {c}' for c in _TERMS)} from c2 join all_ a using (cx, cy)),
+{_kent('all_', 'whole', 'cx, cy')}, {_kent('rest', 'less_', 'fid, cx, cy')},
+picked as (select * from (select rest.*, less_.kappa, row_number() over (partition by rest.cx, rest.cy order by round(coalesce(less_.kappa, 1e-6) - coalesce(whole.kappa, 1e-6), 9) desc, rest.fid) rn
+ from rest left join less_ on less_.fid = rest.fid and less_.cx = rest.cx and less_.cy = rest.cy left join whole on whole.cx = rest.cx and whole.cy = rest.cy) q where rn = 1 and kappa is not null),
+dir as (select *, sqrt(l*l+m*m+z*z) r from picked)"""
+_FILL = f"""{G}, {AREAS}, gone as (select * from segs where fid % 50 = 25), there as (select * from segs where fid % 50 <> 25),
+met as (select g.fid gap, t.fid, sum(g.length) shared, count(*) sides from gone g join there t on g.seg_key = t.seg_key group by all),
+inner_ as (select gap from met group by gap having sum(sides) = 4),
+filler as (select gap, fid from (select *, row_number() over (partition by gap order by round(shared, 6) desc, fid) rn from met join inner_ using (gap)) q where rn = 1)"""
+ORACLE |= {
+    "net_components": f"{_COMPONENTS} select n.x, n.y, count(*) nodes from comp join nid n on n.id = comp.c group by all",
+    "net_stats": f"""{_COMPONENTS}, size as (select c, count(*) n from comp group by c) select (select count(*) from nnodes) nodes, (select count(*) from nedges) edges, (select count(*) from size) components, (select max(n) from size) largest_component,
+ (select round(avg(degree), 6) from nnodes) mean_degree, (select max(degree) from nnodes) max_degree, (select count(*) from nnodes where degree > 2) branching, (select count(*) from nnodes where degree = 1) dead_ends, cast(0 as bigint) isolated, (select round(sum(length), 3) from nedges) total_length""",
+    "net_contract": f"{_CHAINS} select line_id, round(length, 6) length, segments, case when a is not null then a||'-'||b end edge_type from body left join open_ends using (c)",
+    "net_chain_lines": f"{_CHAINS} select line_id fid, segments + 1 vertices, round(length, 6) length from body",
+    "pt_outlier_single": f"""{P}, {BINS}, {_OUTLIER} select cast(trunc(minx+(cx+0.5e0)*5000e0) as bigint) easting, cast(trunc(miny+(cy+0.5e0)*5000e0) as bigint) northing,
+ case when r >= 1e-12 then cast(trunc(round(90e0-degrees(asin(greatest(-1e0, least(1e0, z/r)))), 9)) as bigint) end dip, case when r >= 1e-12 then cast(trunc(round((720e0+degrees(atan2(l/r, m/r))) % 360e0, 9)) as bigint) end dip_dir, cast(n as bigint) n, fid removed_fid from dir""",
+    "pt_methods": f"""{P}, {BINS}, {POLYGONS_SQL}, {_NEAR} select 'decimation' method, cast(ceil(count(*)/4e0) as bigint) n from points union all select 'stochastic', cast(round_even(count(*)*0.25e0, 0) as bigint) from points union all select 'gridcell', count(*) from means
+ union all select 'firstorder', count(*) from best, lateral (select abs(azimuth - (dip_dir + 270e0) % 180e0) % 180e0 dd) t where least(dd, 180e0-dd) <= 15""",
+    "tz_gaps": f"{_FILL} select f.fid filler, round(a.area, 6) area from filler f join areas a on a.fid = f.gap",
+    "tz_gap_fill": f"{_FILL} select a.fid, round(a.area + coalesce(sum(b.area), 0), 6) area from areas a left join filler f on f.fid = a.fid left join areas b on b.fid = f.gap where a.fid % 50 <> 25 group by a.fid, a.area",
+    "tz_midpoint_snap": f"""{L}, {POLYGONS_SQL}, f as (select fid, v, case when v = 0 then round(x, -2) else x end x, case when v = 0 then round(y, -2) else y end y from verts where v < 2),
+ g as (select x, y, min(struct_pack(fid := fid, v := v)) o from f group by x, y), p as (select distinct x, y from pverts),
+ b as (select g.x, g.y, p.x px, p.y py, row_number() over (partition by g.x, g.y order by round(sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)), 12), p.x, p.y) rn from g join p on p.x between g.x-300 and g.x+300 and p.y between g.y-300 and g.y+300 where sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)) <= 300)
+ select x, y, round((x+px)/2, 4) mx, round((y+py)/2, 4) my from b where rn = 1""",
+    "schema_candidates": f"""{G}, c as (select fid, unnest(['strat1', 'strat2', 'lith']) "column", unnest([strat1, strat2, lith]) v from polys), f as (select "column", v, min(fid) seen from c where v is not null and trim(v) <> '' group by all),
+ k as (select *, row_number() over (partition by "column" order by seen) rn from f) select "column", 'string' "type", string_agg(v, ',' order by seen) samples, true candidate from k where rn <= 5 group by "column" """,
+    "sv_matrix": f"""{L}, w as (select fid, v, last_v, x, y, lag(x) over o ax, lag(y) over o ay, lead(x) over o cx, lead(y) over o cy from verts window o as (partition by fid order by v)),
+ k as (select *, 4*pi()*abs((x-ax)*(cy-ay)-(cx-ax)*(y-ay))/2/pow(sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay))+sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y))+sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)), 2) c from w),
+ m(method, tolerance) as (values ('decimation', 2e0), ('decimation', 0.1e0), ('bend', 2e0), ('bend', 0.1e0))
+ select method, tolerance, count(distinct fid) features, count(*) "before", count(*) filter (v = 0 or v = last_v or (method = 'decimation' and v % greatest(case when tolerance >= 1 then least(2, (last_v+1)//2) else 10 end, 1) = 0) or (method = 'bend' and (last_v < 3 or c >= tolerance))) "after" from k, m group by all""",
+    "sv_faults": f"{G}, {NET} select line_id fid, cast(2 as bigint) vertices, round(x0+y0+x1+y1, 3) total from net",
+    "pg_triangulate_holes": f"{G}, {AREAS} select fid, round(area, 3) area from areas where not (fid % 50 = 0 and lith = 'BUILDING')",
+    "pg_filler": f"{G} select fid, true whole, true small, true \"text\" from polys",
+    "pg_lineage_fields": f"""{G}, t as (select cast(floor(fid/40e0) as bigint) fid, string_agg(cast(fid as varchar), ',' order by fid) t from polys group by 1)
+ select fid, substr(t, 1, 100) inherit, substr(t, 101, 100) inherit1, substr(t, 201, 100) inherit2, substr(t, 301, 100) inherit3 from t""",
+    "pg_thresholds": f"{G}, {AREAS}, s as (select cast(k as integer) step, pi()*(k*0.5e0/2)*(k*0.5e0/2)*1e6 threshold from range(0, 7) t(k)) select step, round(threshold, 3)+0e0 threshold, count(*) filter (area < threshold) under from s, areas group by all",
+    "src_wkt": f"{D} select fid, cast(1 as integer) parts, cast(count(*) as integer) vertices, round(sum(x+y), 9) total from pverts group by fid",
+    "cl_trends": "select o_orderkey fid, cast(o_orderkey % 360 as double) trend from orders where o_orderkey % 3 <> 0",
+    "tp_points_chain": f"{P} select ratio, cast(case when ratio = 1 then count(*) else round_even(count(*)*pow(ratio, 0.5e0), 0) end as bigint) n from points, (values (1e0), (0.75e0), (0.5e0)) t(ratio) group by ratio",
+    "tp_prepared_offset": f"""{L}, {STEPS}, {POLYGONS_SQL}, {_PROBES}, {_UNITS}, one as (select fid, max(offset_level) mo from ranked group by fid)
+ select fid, cast(mo as integer) max_offset from (select l.fid, mo, row_number() over (order by abs(mo) desc nulls last, round(len, 6) desc, l.fid) k, count(*) over () n from lens l left join one on one.fid = l.fid where l.fid % 4 = 0) q where k <= round_even(n*0.2e0, 0)""",
+    "tz_invalid": f"{G} select fid, case fid % 20 when 3 then 'crosses itself' when 7 then 'open' else 'too short' end reason from polys where fid % 20 in (3, 7, 9)",
+}
+ORACLE["tz_boundary_pins"] = ORACLE["tz_exterior_vertices"]  # the mosaic's outline is no rectangle

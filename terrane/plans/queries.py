@@ -234,7 +234,7 @@ def cl_kmeans(spark, d):
 @query
 def cl_best_k(spark, d):
     rows = lines.add_azimuth(X.lines(spark, d))
-    k, scores = clusters.best_k(rows, "endpt_az", 4, restarts=1)
+    k, scores = clusters.best_k(rows, "endpt_az", 10, restarts=2)
     return spark.createDataFrame([(n, s, n == k) for n, s in scores.items()], "k int, silhouette double, best boolean")
 
 
@@ -277,6 +277,12 @@ def net_contract(spark, d):
     return got.select("line_id", r("length").alias("length"), "segments", "edge_type")
 
 
+@query
+def net_chain_lines(spark, d):
+    got = network.chain_lines(*_network(spark, d))
+    return got.select("fid", F.size("geom").cast("bigint").alias("vertices"), r(S.line_length(F.col("geom"))).alias("length"))
+
+
 @query
 def net_paths(spark, d):
     return network.sample_paths(*_network(spark, d))
@@ -340,6 +346,11 @@ def pg_adjacency(spark, d):
     return polygons.adjacency(X.polygons(spark, d)).select("fid1", "fid2", r("shared").alias("shared"))
 
 
+@query
+def pg_adjacency_degrees(spark, d):
+    return polygons.adjacency(X.in_degrees(X.polygons(spark, d))).select("fid1", "fid2", r("shared", 9).alias("shared"))
+
+
 @query
 def pg_merge_target(spark, d):
     p = polygons.with_area(X.polygons(spark, d))
@@ -398,7 +409,82 @@ def pg_triangle_areas(spark, d):
     return polygons.triangulate(X.polygons(spark, d), ["BUILDING"], "lith", 1e9).groupBy("fid").agg(r(F.sum("area"), 3).alias("area"))
 
 
+@query
+def pg_triangulate_holes(spark, d):
+    """Dykes whose middle is a hole lose the triangles that it takes more than a tenth of."""
+    p = X.polygons(spark, d)
+    cx, cy = ((F.col("ring")[0][c] + F.col("ring")[2][c]) / 2 for c in ("x", "y"))
+    hole = F.array(*(F.struct((cx + i * 800).alias("x"), (cy + j * 800).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
+    holes = p.where("fid % 50 = 0").select("fid", hole.alias("ring"))
+    got = polygons.triangulate(p, ["BUILDING"], "lith", 1e9, holes)
+    return got.groupBy("fid").agg(r(F.sum("area"), 3).alias("area"))
+
+
+@query
+def pg_filler(spark, d):
+    return X.polygons(spark, d).select("fid", (polygons.filler("int").between(1, 100_000)).alias("whole"), (polygons.filler("float") <= 100).alias("small"), polygons.filler("text").startswith("s").alias("text"))
+
+
+@query
+def pg_lineage_fields(spark, d):
+    """Lineage of blocks of forty polygons cut into fields of a narrow sink."""
+    text = F.concat_ws(",", F.array_sort(F.collect_list(F.col("fid"))))
+    blocks = X.polygons(spark, d).groupBy(F.floor(F.col("fid") / 40).alias("fid")).agg(text.alias("t"))
+    return blocks.select("fid", *polygons.overflow(F.col("t"), width=100))
+
+
+@query
+def pg_thresholds(spark, d):
+    """Polygons under each area threshold of the series, the map's scale being a tenth."""
+    steps = polygons.threshold_series(3.0, 0.5)
+    p = polygons.with_area(X.polygons(spark, d))
+    return p.select(F.posexplode(F.array(*(F.lit(v) for v in steps))).alias("step", "threshold"), "area").groupBy("step", r("threshold", 3).alias("threshold")).agg(F.count_if(F.col("area") < F.col("threshold")).alias("under"))
+
+
+# ---------------------------------------------------------------- sources
+@query
+def src_wkt(spark, d):
+    """Polygons as text and back."""
+    from terrane.sources import layers
+
+    text = layers.to_wkt(X.in_degrees(X.polygons(spark, d)).select("fid", "ring"), "ring", "POLYGON")
+    return layers.from_wkt(text).select("fid", F.size("parts").alias("parts"), F.size("geom").alias("vertices"), r(F.aggregate("geom", F.lit(0.0), lambda s, v: s + v["x"] + v["y"]), 9).alias("total"))
+
+
+@query
+def cl_trends(spark, d):
+    odd = X.lines(spark, d).select("fid", F.when(F.col("fid") % 3 == 0, "none").otherwise((F.col("fid") % 360).cast("string")).alias("trend"))
+    return clusters.trends(odd, "trend").select("fid", "trend")
+
+
+@query
+def tp_points_chain(spark, d):
+    steps = selection.multi_scale_points(X.points(spark, d), 0.5, 0.25)
+    out = None
+    for ratio, rows in steps.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(ratio).alias("ratio"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def tp_prepared_offset(spark, d):
+    """Lines without the column that the method needs get it first."""
+    rows = X.lines(spark, d).where("fid % 4 = 0").select("fid", "geom")
+    ready = selection.prepare_lines(rows, "strat_offset", polygons=X.polygons(spark, d), columns=STRATA)
+    return selection.select_lines(ready, 0.2, "strat_offset", "max_offset").select("fid", "max_offset")
+
+
 # ---------------------------------------------------------------- topology
+@query
+def tz_invalid(spark, d):
+    """Every twentieth ring with two corners exchanged crosses itself, every twentieth is cut open."""
+    p = X.polygons(spark, d)
+    g = F.col("ring")
+    bad = F.when(F.col("fid") % 20 == 3, F.array(g[0], g[2], g[1], g[3], g[0])).when(F.col("fid") % 20 == 7, F.slice(g, 1, 4)).when(F.col("fid") % 20 == 9, F.slice(g, 1, 3)).otherwise(g)
+    return topology.invalid_rings(p.withColumn("ring", bad))
+
+
 @query
 def tz_grid_snap(spark, d):
     odd = X.lines(spark, d).withColumn("geom", F.transform("geom", lambda p: F.struct((p["x"] / 7).alias("x"), (p["y"] / 7).alias("y"))))
@@ -419,7 +505,17 @@ def tz_junctions(spark, d):
 
 @query
 def tz_shared_segments(spark, d):
-    return topology.shared_segments(X.polygons(spark, d)).select("seg_key", "polygons", r("length").alias("length"))
+    return topology.shared_segments(X.polygons(spark, d)).select("seg_key.*", "polygons", r("length").alias("length"))
+
+
+@query
+def tz_shared_segments_degrees(spark, d):
+    return topology.shared_segments(X.in_degrees(X.polygons(spark, d))).select("seg_key.*", "polygons", r("length", 9).alias("length"))
+
+
+@query
+def tz_exterior_vertices_degrees(spark, d):
+    return topology.exterior_vertices(X.in_degrees(X.polygons(spark, d)), 1e-6)
 
 
 @query
@@ -465,6 +561,24 @@ def tz_gaps(spark, d):
     return topology.gap_rings(X.polygons(spark, d).where("fid % 50 <> 25")).select("filler", r("area").alias("area"))
 
 
+@query
+def tz_gap_fill(spark, d):
+    holed = X.polygons(spark, d).where("fid % 50 <> 25")
+    return topology.fill_gaps(holed).select("fid", r(S.ring_area(F.col("ring"))).alias("area"))
+
+
+@query
+def tz_overlap_fix(spark, d):
+    """Every tenth polygon's square is laid over the mosaic again, under a fid that loses."""
+    p = X.polygons(spark, d)
+    box = F.array(*(F.struct((F.col("ring")[0]["x"] + x).alias("x"), (F.col("ring")[0]["y"] + y).alias("y")) for x, y in ((0.0, 0.0), (4000.0, 0.0), (4000.0, 4000.0), (0.0, 4000.0), (0.0, 0.0))))
+    apart = p.where("fid % 10 = 0").select("fid", "ring").union(p.where("fid % 10 = 0").select((F.col("fid") + 10_000_000).alias("fid"), box))
+    fixed = topology.fix_overlaps(apart)
+    # no place is covered twice, and what was covered still is
+    sides = F.transform("ring", lambda v: v["x"])
+    return fixed.groupBy("fid").agg(r(F.sum(F.when(F.col("ring_no") == 0, S.ring_area(F.col("ring"))).otherwise(0.0)), 3).alias("largest"), F.bool_and(F.size(sides) > 3).alias("closed"))
+
+
 @query
 def tz_boundary_pins(spark, d):
     return topology.boundary_pins(X.polygons(spark, d))

@@ -61,19 +61,9 @@ def cells_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lower.union(left)
 
 
-def vertices(layer: DataFrame, geom: str = "geom") -> DataFrame:
-    """fid, v, x, y of every vertex."""
-    return layer.select("fid", F.posexplode(geom).alias("v", "p")).select("fid", "v", "p.x", "p.y")
-
-
-def segments(layer: DataFrame, ring: str = "ring") -> DataFrame:
-    """fid, s, ends and key of every side; the key reads the same from both sides."""
-    from terrane.functions.scalar import steps
-
-    rows = layer.select("fid", F.posexplode(steps(F.col(ring))).alias("s", "e")).select("fid", "s", "e.*")
-    end = lambda x, y: F.concat_ws("|", F.col(x).cast("bigint").cast("string"), F.col(y).cast("bigint").cast("string"))
-    first = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") <= F.col("y1")))
-    return rows.withColumn("seg_key", F.when(first, F.concat_ws("|", end("x0", "y0"), end("x1", "y1"))).otherwise(F.concat_ws("|", end("x1", "y1"), end("x0", "y0")))).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+def in_degrees(layer: DataFrame, geom: str = "ring") -> DataFrame:
+    """The layer with coordinates like degrees: none is a whole number."""
+    return layer.withColumn(geom, F.transform(geom, lambda p: F.struct((p["x"] / 110_001).alias("x"), (p["y"] / 110_001).alias("y"))))
 
 
 #: The same layers in SQL, for the oracle.
@@ -88,5 +78,6 @@ corners as (select fid, strat1, strat2, lith, v, i + case when v in (1,2) then 1
 pverts as (select fid, strat1, strat2, lith, v, cast(ci*2500 + ((ci*7 + cj*13) % 11 - 5)*100 as double) x, cast(cj*2500 + ((ci*5 + cj*3) % 11 - 5)*100 as double) y from corners),
 psteps as (select * from (select fid, strat1, strat2, lith, v s, x x0, y y0, lead(x) over w x1, lead(y) over w y1 from pverts window w as (partition by fid order by v)) q where x1 is not null),
 segs as (select *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) length, case when x0 < x1 or (x0 = x1 and y0 <= y1)
- then cast(cast(x0 as bigint) as varchar)||'|'||cast(cast(y0 as bigint) as varchar)||'|'||cast(cast(x1 as bigint) as varchar)||'|'||cast(cast(y1 as bigint) as varchar)
- else cast(cast(x1 as bigint) as varchar)||'|'||cast(cast(y1 as bigint) as varchar)||'|'||cast(cast(x0 as bigint) as varchar)||'|'||cast(cast(y0 as bigint) as varchar) end seg_key from psteps)"""
+ then concat_ws('|', x0, y0, x1, y1) else concat_ws('|', x1, y1, x0, y0) end seg_key from psteps)"""
+#: The mosaic of in_degrees.
+DEGREES_SQL = POLYGONS_SQL.replace("cast(ci*2500 + ((ci*7 + cj*13) % 11 - 5)*100 as double) x", "cast(ci*2500 + ((ci*7 + cj*13) % 11 - 5)*100 as double)/110001 x").replace("cast(cj*2500 + ((ci*5 + cj*3) % 11 - 5)*100 as double) y", "cast(cj*2500 + ((ci*5 + cj*3) % 11 - 5)*100 as double)/110001 y")

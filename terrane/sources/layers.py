@@ -1,4 +1,4 @@
-"""Reading and writing layers: Parquet, CSV with WKT, GeoJSON lines."""
+"""Reading and writing layers: Parquet, CSV with WKT, GeoJSON lines; reading shapefiles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources import shapefile
+
 _VERTEX = "struct<x: double, y: double>"
 
 
@@ -23,15 +25,18 @@ def from_wkt(df: DataFrame, column: str = "wkt") -> DataFrame:
 
 
 def to_wkt(df: DataFrame, geom: str = "geom", kind: str = "LINESTRING") -> DataFrame:
-    """S3: a wkt column in place of geom."""
-    body = F.concat_ws(", ", F.transform(geom, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))))
-    left, right = ("((", "))") if kind == "POLYGON" else ("(", ")")
+    """S3: a wkt column in place of geom, which is one part, or an array of parts for POLYGON and MULTILINESTRING."""
+    several = df.schema[geom].dataType.simpleString().startswith("array<array")
+    listed = lambda part: F.concat_ws(", ", F.transform(part, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))))
+    body = F.concat_ws(", ", F.transform(geom, lambda part: F.concat(F.lit("("), listed(part), F.lit(")")))) if several else listed(F.col(geom))
+    left, right = ("((", "))") if kind == "POLYGON" and not several else ("(", ")")
     return df.withColumn("wkt", F.concat(F.lit(f"{kind} {left}"), body, F.lit(right))).drop(geom)
 
 
 def read_layer(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """A layer by its format. csv holds WKT in the column wkt; geojson is
-    one feature a line, with LineString coordinates or the outer ring of a Polygon as geom and its properties as strings."""
+    one feature a line, its properties as strings; shapefile is one .shp file or a
+    folder of them, with .dbf beside. Text formats and shapefiles give parts (all rings or members, in order) and geom, the first."""
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
@@ -40,12 +45,16 @@ def read_layer(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     if kind == "geojson":
         rows = spark.read.text(path).where(F.col("value").contains('"geometry"'))
         at = lambda p: F.get_json_object("value", p)
-        line = F.from_json(at("$.geometry.coordinates"), "array<array<double>>")
-        ring = F.get(F.from_json(at("$.geometry.coordinates"), "array<array<array<double>>>"), F.lit(0))
-        xy = F.when(at("$.geometry.type") == "Polygon", ring).otherwise(line)
+        held = lambda depth: F.from_json(at("$.geometry.coordinates"), "array<" * depth + "double" + ">" * depth)
+        kind_of = at("$.geometry.type")
+        lists = F.when(kind_of == "Point", F.array(F.array(held(1)))).when(kind_of.isin("MultiPoint", "LineString"), F.array(held(2)))
+        lists = lists.when(kind_of.isin("MultiLineString", "Polygon"), held(3)).when(kind_of == "MultiPolygon", F.flatten(held(4)))
+        parts = F.transform(lists, lambda part: F.transform(part, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
         properties = F.from_json(at("$.properties"), "map<string, string>")
-        return rows.select(properties.alias("properties"), F.transform(xy, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("geom"))
-    raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson")
+        return rows.select(properties.alias("properties"), parts.alias("parts")).withColumn("geom", F.get("parts", F.lit(0)))
+    if kind == "shapefile":
+        return shapefile.read(spark, path)
+    raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson, shapefile")
 
 
 def output_path(folder: str, layer: str, method: str, parameter: float | None = None) -> str:
@@ -54,15 +63,23 @@ def output_path(folder: str, layer: str, method: str, parameter: float | None =
     return f"{folder.rstrip('/')}/{name}"
 
 
-def write_layer(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", geom: str = "geom") -> None:
-    """Csv gets WKT, geojson one feature a line; names that are taken raise, unless mode says otherwise."""
+def write_layer(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", geom: str = "geom", shape: str = "LineString") -> None:
+    """Csv gets WKT, geojson one feature a line; names that are taken raise, unless mode says otherwise.
+
+    shape: LineString, or Polygon, of which geom is the outer ring. A geom of
+    several parts (an array of arrays) is written as MultiLineString, or as one Polygon whose later rings are holes."""
+    if shape not in ("LineString", "Polygon"):
+        raise ValueError(f"unknown shape {shape!r}; known: LineString, Polygon")
+    several = df.schema[geom].dataType.simpleString().startswith("array<array")
     if kind == "parquet":
         df.write.mode(mode).parquet(path)
     elif kind == "csv":
-        to_wkt(df, geom).write.mode(mode).option("header", True).csv(path)
+        to_wkt(df, geom, ("MULTI" if several and shape == "LineString" else "") + shape.upper()).write.mode(mode).option("header", True).csv(path)
     elif kind == "geojson":
-        shape = F.struct(F.lit("LineString").alias("type"), F.transform(geom, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
-        feature = F.struct(F.lit("Feature").alias("type"), F.struct(*(c for c in df.columns if c != geom)).alias("properties"), shape.alias("geometry"))
+        listed = lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"]))
+        coordinates = F.transform(geom, listed) if several else F.array(listed(F.col(geom))) if shape == "Polygon" else listed(F.col(geom))
+        name = "MultiLineString" if several and shape == "LineString" else shape
+        feature = F.struct(F.lit("Feature").alias("type"), F.struct(*(c for c in df.columns if c != geom)).alias("properties"), F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")).alias("geometry"))
         df.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
     else:
         raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson")

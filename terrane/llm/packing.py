@@ -9,14 +9,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens of a sequence, sequences of a mixture window, queues at most (more
-#: sources share queues by hash), rows up to which a table is broadcast.
-SEQUENCE, WINDOW, MOST_QUEUES, MOST_BROADCAST = 1024, 64, 256, 200_000
+#: Tokens of a sequence, sequences of a mixture window, queues whose sizes every task
+#: holds (more are joined, with the same layout), rows up to which a table is broadcast.
+SEQUENCE, WINDOW, HELD_QUEUES, MOST_BROADCAST = 1024, 64, 256, 200_000
 #: The id after each document.
 END_ID = 0
 
@@ -50,24 +50,27 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. Plain byte-level BPE runs through a
-    faster library with the same ranks; anything else through the file's own."""
+    """Ids of texts by a tokenizer file, its added tokens included. Plain byte-level
+    BPE runs through a faster library with the same ranks, which like the file's own
+    first splits a text at added tokens; anything else through the file's own."""
 
     #: Fixed value: how byte-level BPE splits text into words.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, content: str):
-        ranks = _ranks(json.loads(content))
-        if ranks is not None:
+        spec = json.loads(content)
+        ranks, added = _ranks(spec), spec.get("added_tokens") or []
+        names = [t["content"] for t in added]
+        plain = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")) and not any(a != b and a in b for a in names for b in names)
+        if ranks is not None and plain:
             import tiktoken
 
-            own = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = own.encode_ordinary
+            own = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+            self.encode = lambda text: own.encode(text, allowed_special="all") if any(n in text for n in names) else own.encode_ordinary(text)
         else:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_str(content)
-            own.encode_special_tokens = True
             self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
 
 
@@ -108,15 +111,31 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
                     ["doc_id", "queue", "part", "before", "n", "ids"],
                 )
 
-    sources = docs.select(F.col("source").cast("string").alias("s")).distinct().limit(MOST_QUEUES + 1).count() if "source" in docs.columns else 0
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    if sources > MOST_QUEUES:
-        source = F.concat(F.lit("queue-"), F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string"))
     named = common.texts(docs, source.alias("queue"))
     return common.materialize(named.mapInArrow(run, "doc_id long, queue string, part int, before long, n long, ids binary"), "packing-tokens")
 
 
 # ---------------------------------------------------------------- layout
+def _curve(ends: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Times, and the ids that all queues have given by then, of queues that end at these times: (end, ids, weight)."""
+    at, size, weight = (np.array(c, float) for c in zip(*sorted(ends)))
+    left = weight.sum() - np.concatenate(([0.0], np.cumsum(weight)[:-1]))
+    done = np.concatenate(([0.0], np.cumsum(size)[:-1]))
+    return np.concatenate(([0.0], at)), np.concatenate(([0.0], done + left * at))
+
+
+def _rounded(end: float) -> float:
+    """An end time to 12 bits, so that any number of queues has few different ones."""
+    step = 2.0 ** (np.floor(np.log2(end)) - 11)
+    return float(np.floor(end / step + 0.5) * step)
+
+
+def _rounded_column(end: Column) -> Column:
+    step = F.pow(F.lit(2.0), F.floor(F.log2(end)) - 11)
+    return F.floor(end / step + 0.5) * step
+
+
 @dataclass
 class Layout:
     """Where each id of each queue goes, in closed form, so that windows need
@@ -124,82 +143,190 @@ class Layout:
 
     At time t queue s has given min(size_s, floor(weight_s * t)) ids; what the
     floor holds back is its deficit, carried to the next window. Window w ends
-    at the time when all queues together have given w * tokens ids, so an empty
-    queue's share goes to the others in proportion. Inside a window the queues
-    follow each other in order. Any task can place any document."""
+    at the time when all queues together have given about w * tokens ids (a curve
+    through few points), so an empty queue's share goes to the others in proportion.
+    Inside a window the queues follow each other by name. Any task can place any document."""
 
-    queues: list[str]
-    sizes: np.ndarray
-    weights: np.ndarray
+    times: np.ndarray
+    given: np.ndarray
+    total: int
     tokens: int
     sequence: int
 
-    def __post_init__(self) -> None:
-        self.total = int(self.sizes.sum())
-        self.windows = max(1, -(-self.total // self.tokens))
-        ends = np.sort(self.sizes / self.weights)
-        self.times = np.concatenate(([0.0], ends))
-        self.given = np.minimum(self.sizes, self.weights * self.times[:, None]).sum(1)
+    @property
+    def windows(self) -> int:
+        return max(1, -(-self.total // self.tokens))
 
-    def taken(self, w: np.ndarray) -> np.ndarray:
-        """(len(w), queues): ids given before window w."""
+    def time(self, w: np.ndarray) -> np.ndarray:
+        """When window w begins; after the last one all is given."""
         t = np.interp(np.minimum(w, self.windows) * float(self.tokens), self.given, self.times)
-        got = np.minimum(self.sizes, np.floor(self.weights * t[:, None])).astype(np.int64)
-        got[w >= self.windows] = self.sizes
-        return got
+        return np.where(w >= self.windows, np.inf, t)
 
-    def window_of(self, s: int, at: int) -> int:
-        """The window that holds id `at` of queue s."""
+    def taken(self, size: np.ndarray | int, weight: np.ndarray | float, w: np.ndarray) -> np.ndarray:
+        """Ids that queues of these sizes and weights have given before window w."""
+        return np.minimum(size, np.floor(weight * np.minimum(self.time(w), 1e300))).astype(np.int64)
+
+    def window_of(self, size: int, weight: float, at: int) -> int:
+        """The window that holds id `at` of a queue."""
         low, high = 0, self.windows - 1
-        near = int(np.interp(at / self.weights[s], self.times, self.given) // self.tokens)
+        near = int(np.interp(at / weight, self.times, self.given) // self.tokens)
         if 0 < near < self.windows - 1:
-            a = self.taken(np.arange(max(near - 1, 0), near + 3))[:, s]
+            a = self.taken(size, weight, np.arange(near - 1, near + 3))
             if a[0] <= at < a[-1]:
-                return max(near - 1, 0) + int(np.searchsorted(a, at, "right")) - 1
+                return near - 1 + int(np.searchsorted(a, at, "right")) - 1
         while low < high:
             mid = (low + high + 1) // 2
-            if self.taken(np.array([mid]))[0, s] <= at:
+            if self.taken(size, weight, np.array([mid]))[0] <= at:
                 low = mid
             else:
                 high = mid - 1
         return low
 
-    def pieces(self, s: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
-        """(start in the document, length, sequence, offset) of ids start..start + n of queue s."""
-        first, last = self.window_of(s, start), self.window_of(s, start + n - 1)
-        taken = self.taken(np.arange(first, last + 2))
+    def shares(self, size: int, weight: float, start: int, n: int) -> list[tuple[int, int, int, int]]:
+        """(window, start in the document, length, place among the queue's ids of the window) of ids start..start + n of a queue."""
+        first, last = self.window_of(size, weight, start), self.window_of(size, weight, start + n - 1)
+        taken = self.taken(size, weight, np.arange(first, last + 2))
         out = []
         for k in range(last - first + 1):
-            a, b = max(start, int(taken[k, s])), min(start + n, int(taken[k + 1, s]))
-            at = int(taken[k].sum() + (taken[k + 1, :s] - taken[k, :s]).sum()) + a - int(taken[k, s])
-            while a < b:
-                size = min(b - a, self.sequence - at % self.sequence)
-                out.append((a - start, size, at // self.sequence, at % self.sequence))
-                a, at = a + size, at + size
+            a, b = max(start, int(taken[k])), min(start + n, int(taken[k + 1]))
+            if a < b:
+                out.append((first + k, a - start, b - a, a - int(taken[k])))
+        return out
+
+    def cut(self, a: int, n: int, at: int) -> list[tuple[int, int, int, int]]:
+        """(start in the document, length, sequence, offset): n ids from place `at` on, cut at the ends of sequences."""
+        out = []
+        while n:
+            size = min(n, self.sequence - at % self.sequence)
+            out.append((a, size, at // self.sequence, at % self.sequence))
+            a, n, at = a + size, n - size, at + size
         return out
 
 
+_PIECES = "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
+def _ids(raw: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if raw.size == 2 * n else np.uint32).astype("<u4")
+
+
+def _batches(rows: Iterator[tuple], schema: list[tuple[str, pa.DataType]], most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows, whose last column is bytes: `most` bytes or one row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held), schema)], [n for n, _ in schema])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held), schema)], [n for n, _ in schema])
+
+
+_ARROW = [("doc_id", pa.int64()), ("queue", pa.string()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())]
+
+
+def _place_held(placed: DataFrame, layout: Layout, queues: list[str], sizes: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """Pieces, where every task holds all queues' sizes."""
+    number = {q: i for i, q in enumerate(queues)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            begins: dict[int, list[int]] = {}  # where each queue begins in a window
+            for batch in batches:
+                doc_id, queue, n, at = (common.column_of(batch, c).to_pylist() for c in ("doc_id", "queue", "n", "at"))
+                ids = common.column_of(batch, "ids")
+                for i in range(len(doc_id)):
+                    s, own = number[queue[i]], _ids(ids[i].as_buffer(), n[i])
+                    for w, a, k, into in layout.shares(int(sizes[s]), float(weights[s]), at[i], n[i]):
+                        if w not in begins:
+                            if len(begins) > 4096:
+                                begins.clear()
+                            before, after = layout.taken(sizes, weights, np.array([w])), layout.taken(sizes, weights, np.array([w + 1]))
+                            begins[w] = (before.sum() + np.cumsum(after - before) - (after - before)).tolist()
+                        for b, size, sequence, offset in layout.cut(a, k, begins[w][s] + into):
+                            yield doc_id[i], queue[i], b, size, n[i], sequence, offset, own[b : b + size].tobytes()
+
+        yield from _batches(rows(), _ARROW, common.SLICE_BYTES)
+
+    return placed.mapInArrow(run, _PIECES)
+
+
+def _place_joined(placed: DataFrame, layout: Layout, stats: DataFrame) -> DataFrame:
+    """The same pieces where the queues are too many for that: documents are cut
+    at windows by their own queue's size, what each queue has in each window is
+    summed, and running sums over range partitions say where it begins."""
+    from terrane.operators.graphs import cut
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                doc_id, queue, n, at, size, weight = (common.column_of(batch, c).to_pylist() for c in ("doc_id", "queue", "n", "at", "size", "weight"))
+                ids = common.column_of(batch, "ids")
+                for i in range(len(doc_id)):
+                    own = _ids(ids[i].as_buffer(), n[i])
+                    for w, a, k, into in layout.shares(size[i], weight[i], at[i], n[i]):
+                        yield doc_id[i], queue[i], w, a, k, into, n[i], own[a : a + k].tobytes()
+
+        kinds = [("doc_id", pa.int64()), ("queue", pa.string()), *((c, pa.int64()) for c in ("window", "a", "k", "into", "n")), ("ids", pa.binary())]
+        yield from _batches(rows(), kinds, common.SLICE_BYTES)
+
+    stats = F.broadcast(stats) if stats.count() <= MOST_BROADCAST else stats
+    shares = common.materialize(placed.join(stats, "queue").mapInArrow(split, "doc_id long, queue string, window long, a long, k long, into long, n long, ids binary"), "packing-shares")
+    held = cut(shares.groupBy("window", "queue").agg(F.sum("k").alias("k")).repartitionByRange("window", "queue").withColumn("part", F.spark_partition_id()))
+    from pyspark.sql import Window
+
+    up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy("part").agg(F.sum("k").alias("k")).select("part", F.coalesce(F.sum("k").over(up_to), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("window", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.join(F.broadcast(parts), "part").select("window", "queue", (F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0))).alias("base"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                doc_id, queue, a, k, into, base, n = (common.column_of(batch, c).to_pylist() for c in ("doc_id", "queue", "a", "k", "into", "base", "n"))
+                ids = common.column_of(batch, "ids").to_pylist()
+                for i in range(len(doc_id)):
+                    for b, size, sequence, offset in layout.cut(a[i], k[i], base[i] + into[i]):
+                        yield doc_id[i], queue[i], b, size, n[i], sequence, offset, ids[i][4 * (b - a[i]) : 4 * (b - a[i] + size)]
+
+        yield from _batches(rows(), _ARROW, common.SLICE_BYTES)
+
+    return shares.join(bases, ["window", "queue"]).mapInArrow(run, _PIECES)
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, mixture: dict[str, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
     """Pieces of every document: doc_id, queue, start, length, doc_tokens,
     sequence_id, offset, ids (little-endian unsigned 32 bits).
 
     mixture: weights of the sources (default: their shares of all ids; sources
-    that it leaves out get the least weight named). Every window of `window`
+    that it leaves out get the least weight named). Every window of about `window`
     sequences holds each queue's share to within one id, until a queue is empty.
-    All sequences but the last are full. Null text: only the end id. Null source
-    or no such column: one queue. Repeated rows are packed each. Empty table:
-    no pieces."""
+    Every source has a queue of its own, however many there are. All sequences
+    but the last are full. Null text: only the end id. Null source or no such
+    column: one queue, named by the empty text. Repeated rows are packed each. Very
+    long texts are cut where sequences end. Empty table: no pieces."""
     spark = docs.sparkSession
     tokens = tokenize(docs, tokenizer or default_tokenizer())
     parts = common.materialize(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "packing-parts")
-    sums = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MOST_QUEUES rows
-    queues = sorted(sums)
-    if not queues:
-        return spark.createDataFrame([], "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-    sizes = np.array([sums[q] for q in queues], np.int64)
-    named = {q: w for q, w in (mixture or {}).items() if w > 0}
-    weights = np.array([named.get(q, min(named.values())) for q in queues], float) if named else sizes / sizes.sum()
-    layout = Layout(queues, sizes, weights, window * sequence, sequence)
+    stats = common.materialize(parts.groupBy("queue").agg(F.sum("n").alias("size")), "packing-queues")
+    total = stats.agg(F.sum("size")).first()[0]
+    if not total:
+        return spark.createDataFrame([], _PIECES)
+    named = {q: float(w) for q, w in (mixture or {}).items() if w > 0}
+    known = spark.createDataFrame(list(named.items()) or [("", 0.0)], "queue string, weight double")
+    if named:
+        weight = F.coalesce("weight", F.lit(min(named.values())))
+        rest = stats.join(F.broadcast(known.select("queue")), "queue", "left_anti").groupBy("size").agg(F.count("*").alias("n"))
+        # by size: few rows once ends are rounded
+        ends = [(r["end"], r["ids"], r["w"]) for r in rest.withColumn("end", _rounded_column(F.col("size") / min(named.values()))).groupBy("end").agg(F.sum(F.col("size") * F.col("n")).alias("ids"), (F.sum("n") * min(named.values())).alias("w")).collect()]
+        ends += [(_rounded(r["size"] / r["weight"]), r["size"], r["weight"]) for r in stats.join(F.broadcast(known), "queue").collect()]
+        times, given = _curve(ends)
+        given = given * (total / given[-1])
+    else:
+        weight, times, given = F.col("size") / total, np.array([0.0, total]), np.array([0.0, total])
+    stats = stats.join(F.broadcast(known), "queue", "left").withColumn("weight", weight) if named else stats.withColumn("weight", weight)
+    layout = Layout(times, given, total, window * sequence, sequence)
 
     # where each task's part of a queue starts; narrow rows, one for each queue and task
     from pyspark.sql import Window
@@ -209,25 +336,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, mixture: dict[str, float
     if parts.count() <= MOST_BROADCAST:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", "n", (F.col("base") + F.col("before")).alias("at"), "ids")
-    place = {q: i for i, q in enumerate(queues)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_id, queue, n, at = (common.column_of(batch, c).to_pylist() for c in ("doc_id", "queue", "n", "at"))
-            ids = common.column_of(batch, "ids")
-            lo = 0
-            while lo < len(doc_id):
-                hi, size, rows = lo, 0, []
-                while hi < len(doc_id) and (hi == lo or size < common.SLICE_BYTES // 4):
-                    raw = ids[hi].as_buffer()
-                    own = np.frombuffer(raw, np.uint16 if raw.size == 2 * n[hi] else np.uint32).astype("<u4")
-                    rows += [(doc_id[hi], queue[hi], a, k, n[hi], seq, off, own[a : a + k].tobytes()) for a, k, seq, off in layout.pieces(place[queue[hi]], at[hi], n[hi])]
-                    size += n[hi]
-                    hi += 1
-                lo = hi
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()])], ["doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    return placed.mapInArrow(run, "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    some = sorted((r["queue"], r["size"], r["weight"]) for r in stats.limit(HELD_QUEUES + 1).collect())
+    if len(some) > HELD_QUEUES:
+        return _place_joined(placed, layout, stats.select("queue", "size", "weight"))
+    queues, sizes, weights = zip(*some)
+    return _place_held(placed, layout, list(queues), np.array(sizes, np.int64), np.array(weights, float))
 
 
 def digests(pieces: DataFrame) -> DataFrame:
@@ -236,4 +349,5 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1,024; cases as in pack(). Rows with a null doc_id are packed under a null id."""
     return digests(pack(common.read(spark, sf_dir, "documents")))

@@ -1,11 +1,8 @@
-"""Shared pieces of the corpus operators: the shared folder, byte-level text
-kernels in numpy, and connected components by DataFrame operations."""
+"""Shared pieces of the corpus operators: written tables, byte-level text kernels
+in numpy, and connected components by DataFrame operations."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators.graphs import components, cut
+
 #: Bytes of text that a numpy kernel handles at once; a longer document is handled alone.
 SLICE_BYTES = 1 << 19
 
@@ -22,26 +21,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 # ---------------------------------------------------------------- the session
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own if that is unset (single-machine use and tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            made = spark.sparkContext.getCheckpointDir()
-        folder = made
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is
-    cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written as Parquet into the shared folder (spark.checkpoint.dir) and read
+    back: lineage is cut, and a lost executor costs no recomputation. name says what it is to a reader of the code."""
+    return cut(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -148,28 +131,6 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> t
 
 
 # ---------------------------------------------------------------- connected components
-def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
-    """(id, component): each end of an edge (a, b) with the smallest id that it
-    reaches. Large-star and small-star rounds over a written edge table, so
-    neither a hub nor the graph meets in one task: every step is a grouped
-    minimum (combined before the shuffle) and an equi-join."""
-    spark = edges.sparkSession
-    now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    for _ in range(most_rounds):
-        # large star: each node's larger neighbours point to its smallest neighbour
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        # small star: a node and its smaller neighbours point to the smallest of them
-        large = materialize(large, name)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), F.col("b")).union(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-        small = materialize(small, name)
-        # done when every node of the graph points to a root that is no one's child
-        roots = small.select(F.col("a").alias("id")).distinct()
-        children = small.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        if not children.join(roots, "id", "left_semi").take(1) and not children.groupBy("id").count().where("count > 1").take(1):
-            return children.union(roots.select("id", F.col("id").alias("component")))
-        now = small
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component): each end of an edge (a, b) with the smallest id that it reaches."""
+    return components(edges.where("a <> b"))

@@ -226,4 +226,5 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents; cases as in contaminated()."""
     return contaminated(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))

@@ -35,7 +35,12 @@ def parameters(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]
 def _hashes(x: np.ndarray, k: int, tables: int, seed: int = 5) -> np.ndarray:
     """(rows, tables) bucket keys of unit vectors."""
     rng = np.random.default_rng([seed, x.shape[1], k, tables])
-    cells = np.floor((x @ rng.normal(size=(x.shape[1], tables * k)) + rng.uniform(0, WIDTH, tables * k)) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
+    axes, shift = rng.normal(size=(x.shape[1], tables * k)), rng.uniform(0, WIDTH, tables * k)
+    # one component after another: a matrix product may round by the number of rows, and a key must not depend on that
+    at = np.tile(shift, (len(x), 1))
+    for j in range(x.shape[1]):
+        at += x[:, j, None] * axes[j]
+    cells = np.floor(at / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
     h = np.tile(common.salts(61, tables), (len(x), 1))
     for j in range(k):
         h = common.mix(h * np.uint64(31) + cells[:, :, j])
@@ -214,4 +219,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links within a label at cosine 0.93; cases as in near_duplicates()."""
     return near_duplicates(common.read(spark, sf_dir, "embeddings"))

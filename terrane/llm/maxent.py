@@ -275,4 +275,5 @@ def language_model(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; cases as in language_model()."""
     return language_model(common.read(spark, sf_dir, "documents"))

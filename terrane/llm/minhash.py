@@ -136,14 +136,14 @@ def _dense(members: DataFrame) -> DataFrame:
     sized = members.groupBy("node").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("node", "blocks")
     own = members.join(sized, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = own.select("node", "id", "s1", "s2", "block", F.explode(meets).alias("at"))
+    dealt = own.select("node", "id", "s1", "s2", "block", F.explode(meets).alias("at")).withColumn("g", F.struct("node", "at"))
 
-    def compare(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sort_values("id")
-        bits, ids = _bits(rows), rows["id"].to_numpy()
-        left = np.flatnonzero(rows["block"] == key[1])
+        bits, ids, at = _bits(rows), rows["id"].to_numpy(), rows["at"].iloc[0]
+        left = np.flatnonzero(rows["block"] == at)
         found = []
-        for right in {key[1], 0}:
+        for right in {at, 0}:
             right = np.flatnonzero(rows["block"] == right)
             if len(left) and len(right):
                 m = np.where(ids[left][:, None] != ids[right][None, :], _agree(bits[left], bits[right]), 0)
@@ -153,7 +153,7 @@ def _dense(members: DataFrame) -> DataFrame:
         p, q = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
-    return dealt.groupBy("node", "at").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("g").applyInPandas(compare, "a long, b long")
 
 
 def _forest(label: np.ndarray, touches: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def _forest(label: np.ndarray, touches: Iterator[tuple[int, np.ndarray]]) -> tup
 
 
 def _outside(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows (key, id, c, weight, ...) dealt to groups (key, at, with) so that each row
+    """Rows (key, id, c, weight, ...) dealt to groups (g) so that each row
     outside its key's largest component c meets each row of the key in one group.
 
     Rows of the largest component never meet each other, and keys of one component
@@ -184,7 +184,9 @@ def _outside(rows: DataFrame, key: str, name: str) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     asks = held.where("c <> main").select(*rows.columns, place("few").alias("at"), every("all").alias("with"), F.lit(True).alias("asks"))
-    return asks.union(held.select(*rows.columns, every("few").alias("at"), place("all").alias("with"), F.lit(False).alias("asks")))
+    dealt = asks.union(held.select(*rows.columns, every("few").alias("at"), place("all").alias("with"), F.lit(False).alias("asks")))
+    # one column names a group: of several Spark would take the partitioning by key for good enough
+    return dealt.withColumn("g", F.xxhash64(key, "at", "with")).drop("at", "with")
 
 
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,14 +210,14 @@ def _clusters(members: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j])})
 
     dealt = _outside(members.withColumn("weight", F.lit(0)), "node", "minhash-nodes")
-    found = common.connected_components(dealt.groupBy("node", "at", "with").applyInPandas(compare, "a long, b long"), "minhash-clusters")
+    found = common.connected_components(dealt.groupBy("g").applyInPandas(compare, "a long, b long"))
     return common.materialize(found.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "minhash-clusters")
 
 
 def _bridges(sets: DataFrame, labels: DataFrame, clusters: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): confirmed links between components of a cluster. Candidates are compared
     on full sets within groups; a group returns a spanning forest of its links."""
-    rows = sets.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")).join(clusters, "c")
+    rows = common.materialize(sets.drop("path").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")).join(clusters, "c"), "minhash-rows")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,9 +250,21 @@ def _bridges(sets: DataFrame, labels: DataFrame, clusters: DataFrame, docs: Data
         ids = rows["id"].to_numpy()
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
-    held = common.texts(docs).join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full, "id long, held binary")
-    dealt = _outside(rows.select("cluster", "id", "c", "s1", "s2", F.col("n_shingles").alias("weight")).join(held, "id"), "cluster", "minhash-bridges")
-    return dealt.groupBy("cluster", "at", "with").applyInPandas(compare, "a long, b long")
+    def hopeful(rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a group that have a candidate of another component there."""
+        rows, left, right, label = _sides(rows)
+        near = (_agree(_bits(rows.iloc[left]), _bits(rows.iloc[right])) >= AGREE) & (label[left][:, None] != label[right][None, :])
+        ids, g = rows["id"].to_numpy(), rows["g"].iloc[0]
+        sides = [(left[near.any(1)], True), (right[near.any(0)], False)]
+        return pd.concat([pd.DataFrame({"g": g, "id": ids[at], "asks": asks}) for at, asks in sides])
+
+    # narrow rows meet first; full sets travel only to groups in which they have a candidate
+    dealt = _outside(rows.select("cluster", "id", "c", "s1", "s2", F.col("n_shingles").alias("weight")), "cluster", "minhash-bridges")
+    wanted = common.materialize(dealt.groupBy("g").applyInPandas(hopeful, "g long, id long, asks boolean"), "minhash-hopeful")
+    some = wanted.select(F.col("id").alias("doc_id")).distinct()
+    held = common.materialize(common.texts(docs).join(some, "doc_id", "left_semi").mapInArrow(full, "id long, held binary"), "minhash-sets")
+    met = wanted.join(rows.select("id", "c", "s1", "s2"), "id").join(held, "id")
+    return met.groupBy("g").applyInPandas(compare, "a long, b long")
 
 
 def branch(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -377,4 +391,5 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by two-word shingles at 0.8; cases as in near_duplicates()."""
     return near_duplicates(common.read(spark, sf_dir, "documents"), k=2)

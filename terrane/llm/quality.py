@@ -95,6 +95,14 @@ def features(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of factor z = b for a lower triangular factor."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Per class: mean, Cholesky factor of the shrunk covariance, log prior; and a scale of the log odds."""
@@ -108,7 +116,7 @@ class Discriminant:
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = []
         for mean, factor, prior in zip(self.means, self.factors, self.priors):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             out.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(0))
         return out[1] - out[0]
 
@@ -186,4 +194,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; cases as in classify()."""
     return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))

@@ -318,4 +318,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; cases as in classify()."""
     return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))

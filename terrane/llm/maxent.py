@@ -1,10 +1,13 @@
 """LM scoring: a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, context). The most
-frequent words stand in classes by rank; all others, the unseen one included,
-form the last class, inside which a word has its smoothed share of counts. Both
-softmaxes are linear in hashed features of the two words before: the word
-before, the pair, and the word before that alone (skip).
+A word is reached by choices among at most 33 children: P(word | context) is the
+product of P(child | node, context) on its way. The most frequent words stand in
+classes by rank, one choice of the class and one of the word. The last class holds
+all others, however many: its words, the unseen one included, are dealt to groups
+by hash, reached digit by digit through classes of 32, and in its group a word has
+its smoothed share of counts. The number of levels follows the vocabulary. All
+choices are softmaxes, linear in hashed features of the two words before: the
+word before, the pair, and the word before that alone (skip).
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Classes and words of a class, bits of hashed features, rounds of averaged updates, words of a batch, step size.
-CLASSES, SIZE, BITS, ROUNDS, BATCH, STEP = 32, 32, 14, 2, 8192, 0.08
+#: Classes and words of a class, rounds of averaged updates, words of a batch, step size.
+CLASSES, SIZE, ROUNDS, BATCH, STEP = 32, 32, 2, 8192, 0.08
+#: Bits of hashed features, and levels of groups by hash: at least and at most (they follow the vocabulary).
+BITS, LEVELS = (14, 16), (1, 2)
 #: Most frequent words whose counts every task holds; all others are joined.
 HELD = 300_000
 #: Rows of weights that travel together, deltas summed by one group.
@@ -61,17 +66,22 @@ def count(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Head words, priors and weights. A head word's rank gives its class and place."""
+    """Head words, priors and weights. A head word's rank gives its class and place.
+
+    Nodes below the root: one for each class of head words, then the levels of groups."""
 
     total: int  # training tokens
     types: int
+    bits: int
+    levels: int
     head: np.ndarray  # sorted hashes
     rank: np.ndarray  # of each
+    count: np.ndarray  # of each
     class_prior: np.ndarray  # (CLASSES + 1)
-    word_prior: np.ndarray  # (CLASSES, SIZE)
-    tail_mass: float  # smoothed count of the last class
+    node_prior: np.ndarray  # (nodes, SIZE)
+    group_mass: np.ndarray  # smoothed count of each group
     class_weights: np.ndarray
-    word_weights: np.ndarray
+    node_weights: np.ndarray
 
     @property
     def mass(self) -> float:
@@ -84,24 +94,63 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, token), len(self.head) - 1)
         return np.where(self.head[at] == token, self.rank[at], -1)
 
+    def group(self, token: np.ndarray) -> np.ndarray:
+        return group_of(token, self.levels)
+
+    def steps(self, token: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The choices below the root: place among the tokens, node, child."""
+        head, tail = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        at, node, child = [head], [rank[head] // SIZE], [rank[head] % SIZE]
+        group, first = self.group(token[tail]), CLASSES
+        for level in range(self.levels):
+            way = group // SIZE ** (self.levels - level)
+            at.append(tail)
+            node.append(first + way)
+            child.append(group // SIZE ** (self.levels - level - 1) % SIZE)
+            first += SIZE**level
+        return np.concatenate(at), np.concatenate(node), np.concatenate(child)
+
+
+def group_of(token: np.ndarray, levels: int) -> np.ndarray:
+    """Group of a word: SIZE ** levels of them, by hash."""
+    return (common.mix(token + _TEMPLATE[0]) % np.uint64(SIZE**levels)).astype(np.int64)
+
 
 def start(counts: DataFrame) -> Model:
-    """A model that equals the smoothed word frequencies: all weights zero."""
+    """A model of word frequencies: all weights zero. Head words, group sums and
+    sizes reach the driver: 1,024 and at most SIZE ** 3 rows."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
+    bits = int(np.clip(np.floor(np.log2(max(v, 2))), *BITS))
+    levels = int(np.clip(np.round(np.log(max(v, 2) / SIZE) / np.log(SIZE)), *LEVELS))
     top = counts.orderBy(F.desc("c"), "token").limit(CLASSES * SIZE).collect()
     words = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     share = np.full(CLASSES * SIZE, 0.0)
     share[: len(top)] = [r["c"] + ALPHA for r in top]
     share = share.reshape(CLASSES, SIZE)
-    tail = max(n + ALPHA * (v + 1) - share.sum(), ALPHA)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(SIZE**levels)
+        for batch in batches:
+            token, c = common.column_of(batch, "token").to_numpy().view(np.uint64), common.column_of(batch, "c").to_numpy()
+            rare = ~np.isin(token, words)
+            mass += np.bincount(group_of(token[rare], levels), c[rare] + ALPHA, len(mass))
+        some = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some])], ["g", "mass"])
+
+    group_mass = np.full(SIZE**levels, ALPHA)  # of each group's unseen word
+    for r in counts.mapInArrow(sums, "g long, mass double").groupBy("g").agg(F.sum("mass").alias("mass")).collect():
+        group_mass[r["g"]] += r["mass"]
     with np.errstate(divide="ignore"):
-        by_class = np.append(share.sum(1), tail)
+        by_class = np.append(share.sum(1), group_mass.sum())
         class_prior = np.maximum(np.log(by_class / by_class.sum()), _NEVER)
-        word_prior = np.maximum(np.log(share / np.maximum(share.sum(1, keepdims=True), 1e-9)), _NEVER)
+        rows = [np.maximum(np.log(share / np.maximum(share.sum(1, keepdims=True), 1e-9)), _NEVER)]
+        for level in range(levels):
+            below = group_mass.reshape(SIZE**level, SIZE, -1).sum(2)
+            rows.append(np.log(below / below.sum(1, keepdims=True)))
     order = np.argsort(words)
-    d = 1 << BITS
-    return Model(n, v, words[order], order, class_prior.astype(np.float32), word_prior.astype(np.float32), float(tail), np.zeros((d, CLASSES + 1), np.float32), np.zeros((d, SIZE), np.float32))
+    d = 1 << bits
+    return Model(n, v, bits, levels, words[order], order, np.array([r["c"] for r in top], np.int64)[order], class_prior.astype(np.float32), np.concatenate(rows).astype(np.float32), group_mass, np.zeros((d, CLASSES + 1), np.float32), np.zeros((d, SIZE), np.float32))
 
 
 def _features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -119,22 +168,28 @@ def _features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Log probabilities."""
     logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+    return logits
 
 
-def _slots(f: np.ndarray) -> np.ndarray:
-    return (f >> np.uint64(64 - BITS)).astype(np.uint16)
+def _logits(prior: np.ndarray, weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    out = weights.take(slots[0], axis=0)
+    out += prior
+    for s in slots[1:]:
+        out += weights.take(s, axis=0)
+    return out
 
 
-def _forward(model: Model, f: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log probabilities of classes, and of words for head targets, with the slots that made them."""
-    class_slots = _slots(f)
-    by_class = _softmax(model.class_prior + model.class_weights[class_slots[0]] + model.class_weights[class_slots[1]] + model.class_weights[class_slots[2]])
-    head = np.flatnonzero(rank >= 0)
-    kind = rank[head] // SIZE
-    word_slots = _slots(common.mix(f[:, head] + (kind + 1).astype(np.uint64)))
-    by_word = _softmax(model.word_prior[kind] + model.word_weights[word_slots[0]] + model.word_weights[word_slots[1]] + model.word_weights[word_slots[2]])
-    return class_slots, by_class, head, kind, word_slots, by_word
+def _forward(model: Model, f: np.ndarray, token: np.ndarray, rank: np.ndarray) -> tuple:
+    """Log probabilities of classes, and of children for each choice below, with the
+    slots that made them: (class slots, by class), (place, child, slots, by child)."""
+    slots = lambda h: (h >> np.uint64(64 - model.bits)).astype(np.uint16)
+    top = slots(f)
+    by_class = _softmax(_logits(model.class_prior, model.class_weights, top))
+    at, node, child = model.steps(token, rank)
+    low = slots(common.mix(f[:, at] + (node + 1).astype(np.uint64)))
+    by_child = _softmax(_logits(model.node_prior.take(node, axis=0), model.node_weights, low))
+    return (top, by_class), (at, child, low, by_child)
 
 
 def _update(weights: np.ndarray, seen: np.ndarray, slots: np.ndarray, error: np.ndarray) -> None:
@@ -143,10 +198,13 @@ def _update(weights: np.ndarray, seen: np.ndarray, slots: np.ndarray, error: np.
     order = np.argsort(flat, kind="stable")
     rows = flat[order]
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    gradient = np.add.reduceat(error[order % len(error)], first, axis=0)
+    order %= len(error)
+    gradient = np.add.reduceat(error.take(order, axis=0), first, axis=0)
     rows = rows[first]
-    seen[rows] += (gradient * gradient).mean(1)
-    weights[rows] += (STEP / np.sqrt(seen[rows] + 1e-3))[:, None] * gradient
+    seen[rows] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+    gradient *= (STEP / np.sqrt(seen[rows] + 1e-3))[:, None]
+    gradient += weights.take(rows, axis=0)
+    weights[rows] = gradient
 
 
 def train(docs: DataFrame, model: Model) -> Model:
@@ -161,8 +219,8 @@ def train(docs: DataFrame, model: Model) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             base = shared.value
-            own = Model(**{**base.__dict__, "class_weights": base.class_weights.copy(), "word_weights": base.word_weights.copy()})
-            seen = [np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)]
+            own = Model(**{**base.__dict__, "class_weights": base.class_weights.copy(), "node_weights": base.node_weights.copy()})
+            seen = [np.zeros(1 << base.bits, np.float32), np.zeros(1 << base.bits, np.float32)]
             n = 0
             for batch in batches:
                 for _, _, data, offsets in common.slices(common.column_of(batch, "text")):
@@ -171,45 +229,55 @@ def train(docs: DataFrame, model: Model) -> Model:
                     n += len(token)
                     for a in range(0, len(token), BATCH):
                         b = slice(a, a + BATCH)
-                        class_slots, by_class, head, kind, word_slots, by_word = _forward(own, f[:, b], rank[b])
+                        (top, by_class), (_, child, low, by_child) = _forward(own, f[:, b], token[b], rank[b])
                         error = -np.exp(by_class)
                         error[np.arange(len(error)), np.where(rank[b] >= 0, rank[b] // SIZE, CLASSES)] += 1
-                        _update(own.class_weights, seen[0], class_slots, error)
-                        if len(head):
-                            error = -np.exp(by_word)
-                            error[np.arange(len(error)), rank[b][head] % SIZE] += 1
-                            _update(own.word_weights, seen[1], word_slots, error)
+                        _update(own.class_weights, seen[0], top, error)
+                        error = -np.exp(by_child)
+                        error[np.arange(len(error)), child] += 1
+                        _update(own.node_weights, seen[1], low, error)
             part = TaskContext.get().partitionId()
-            for which, (new, old) in enumerate(((own.class_weights, base.class_weights), (own.word_weights, base.word_weights))):
+            for which, (new, old) in enumerate(((own.class_weights, base.class_weights), (own.node_weights, base.node_weights))):
                 for at in range(0, len(new) if n else 0, ROWS):
+                    if not (new[at : at + ROWS] != old[at : at + ROWS]).any():
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([at], pa.int32()), pa.array([part], pa.int64()), pa.array([float(n)]), pa.array([((new[at : at + ROWS] - old[at : at + ROWS]) * n).tobytes()], pa.binary())], ["which", "at", "part", "n", "change"])
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             total = np.sum([np.frombuffer(c, np.float32) for c in rows["change"]], axis=0, dtype=np.float64)
             return pd.DataFrame({"which": rows["which"][:1], "at": rows["at"][:1], "part": rows["part"][:1] // FAN_IN, "n": [rows["n"].sum()], "change": [total.astype(np.float32).tobytes()]})
 
+        # rows that a task left alone count with its tokens all the same
+
         schema = "which int, at int, part long, n double, change binary"
         turn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)) == number).select("text")
         changes, parts = turn.mapInArrow(run, schema), docs.rdd.getNumPartitions()
         while parts > 1:
             changes, parts = changes.groupBy("which", "at", F.expr(f"part div {FAN_IN}").alias("of")).applyInPandas(add, schema), -(-parts // FAN_IN)
-        class_weights, word_weights = model.class_weights.copy(), model.word_weights.copy()
-        for r in changes.collect():
-            into = (class_weights, word_weights)[r["which"]]
-            change = np.frombuffer(r["change"], np.float32).reshape(-1, into.shape[1]) / max(r["n"], 1.0)
+        class_weights, node_weights = model.class_weights.copy(), model.node_weights.copy()
+        got = changes.collect()  # one model's worth
+        walked = max((r["n"] for r in got), default=1.0)
+        for r in got:
+            into = (class_weights, node_weights)[r["which"]]
+            change = np.frombuffer(r["change"], np.float32).reshape(-1, into.shape[1]) / max(walked, 1.0)
             into[r["at"] : r["at"] + len(change)] += change
-        model = Model(**{**model.__dict__, "class_weights": class_weights, "word_weights": word_weights})
+        model = Model(**{**model.__dict__, "class_weights": class_weights, "node_weights": node_weights})
     return model
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    The HELD most frequent words' counts are in every task, all other words'
-    are joined: those are rare, so the join has no hot key."""
+    Counts of head words and of about the HELD most frequent ones are in every task,
+    all other words' are joined: those are rare, so the join has no hot key."""
     spark = docs.sparkSession
-    top = counts.orderBy(F.desc("c"), "token").limit(HELD).toArrow()
-    token, c = top["token"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    # the count from which on at most HELD words are left, by a histogram of 16 bins an octave
+    octave = F.floor(F.log2("c") * 16).cast("int")
+    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least = next((b + 1 for k, (b, _) in enumerate(bins) if sum(n for _, n in bins[: k + 1]) > HELD), 0)
+    top = counts.where(octave >= least).toArrow()
+    token, first = np.unique(np.concatenate((model.head, top["token"].to_numpy().view(np.uint64))), return_index=True)
+    c = np.concatenate((model.count, top["c"].to_numpy()))[first]
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((model, token[order], np.log10(c[order] + ALPHA)))
 
@@ -225,9 +293,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 made = np.zeros(len(tok))
                 for a in range(0, len(tok), BATCH):
                     b = slice(a, a + BATCH)
-                    _, by_class, head, _, _, by_word = _forward(model, f[:, b], rank[b])
+                    (_, by_class), (at, child, _, by_child) = _forward(model, f[:, b], tok[b], rank[b])
                     made[b] = by_class[np.arange(len(by_class)), np.where(rank[b] >= 0, rank[b] // SIZE, CLASSES)]
-                    made[a + head] += by_word[np.arange(len(head)), rank[b][head] % SIZE]
+                    made[b] += np.bincount(at, by_child[np.arange(len(at)), child], len(by_class))
                 different, back = np.unique(tok, return_inverse=True)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
@@ -236,18 +304,19 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 else:
                     known, value = np.zeros(len(different), bool), np.zeros(len(different))
                 known, value, tail = known[back], value[back], rank < 0
+                made[tail] -= np.log(model.group_mass[model.group(tok[tail])])
                 rare = np.flatnonzero(~known)
                 lists = pa.ListArray.from_arrays(np.searchsorted(row[rare], np.arange(n + 1)).astype(np.int32), pa.array(tok[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row_key, row_key + n)), ids.slice(lo, n), pa.array(np.diff(starts)), pa.array(np.bincount(row, known, n).astype(np.int64)), pa.array(np.bincount(row, tail, n).astype(np.int64)),
+                        pa.array(np.arange(row_key, row_key + n)), ids.slice(lo, n), pa.array(np.diff(starts)), pa.array(np.bincount(row, known, n).astype(np.int64)),
                         pa.array(np.bincount(row, value, n)), pa.array(np.bincount(row, np.where(tail, value, 0.0), n)), pa.array(np.bincount(row, made, n) / np.log(10)), lists,
                     ],
-                    ["row", "doc_id", "n_tokens", "n_held", "n_tail", "log_all", "log_tail", "made", "rare"],
+                    ["row", "doc_id", "n_tokens", "n_held", "log_all", "log_tail", "made", "rare"],
                 )
                 row_key += n
 
-    parts = common.materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_held long, n_tail long, log_all double, log_tail double, made double, rare array<long>"), "maxent-parts")
+    parts = common.materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_held long, log_all double, log_tail double, made double, rare array<long>"), "maxent-parts")
     rare = parts.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("log_rare"), F.count("c").alias("n_rare"))
     zero = F.lit(0.0)
@@ -257,7 +326,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         (F.col("n_held") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("log_all") + F.coalesce("log_rare", zero) - F.col("n_tokens") * float(np.log10(model.mass))).alias("base_score"),
-        (F.col("made") + F.col("log_tail") + F.coalesce("log_rare", zero) - F.col("n_tail") * float(np.log10(model.tail_mass))).alias("score"),
+        (F.col("made") + F.col("log_tail") + F.coalesce("log_rare", zero)).alias("score"),
     )
 
 

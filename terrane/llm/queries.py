@@ -19,7 +19,8 @@ from .toxicity import op3_toxicity
 
 #: All 400-byte strings, as 800 hexadecimal digits, at every place of every document.
 _SUBSTRINGS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) h, row_number() over () k from documents), n as (select doc_id, k, h, length(h)//2 n from d),
-w as (select k, i, hash(substr(h, 2*i + 1, 800)) s from n, unnest(range(0, n - 399)) t(i)), twice as (select s from w group by s having count(*) > 1),
+c as (select k, n, c, substr(h, 8192*c + 1, 8192 + 798) part from n, unnest(range(0, (n - 400)//4096 + 1)) t(c) where n >= 400),
+w as (select k, 4096*c + j i, hash(substr(part, 2*j + 1, 800)) s from c, unnest(range(0, least(4096, n - 399 - 4096*c))) u(j)), twice as (select s from w group by s having count(*) > 1),
 hit as (select k, i from w semi join twice using (s)),
 runs as (select k, i, case when i <= lag(i) over (partition by k order by i) + 400 then 0 else 1 end fresh from hit),
 numbered as (select k, i, sum(fresh) over (partition by k order by i) r from runs), spans as (select k, r, min(i) a, max(i) + 400 b from numbered group by k, r),

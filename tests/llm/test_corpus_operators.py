@@ -141,12 +141,44 @@ def test_language_model(docs, none):
     assert maxent.language_model(none).count() == 0
 
 
-def test_model_is_a_distribution(docs):
-    counts = maxent.count(common.texts(docs))
+def test_score_is_the_product_of_choices(spark, monkeypatch):
+    """By hand: the path of each word through classes and groups, and its share there; all words of a context add up to one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in (rng.pareto(0.35, 90) * 3).astype(np.int64) % 9000)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = maxent.count(common.texts(docs)).cache()
     model = maxent.train(common.texts(docs), maxent.start(counts))
-    f = maxent._features(np.array([5, 6, 7], np.uint64), np.array([0, 3]))
-    _, by_class, _, _, _, by_word = maxent._forward(model, f, np.array([0, 1, 2]))
-    assert np.allclose(np.exp(by_class).sum(1), 1, atol=1e-4) and np.allclose(np.exp(by_word).sum(1), 1, atol=1e-4)
+    seen = {r["token"]: r["c"] for r in counts.collect()}
+    token = np.array(sorted(seen), np.int64).view(np.uint64)
+    f = np.repeat(maxent._features(np.array([5, 6, 7], np.uint64), np.array([0, 3]))[:, 2:], len(token), axis=1)
+    rank = model.target(token)
+    (_, by_class), (at, child, _, by_child) = maxent._forward(model, f, token, rank)
+    log_p = by_class[np.arange(len(token)), np.where(rank >= 0, rank // 32, 32)].astype(float)
+    log_p += np.bincount(at, by_child[np.arange(len(at)), child], len(token))
+    tail = rank < 0
+    share = np.array([seen[int(t)] + 0.1 for t in token.view(np.int64)])
+    log_p[tail] += np.log(share[tail] / model.group_mass[model.group(token[tail])])
+    groups = np.arange(32**model.levels)
+    assert tail.sum() > 100 and (~tail).sum() == 1024
+    # the unseen word of each group: its path, by a token that lies there
+    ways = {int(g): t for t in common.salts(99, 1000) for g in model.group(np.array([t]))}
+    spare = np.array([ways[g] for g in groups])
+    f2 = np.repeat(f[:, :1], len(spare), axis=1)
+    (_, c2), (at2, child2, _, b2) = maxent._forward(model, f2, spare, np.full(len(spare), -1))
+    unseen = c2[:, 32] + np.bincount(at2, b2[np.arange(len(at2)), child2], len(spare)) + np.log(0.1 / model.group_mass)
+    assert abs(np.exp(log_p).sum() + np.exp(unseen).sum() - 1) < 1e-3
+    assert (model.node_weights != 0).any() and maxent.start(counts.where("false")).total == 0
+    monkeypatch.setattr(maxent, "HELD", 3)
+    a = {r["doc_id"]: r["score"] for r in maxent.score(common.texts(docs), counts, model).collect()}
+    monkeypatch.setattr(maxent, "HELD", 300_000)
+    b = {r["doc_id"]: r["score"] for r in maxent.score(common.texts(docs), counts, model).collect()}
+    assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
+    tok, starts, _ = maxent.tokens(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])]))
+    rank = model.target(tok)
+    (_, c), (at, child, _, b3) = maxent._forward(model, maxent._features(tok, starts), tok, rank)
+    want = c[np.arange(len(tok)), np.where(rank >= 0, rank // 32, 32)].sum(dtype=float) + b3[np.arange(len(at)), child].sum(dtype=float)
+    want += sum(math.log((seen.get(int(t.view(np.int64)), 0) + 0.1) / model.group_mass[model.group(np.array([t]))[0]]) for t, r in zip(tok, rank) if r < 0)
+    assert math.isclose(a[0], want / math.log(10), rel_tol=1e-4)
 
 
 def test_packing_is_whole_and_full(docs, none):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,16 +56,16 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    """Weights are BM25 impacts over an item's own score, so each item's sum to 1."""
+    """Weights are BM25 impacts over an item's own score, so each item's sum to 1. Postings are in the order of items."""
 
     ids: np.ndarray
     terms: np.ndarray  # sorted hashes
-    item_ptr: np.ndarray  # of each term: its postings
-    item_of: np.ndarray
+    posting: np.ndarray  # term * number of items + item, sorted
     weight: np.ndarray
-    block_ptr: np.ndarray  # of each essential term: its blocks and the largest weight there
+    block_ptr: np.ndarray  # of each term: its blocks, and the largest weight there
     block_of: np.ndarray
     block_max: np.ndarray
+    essential: np.ndarray  # of each term: whether it counts in block bounds by itself
     rest: np.ndarray  # of each block: the most that its items' other terms can add
     questions: list[np.ndarray]
     answers: list[np.ndarray]
@@ -75,11 +76,35 @@ class Index:
         return len(self.rest)
 
 
-def build(rows: list[tuple[int, str]]) -> Index | None:
-    """Index of (item_id, text); items of fewer than SHINGLE words are left out. None if nothing is left."""
+@dataclass
+class Statistics:
+    """Number of items, their mean length, and for how many of them each term (sorted hashes) stands."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """n, mean length and the table (term, df) of all items (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h in _tokens(common.column_of(batch, "text").to_pylist()):
+                key, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.arange(len(key)) == 0)], ["term", "tf", "first"])
+
+    terms = common.materialize(items.select("text").mapInArrow(run, "term long, tf long, first boolean"), "decontamination-terms")
+    one = terms.agg(F.count_if("first").alias("n"), F.sum("tf").alias("words")).first()
+    return one["n"], (one["words"] or 0) / max(one["n"], 1), terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def build(rows: list[tuple[int, str]], known: Statistics | None = None) -> Index | None:
+    """Index of (item_id, text), with the statistics of all items (default: of these). None if no item has a word."""
     rows = sorted({(i, t) for i, t in rows if i is not None and t})
     tokens = _tokens([t for _, t in rows])
-    keep = [k for k, h in enumerate(tokens) if len(h) >= SHINGLE]
+    keep = [k for k, h in enumerate(tokens) if len(h)]
     if not keep:
         return None
     rows, tokens = [rows[k] for k in keep], [tokens[k] for k in keep]
@@ -88,35 +113,69 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     terms, term = np.unique(np.concatenate(tokens), return_inverse=True)
     pair, tf = np.unique(term * np.int64(n) + item, return_counts=True)
     term, item = pair // n, pair % n
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+    own = np.bincount(term, minlength=len(terms))
+    all_n, mean, df = (n, lengths.mean(), own) if known is None else (known.n, known.mean, known.df[np.searchsorted(known.terms, terms)])
+    idf = np.log(1 + (all_n - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
     weight /= np.bincount(item, weight, n)[item]
     # common terms are left to a bound as long as no item's sum of them passes half of the threshold
     gone, rest = np.zeros(len(terms), bool), np.zeros(n)
-    ptr = np.concatenate(([0], np.cumsum(df)))
-    for t in np.argsort(-df, kind="stable"):
-        if df[t] <= max(2, 0.02 * n):
+    ptr = np.concatenate(([0], np.cumsum(own)))
+    for t in np.argsort(-own, kind="stable"):
+        if own[t] <= max(2, 0.02 * n):
             break
-        own = slice(ptr[t], ptr[t + 1])
-        if (rest[item[own]] + weight[own]).max() <= RETRIEVE / 2:
+        here = slice(ptr[t], ptr[t + 1])
+        if (rest[item[here]] + weight[here]).max() <= RETRIEVE / 2:
             gone[t] = True
-            rest[item[own]] += weight[own]
-    block = item // BLOCK
-    blocks = int(block.max()) + 1
+            rest[item[here]] += weight[here]
+    blocks = (n - 1) // BLOCK + 1
     rest_of = np.zeros(blocks)
     np.maximum.at(rest_of, np.arange(n) // BLOCK, rest)
-    essential = ~gone[term]
-    key, at = np.unique(term[essential] * np.int64(blocks) + block[essential], return_inverse=True)
+    key, at = np.unique(term * np.int64(blocks) + item // BLOCK, return_inverse=True)
     most = np.zeros(len(key))
-    np.maximum.at(most, at, weight[essential])
+    np.maximum.at(most, at, weight)
     split = [question_and_answer(t) for _, t in rows]
     return Index(
-        np.array([i for i, _ in rows], np.int64), terms, ptr, item, weight, np.searchsorted(key // blocks, np.arange(len(terms) + 1)), key % blocks, most, rest_of,
+        np.array([i for i, _ in rows], np.int64), terms, pair, weight, np.searchsorted(key // blocks, np.arange(len(terms) + 1)), key % blocks, most, ~gone, rest_of,
         [_shingles(h) for h in _tokens([q for q, _ in split])], [_shingles(h) for h in _tokens([a for _, a in split])], max(PASSAGE, 2 * int(lengths.max())),
     )
 
 
+def wand(index: Index, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
+    """(item, score) of a block's items that score RETRIEVE or more for a passage's
+    terms: weak-AND over their posting lists in the order of items. The pivot is the
+    first item at which the lists' largest weights in the block can add up to the
+    threshold; lists before it are moved on to it unread, and it is scored once all stand there."""
+    n, lists = np.int64(len(index.ids)), []
+    begin = np.searchsorted(index.posting, terms * n + block * BLOCK)
+    end = np.searchsorted(index.posting, terms * n + min((block + 1) * BLOCK, int(n)))
+    for a, b in zip(begin.tolist(), end.tolist()):
+        if a < b:
+            weight = index.weight[a:b].tolist()
+            lists.append([0, (index.posting[a:b] % n).tolist(), weight, max(weight)])
+    while True:
+        lists = sorted((c for c in lists if c[0] < len(c[1])), key=lambda c: c[1][c[0]])
+        bound, pivot = 0.0, None
+        for at, items, _, most in lists:
+            bound += most
+            if bound >= RETRIEVE - 1e-9:
+                pivot = items[at]
+                break
+        if pivot is None:
+            return
+        if lists[0][1][lists[0][0]] == pivot:
+            score = 0.0
+            for c in lists:
+                if c[1][c[0]] == pivot:
+                    score += c[2][c[0]]
+                    c[0] += 1
+            if score >= RETRIEVE - 1e-9:
+                yield pivot, score
+        else:
+            for c in lists:
+                c[0] = bisect.bisect_left(c[1], pivot, c[0])
+
+
 def _expand(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row its entries ptr[row]..ptr[row + 1]: (place in rows, entry)."""
     size = ptr[rows + 1] - ptr[rows]
@@ -140,31 +199,23 @@ def search(index: Index, hashes: np.ndarray, firsts: np.ndarray) -> list[tuple[i
     size = np.int64(len(index.terms))
     pair = np.unique(passage * size + np.tile(place[known], 2))
     passage, term = pair // size, pair % size
-    back, entry = _expand(index.block_ptr, term)
-    key, at = np.unique(passage[back] * np.int64(index.blocks) + index.block_of[entry], return_inverse=True)
+    # which blocks of items a passage may reach at all: sums of their largest weights
+    sure = np.flatnonzero(index.essential[term])
+    back, entry = _expand(index.block_ptr, term[sure])
+    key, at = np.unique(passage[sure[back]] * np.int64(index.blocks) + index.block_of[entry], return_inverse=True)
     bound = np.bincount(at, index.block_max[entry], len(key)) + index.rest[key % index.blocks]
     open_ = key[bound >= RETRIEVE - 1e-9]
-    if not len(open_):
-        return []
-    # score the items of the open blocks on all terms
-    lo = np.searchsorted(passage, open_ // index.blocks)
-    hi = np.searchsorted(passage, open_ // index.blocks, "right")
-    pick, at = np.repeat(np.arange(len(open_)), hi - lo), np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    back, entry = _expand(index.item_ptr, term[at])
-    here = index.item_of[entry] // BLOCK == (open_ % index.blocks)[pick[back]]
-    back, entry = back[here], entry[here]
-    n = np.int64(len(index.ids))
-    key, at = np.unique((open_ // index.blocks)[pick[back]] * n + index.item_of[entry], return_inverse=True)
-    score = np.bincount(at, index.weight[entry], len(key))
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for k in np.flatnonzero(score >= RETRIEVE - 1e-9):
-        p, i = int(key[k] // n), int(key[k] % n)
-        r = int(np.searchsorted(base, p, "right")) - 1
-        start = firsts[r] + max(0, (p - base[r] - 1) * stride)
-        text = hashes[start : min(start + index.passage, firsts[r + 1])]
-        overlap = [_share(text, part) for part in (index.questions[i], index.answers[i])]
-        if min(overlap) >= OVERLAP and ((r, i) not in best or score[k] > best[r, i][0]):
-            best[r, i] = (float(score[k]), overlap[0], overlap[1], int(start - firsts[r]))
+    for k in open_.tolist():
+        p = k // index.blocks
+        own = term[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")]
+        for i, score in wand(index, own, k % index.blocks):
+            r = int(np.searchsorted(base, p, "right")) - 1
+            start = int(firsts[r] + max(0, (p - base[r] - 1) * stride))
+            text = hashes[start : min(start + index.passage, firsts[r + 1])]
+            overlap = [_share(text, part) for part in (index.questions[i], index.answers[i])]
+            if min(overlap) >= OVERLAP and ((r, i) not in best or score > best[r, i][0]):
+                best[r, i] = (score, overlap[0], overlap[1], start - int(firsts[r]))
     return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
@@ -182,6 +233,20 @@ def _share(text: np.ndarray, part: np.ndarray) -> float:
     return float(most)
 
 
+def _known(items: DataFrame, n: int, mean: float, df: DataFrame) -> Statistics:
+    """Of all items' statistics the part that these need; bounded as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h in _tokens(common.column_of(batch, "text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], ["term"])
+
+    own = df.join(items.select("text").mapInArrow(run, "term long").distinct(), "term").toArrow()
+    terms, count = own["term"].to_numpy().view(np.uint64), own["df"].to_numpy()
+    order = np.argsort(terms)
+    return Statistics(n, mean, terms[order], count[order])
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id,
     score (share of the item's own BM25 score), question_overlap, answer_overlap,
@@ -189,18 +254,24 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Whole texts are cut into passages that overlap by half and are at least
     twice as long as any item, so that each item lies in one. Null and empty
-    texts and items, and items of fewer than five words, match nothing; copies of
-    an item under other ids match each. Repeated rows give repeated results.
-    The index is built from at most MOST_ITEMS items at a time; more items are
-    searched in so many passes, each with the statistics of its items."""
-    items = common.materialize(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"), "decontamination-items")
-    passes = max(1, -(-items.count() // (MOST_ITEMS * 3 // 4))) if items.count() > MOST_ITEMS else 1
+    texts, and items that are null or without a word, match nothing; question and
+    answer of few words have to occur whole; copies of an item under other ids match each.
+    Repeated rows give repeated results. Rows with a null doc_id count under a null
+    id. The index holds MOST_ITEMS items at most; more are searched in so many
+    passes, all with the statistics of all items, so results do not depend on it."""
+    items = common.materialize(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null"), "decontamination-items")
+    count = items.count()
+    passes = max(1, -(-count // (MOST_ITEMS * 3 // 4))) if count > MOST_ITEMS else 1
+    n, mean, df = statistics(items.distinct()) if passes > 1 else (0, 0.0, None)
+    longest = items.agg(F.max(F.length("text"))).first()[0] or 0
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     held = common.texts(docs)
     found = None
     for number in range(passes):
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number)
-        index = build([(r["item_id"], r["text"]) for r in own.collect()])
+        index = build([(r["item_id"], r["text"]) for r in own.collect()], None if passes == 1 else _known(own, n, mean, df))
+        if index is not None and passes > 1:
+            index.passage = max(PASSAGE, longest + 1)  # one length of passages for all: a word and its gap take two characters
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -273,6 +273,63 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contaminated(none, items).count() == 0 and decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def plain_bm25(rows, items):
+    """All passages against all items, by dictionaries; question and answer by sets of five words."""
+    word = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    known = {(i, t): word(t) for i, t in items if i is not None and word(t)}
+    df, mean = Counter(w for v in known.values() for w in set(v)), sum(map(len, known.values())) / max(len(known), 1)
+    size, found = max(128, 2 * max(map(len, known.values()))), {}
+
+    def weights(v):
+        w = {t: math.log(1 + (len(known) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(v) / mean)) for t, n in Counter(v).items()}
+        return {t: x / sum(w.values()) for t, x in w.items()}
+
+    def share(text, part):
+        k = min(5, len(part))
+        have, want = ({tuple(v[i : i + k]) for i in range(len(v) - k + 1)} for v in (text, part))
+        return len(have & want) / len(want) if want else 1.0
+
+    of = {key: weights(v) for key, v in known.items()}
+    for d, t in rows:
+        v = word(t)
+        for a in [0] + list(range(size // 2, max(len(v) - size // 2, 0) + size // 2, size // 2)):
+            passage = v[a : a + size]
+            for (i, text), w in of.items():
+                score = sum(x for term, x in w.items() if term in set(passage))
+                question, answer = decontamination.question_and_answer(text)
+                if score >= 0.6 - 1e-9 and min(share(passage, word(question)), share(passage, word(answer))) >= 0.8:
+                    found[d, i] = max(found.get((d, i), 0.0), score)
+    return found
+
+
+@pytest.mark.parametrize("most", [20_000, 20])
+def test_decontamination_is_plain_bm25(spark, monkeypatch, most):
+    """Also in several passes, which have the statistics of all items."""
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", most)
+    rng = np.random.default_rng(4)
+    items = [(i, sentence(500 + i, 12 + i % 40) + ". " + sentence(900 + i, 4 + i % 5) + ".") for i in range(45)] + [(60, "only three words"), (61, "..."), (62, None), (None, "no id here at all"), (1, sentence(7, 30))]
+    rows = []
+    for i in range(60):
+        w = sentence(i, int(rng.integers(0, 700))).split()
+        for item in rng.choice(45, 2):
+            part = items[item][1].split()
+            if i % 3 == 1:
+                part[int(rng.integers(len(part)))] = "changed"
+            if i % 3 == 2:
+                part = part[: len(part) * 2 // 3]
+            at = int(rng.integers(len(w) + 1))
+            w[at:at] = part
+        rows.append((i, " ".join(w)))
+    rows += [(100, None), (101, ""), (102, "he wrote only three words there"), (103, "only other words")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_bm25(rows, items)
+    if most == 20_000:
+        assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and all(math.isclose(r["score"], want[r["doc_id"], r["item_id"]], rel_tol=1e-9) for r in got)
+    else:  # longer passages: scores can only rise
+        assert {(r["doc_id"], r["item_id"]) for r in got} >= set(want)
+    assert len(want) > 30 and (102, 60) in want
+
+
 def test_classifiers(spark, none):
     rows, labels = [], []
     for i in range(400):

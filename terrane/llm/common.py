@@ -130,6 +130,20 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> t
     return span_hash(prefix_hash(flat, True), first, last), first, last, np.searchsorted(first, starts), flat
 
 
+def frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """Of counts, the rows from that count on at which `most` are left at most, by a
+    histogram of 16 bins an octave: no task and no driver sorts what is not wanted."""
+    octave = F.floor(F.log2(column) * 16).cast("int")
+    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    left, least = 0, 0
+    for b, n in bins:
+        left += n
+        if left > most:
+            least = b + 1
+            break
+    return counts.where(octave >= least)
+
+
 # ---------------------------------------------------------------- connected components
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): each end of an edge (a, b) with the smallest id that it reaches."""

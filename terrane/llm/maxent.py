@@ -117,16 +117,19 @@ def group_of(token: np.ndarray, levels: int) -> np.ndarray:
 
 
 def start(counts: DataFrame) -> Model:
-    """A model of word frequencies: all weights zero. Head words, group sums and
-    sizes reach the driver: 1,024 and at most SIZE ** 3 rows."""
+    """A model of word frequencies: all weights zero. At most HELD words and
+    SIZE ** 2 group sums reach the driver. Head words are the most frequent ones;
+    where nearly all words are equally frequent, there are fewer."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     bits = int(np.clip(np.floor(np.log2(max(v, 2))), *BITS))
     levels = int(np.clip(np.round(np.log(max(v, 2) / SIZE) / np.log(SIZE)), *LEVELS))
-    top = counts.orderBy(F.desc("c"), "token").limit(CLASSES * SIZE).collect()
-    words = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    top = common.frequent(counts, "c", HELD).toArrow()
+    c = top["c"].to_numpy()
+    best = np.lexsort((top["token"].to_numpy(), -c))[: CLASSES * SIZE]
+    words, c = top["token"].to_numpy()[best].view(np.uint64), c[best]
     share = np.full(CLASSES * SIZE, 0.0)
-    share[: len(top)] = [r["c"] + ALPHA for r in top]
+    share[: len(c)] = c + ALPHA
     share = share.reshape(CLASSES, SIZE)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,7 @@ def start(counts: DataFrame) -> Model:
             rows.append(np.log(below / below.sum(1, keepdims=True)))
     order = np.argsort(words)
     d = 1 << bits
-    return Model(n, v, bits, levels, words[order], order, np.array([r["c"] for r in top], np.int64)[order], class_prior.astype(np.float32), np.concatenate(rows).astype(np.float32), group_mass, np.zeros((d, CLASSES + 1), np.float32), np.zeros((d, SIZE), np.float32))
+    return Model(n, v, bits, levels, words[order], order, c[order], class_prior.astype(np.float32), np.concatenate(rows).astype(np.float32), group_mass, np.zeros((d, CLASSES + 1), np.float32), np.zeros((d, SIZE), np.float32))
 
 
 def _features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -271,11 +274,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     Counts of head words and of about the HELD most frequent ones are in every task,
     all other words' are joined: those are rare, so the join has no hot key."""
     spark = docs.sparkSession
-    # the count from which on at most HELD words are left, by a histogram of 16 bins an octave
-    octave = F.floor(F.log2("c") * 16).cast("int")
-    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least = next((b + 1 for k, (b, _) in enumerate(bins) if sum(n for _, n in bins[: k + 1]) > HELD), 0)
-    top = counts.where(octave >= least).toArrow()
+    top = common.frequent(counts, "c", HELD).toArrow()
     token, first = np.unique(np.concatenate((model.head, top["token"].to_numpy().view(np.uint64))), return_index=True)
     c = np.concatenate((model.count, top["c"].to_numpy()))[first]
     order = np.argsort(token)

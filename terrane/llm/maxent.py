@@ -28,10 +28,14 @@ from . import common
 CLASSES, SIZE, ROUNDS, BATCH, STEP = 32, 32, 2, 8192, 0.08
 #: Bits of hashed features, and levels of groups by hash: at least and at most (they follow the vocabulary).
 BITS, LEVELS = (14, 16), (1, 2)
+#: Features of choices below the root: the word before and the pair.
+BELOW = 2
 #: Most frequent words whose counts every task holds; all others are joined.
 HELD = 300_000
 #: Rows of weights that travel together, deltas summed by one group.
 ROWS, FAN_IN = 512, 64
+#: Bytes of a word of text, about.
+BYTES = 6
 #: Additive smoothing of counts.
 ALPHA = 0.1
 
@@ -122,7 +126,7 @@ def start(counts: DataFrame) -> Model:
     where nearly all words are equally frequent, there are fewer."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    bits = int(np.clip(np.floor(np.log2(max(v, 2))), *BITS))
+    bits = int(np.clip(np.floor(np.log2(max(v, 2))) - 2, *BITS))
     levels = int(np.clip(np.round(np.log(max(v, 2) / SIZE) / np.log(SIZE)), *LEVELS))
     top = common.frequent(counts, "c", HELD).toArrow()
     c = top["c"].to_numpy()
@@ -190,7 +194,7 @@ def _forward(model: Model, f: np.ndarray, token: np.ndarray, rank: np.ndarray) -
     top = slots(f)
     by_class = _softmax(_logits(model.class_prior, model.class_weights, top))
     at, node, child = model.steps(token, rank)
-    low = slots(common.mix(f[:, at] + (node + 1).astype(np.uint64)))
+    low = slots(common.mix(f[:BELOW, at] + (node + 1).astype(np.uint64)))
     by_child = _softmax(_logits(model.node_prior.take(node, axis=0), model.node_weights, low))
     return (top, by_class), (at, child, low, by_child)
 
@@ -215,8 +219,12 @@ def train(docs: DataFrame, model: Model) -> Model:
     weights, batch by batch; the weights then move by the tasks' mean change,
     weighed by tokens. Each document is in one round. Changes are summed in
     groups of FAN_IN, level by level, so no group grows with the corpus, and the
-    driver gets one model's worth of numbers."""
+    driver gets one model's worth of numbers. A task walks four times as many bytes
+    of text as the model has (fewer only where cores would be idle), so that changes
+    are at most about a quarter of the text."""
     spark = docs.sparkSession
+    size = model.class_weights.nbytes + model.node_weights.nbytes
+    tasks = max(spark.sparkContext.defaultParallelism, model.total * BYTES // (4 * size))
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -254,7 +262,7 @@ def train(docs: DataFrame, model: Model) -> Model:
 
         schema = "which int, at int, part long, n double, change binary"
         turn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)) == number).select("text")
-        changes, parts = turn.mapInArrow(run, schema), docs.rdd.getNumPartitions()
+        changes, parts = turn.coalesce(tasks).mapInArrow(run, schema), tasks
         while parts > 1:
             changes, parts = changes.groupBy("which", "at", F.expr(f"part div {FAN_IN}").alias("of")).applyInPandas(add, schema), -(-parts // FAN_IN)
         class_weights, node_weights = model.class_weights.copy(), model.node_weights.copy()

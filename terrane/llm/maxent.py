@@ -175,7 +175,7 @@ def _features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Log probabilities."""
     logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+    logits -= np.log(np.exp(logits) @ np.ones((logits.shape[1], 1), logits.dtype))
     return logits
 
 
@@ -206,7 +206,13 @@ def _update(weights: np.ndarray, seen: np.ndarray, slots: np.ndarray, error: np.
     rows = flat[order]
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     order %= len(error)
-    gradient = np.add.reduceat(error.take(order, axis=0), first, axis=0)
+    gradient = error.take(order[first], axis=0)
+    size = np.diff(np.append(first, len(order)))
+    several = size > 1  # most slots are met once, and need no sum
+    if several.any():
+        own = error.take(order[np.repeat(several, size)], axis=0)
+        size = size[several]
+        gradient[several] = np.add.reduceat(own, np.cumsum(size) - size, axis=0)
     rows = rows[first]
     seen[rows] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
     gradient *= (STEP / np.sqrt(seen[rows] + 1e-3))[:, None]

@@ -111,14 +111,21 @@ def _terms() -> Moments:
     return Moments.terms(*direction_cosines(F.col("dip"), F.col("dip_dir")))
 
 
+def _with_sums(rows: DataFrame) -> DataFrame:
+    """rows of cells (cx, cy) of more than three points with the cell's sums s_ of
+    its terms t_. The sums are combined before they are exchanged and joined back,
+    so AQE can split a cell of very many points, which a window would hold in one task."""
+    sums = rows.groupBy("cx", "cy").agg(*(F.sum(f"t_{n}").alias(f"s_{n}") for n in Moments.NAMES)).where("s_n > 3")
+    return rows.join(sums, ["cx", "cy"])
+
+
 def remove_outlier(df: DataFrame, size: float = 1000.0, floor_bounds: bool = False) -> DataFrame:
     """Of each cell of more than three points, the one whose removal raises
     the concentration most is left out (the first fid on ties).
 
     Leave-one-out sums are the cell's sums less the point's own, so the cost is linear."""
-    cell = Window.partitionBy("cx", "cy")
     rows = with_cells(df, size, floor_bounds).select("fid", "cx", "cy", "minx", "miny", *_terms().columns("t_"))
-    rows = rows.select("*", *(F.sum(f"t_{n}").over(cell).alias(f"s_{n}") for n in Moments.NAMES)).where("s_n > 3")
+    rows = _with_sums(rows)
     rows = with_spread(rows, Moments.of("s_"), "k0", "b0")
     rows = rows.select("fid", "cx", "cy", "minx", "miny", "k0", *Moments.of("s_").minus(Moments.of("t_")).columns("r_"))
     rows = with_spread(rows, Moments.of("r_"))
@@ -144,7 +151,7 @@ def remove_outliers_by_break(df: DataFrame, size: float = 1000.0, floor_bounds:
     rows = corner.select("*", F.explode(candidates("easting", "minx", "maxx")).alias("cx")).select("*", F.explode(candidates("northing", "miny", "maxy")).alias("cy"))
     cell = Window.partitionBy("cx", "cy")
     rows = rows.select("fid", "cx", "cy", "minx", "miny", *_terms().columns("t_"))
-    rows = rows.select("*", *(F.sum(f"t_{n}").over(cell).alias(f"s_{n}") for n in Moments.NAMES)).where("s_n > 3")
+    rows = _with_sums(rows)
     s = Moments.of("s_")
     rows = rows.where(s.resultant() >= 1e-12)
     dot = F.col("t_l") * s.l + F.col("t_m") * s.m + F.col("t_z") * s.z

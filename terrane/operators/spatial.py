@@ -54,12 +54,25 @@ def distance_to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Colu
     return F.hypot(px - (x0 + t * dx), py - (y0 + t * dy))
 
 
+def _along_buckets(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, radius: float) -> DataFrame:
+    """df with a row, bx and by for each bucket of side radius that may hold a point
+    within radius of the segment: in each column of buckets only those beside the
+    part of the segment within radius of that column, so rows grow with length, not with its square."""
+    margin = radius * (1 + 1e-6)  # the exact distance is tested later
+    df = df.withColumn("bx", F.explode(F.sequence(bucket(F.least(x0, x1) - margin, radius), bucket(F.greatest(x0, x1) + margin, radius))))
+    left, right = F.col("bx") * radius - margin, (F.col("bx") + 1) * radius + margin
+    inside = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    share = lambda at, flat: inside(F.coalesce(F.try_divide(at - x0, x1 - x0), F.lit(flat)))
+    ya, yb = (y0 + share(at, flat) * (y1 - y0) for at, flat in ((left, 0.0), (right, 1.0)))
+    return df.withColumn("by", F.explode(F.sequence(bucket(F.least(ya, yb) - margin, radius), bucket(F.greatest(ya, yb) + margin, radius))))
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Points with the distance and azimuth of the nearest segment within
     radius; ties go to the least (segment fid, s). Points without one are dropped."""
     left = points.withColumns({"bx": bucket(F.col("easting"), radius), "by": bucket(F.col("northing"), radius)})
     x = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    right = explode_buckets(segments.withColumnRenamed("fid", "seg_fid"), F.least(x[0], x[2]) - radius, F.least(x[1], x[3]) - radius, F.greatest(x[0], x[2]) + radius, F.greatest(x[1], x[3]) + radius, radius)
+    right = _along_buckets(segments.withColumnRenamed("fid", "seg_fid"), *x, radius)
     near = left.select("fid", "easting", "northing", "bx", "by").join(right, ["bx", "by"]).withColumn("distance", distance_to_segment(F.col("easting"), F.col("northing"), *x)).where(F.col("distance") <= radius)
     best = near.groupBy("fid").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "seg_fid", "s", "distance", "azimuth")).alias("b")).select("fid", "b.distance", "b.seg_fid", "b.azimuth")
     return points.join(best, "fid")

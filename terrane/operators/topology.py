@@ -108,8 +108,8 @@ def is_rectangular(df: DataFrame, tolerance: float = 1e-4) -> bool:
             own = kernels.hull([*own, *zip(pdf["x"], pdf["y"])])
         yield pd.DataFrame(own, columns=["x", "y"])
 
-    for n in (64, 8, 1):
-        points = points.mapInPandas(hulls, "x double, y double").coalesce(n)
+    for n in (64, 8, 1):  # exchanged, not coalesced, which would draw the scan into few tasks
+        points = points.mapInPandas(hulls, "x double, y double").repartition(n)
     ring = kernels.hull([(r["x"], r["y"]) for r in points.mapInPandas(hulls, "x double, y double").collect()])
     b = extent(df).first()
     box = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])

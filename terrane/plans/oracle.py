@@ -235,3 +235,43 @@ ORACLE |= {
     "tz_invalid": f"{G} select fid, case fid % 20 when 3 then 'crosses itself' when 7 then 'open' else 'too short' end reason from polys where fid % 20 in (3, 7, 9)",
 }
 ORACLE["tz_boundary_pins"] = ORACLE["tz_exterior_vertices"]  # the mosaic's outline is no rectangle
+
+#: Lines as lists of coordinates, for the two recursive simplifications.
+_LISTS = f"{L.replace('with', 'with recursive', 1)}, lists as (select fid, list(x order by v) xs, list(y order by v) ys from verts group by fid)"
+ORACLE |= {
+    "sv_dp": f"""{_LISTS}, parts(fid, i, j) as (select fid, cast(1 as bigint), cast(len(xs) as bigint) from lists union all
+ select fid, unnest([i, mid]), unnest([mid, j]) from (select fid, i, j, i + list_position(far, list_max(far)) mid, list_max(far) farthest from (
+  select p.fid, i, j, list_transform(range(i+1, j), lambda k: case when xs[i] = xs[j] and ys[i] = ys[j] then sqrt((xs[k]-xs[i])**2 + (ys[k]-ys[i])**2)
+   else abs((xs[j]-xs[i])*(ys[i]-ys[k]) - (xs[i]-xs[k])*(ys[j]-ys[i])) / sqrt((xs[j]-xs[i])**2 + (ys[j]-ys[i])**2) end) far from parts p join lists l on p.fid = l.fid where j > i+1) q) q where farthest > 100),
+kept as (select distinct fid, unnest([i, j]) k from parts)
+ select fid, count(*) vertices, round(sum(xs[k] + ys[k]), 3) total from kept join lists using (fid) group by fid""",
+    "sv_vw": f"""{_LISTS}, left_over(fid, ks) as (select fid, range(1, len(xs)+1) from lists union all
+ select fid, list_filter(ks, lambda k, t: t <> 1 + list_position(corners, list_min(corners))) from (
+  select r.fid, ks, list_transform(range(2, len(ks)), lambda t: abs((xs[ks[t]]-xs[ks[t-1]])*(ys[ks[t+1]]-ys[ks[t-1]]) - (xs[ks[t+1]]-xs[ks[t-1]])*(ys[ks[t]]-ys[ks[t-1]]))/2) corners
+  from left_over r join lists l on r.fid = l.fid where len(ks) > 2) q where list_min(corners) < 20000),
+kept as (select fid, unnest(arg_min(ks, len(ks))) k from left_over group by fid)
+ select fid, count(*) vertices, round(sum(xs[k] + ys[k]), 3) total from kept join lists using (fid) group by fid""",
+    "ln_length_degrees": f"""{L}, small as (select fid, v, x/1e5 x, y/1e5-30 y from verts), d as (select fid, v, y, lead(y) over w y1, sqrt(power(lead(x) over w - x, 2) + power(lead(y) over w - y, 2)) len from small window w as (partition by fid order by v)),
+ t as (select fid, sum(len) len, sum(len*(y+y1)/2)/sum(len) lat from d where y1 is not null group by fid) select fid, round(len*111139e0*cos(radians(lat)), 3) length, round(lat, 6) centroid_lat from t""",
+    "net_shipped": f"""{G}, {NET}, named as (select *, row_number() over (order by x, y) - 1 node_id from ntypes)
+ select a.node_id start_node, b.node_id end_node, round(length, 6) length, line_id, a.node_type start_type, b.node_type end_type, least(a.node_type, b.node_type)||'-'||greatest(a.node_type, b.node_type) edge_type
+ from nedges e join named a on e.x = a.x and e.y = a.y join named b on e.x2 = b.x and e.y2 = b.y""",
+    # members are neighbours in one row of the mosaic, so a group has one ring
+    "pg_dissolve": f"{G}, {AREAS} select cast(floor(fid/4e0) as bigint) fid, cast(1 as bigint) rings, round(sum(area), 6) area from areas group by 1",
+}
+_PLACED = f"""b as (select cast(trunc(min(easting)) as bigint) minx, cast(trunc(max(easting)) as bigint)+1 maxx, cast(trunc(min(northing)) as bigint) miny, cast(trunc(max(northing)) as bigint)+1 maxy from points),
+own as (select p.*, b.*, cast(floor((easting-minx)/5000e0) as bigint) ox, cast(floor((northing-miny)/5000e0) as bigint) oy from points p, b),
+touched as (select own.*, ox-i cx, oy-j cy, sin(radians(dip))*sin(radians(dip_dir)) l, sin(radians(dip))*cos(radians(dip_dir)) m, cos(radians(dip)) z from own, (values (0), (1)) a(i), (values (0), (1)) c(j)
+ where (i = 0 or easting-minx = ox*5000) and (j = 0 or northing-miny = oy*5000) and ox-i between 0 and floor((maxx-minx-1e-9)/5000e0) and oy-j between 0 and floor((maxy-miny-1e-9)/5000e0)),
+c2 as (select fid, cx, cy, minx, miny, 1 n, l, m, z, l*l ll, m*m mm, z*z zz, l*m lm, l*z lz, m*z mz from touched),
+all_ as (select cx, cy, {', '.join(f'sum({c}) {c}' for c in _TERMS)} from c2 group by cx, cy having count(*) > 3 and sqrt(sum(l)**2+sum(m)**2+sum(z)**2) >= 1e-12),
+far as (select c2.*, round(degrees(acos(greatest(-1e0, least(1e0, (c2.l*a.l+c2.m*a.m+c2.z*a.z)/sqrt(a.l**2+a.m**2+a.z**2))))), 9) away from c2 join all_ a using (cx, cy)),
+gone as (select fid, cx, cy, minx, miny, row_number() over w step, {', '.join(f'sum({c}) over w {c}' for c in _TERMS)} from far window w as (partition by cx, cy order by away desc, fid desc rows unbounded preceding)),
+rest as (select g.fid, cx, cy, minx, miny, step, {', '.join(f'a.{c} - g.{c} {c}' for c in _TERMS)} from gone g join all_ a using (cx, cy) where step <= floor(a.n/2)),
+{_kent('all_', 'whole', 'cx, cy')}, {_kent('rest', 'less_', 'fid, cx, cy')},
+rises as (select rest.cx, rest.cy, minx, miny, step, rest.n, less_.kappa, whole.kappa k0, a.n n0,
+ round(coalesce(less_.kappa, 1e-6) - coalesce(lag(coalesce(less_.kappa, 1e-6)) over (partition by rest.cx, rest.cy order by step), whole.kappa, 1e-6), 9) rise
+ from rest join all_ a using (cx, cy) left join less_ on less_.fid = rest.fid and less_.cx = rest.cx and less_.cy = rest.cy left join whole on whole.cx = rest.cx and whole.cy = rest.cy),
+best as (select * from (select *, row_number() over (partition by cx, cy order by rise desc, step) rn from rises) q where rn = 1)"""
+ORACLE["pt_outlier_carmichael"] = f"""{P}, {_PLACED} select cast(trunc(minx+cx*5000e0+2500e0) as bigint) easting, cast(trunc(miny+cy*5000e0+2500e0) as bigint) northing,
+ cast(case when rise > 0 then n else n0 end as bigint) n, cast(case when rise > 0 then step else 0 end as integer) n_removed from best where case when rise > 0 then kappa else k0 end is not null"""

@@ -295,7 +295,7 @@ def net_betweenness(spark, d):
 
 @query
 def net_shipped(spark, d):
-    return network.shipped(*_network(spark, d))[1]
+    return network.shipped(*_network(spark, d))[1].withColumn("length", r("length"))
 
 
 # ---------------------------------------------------------------- offsets

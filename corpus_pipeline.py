@@ -12,7 +12,8 @@ from terrane.llm import common, decontamination, minhash, packing, secrets, toxi
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold. Null texts are scored as empty
+    ones; repeated rows fare alike; an empty table stays empty; ids, other columns and lengths do not matter."""
     return toxicity.keep_clean(docs, common.read(spark, sf_dir, "labels"))
 
 
@@ -22,17 +23,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows
+    fare alike; rows with a null doc_id are not matched and stay; an empty table stays empty."""
     return decontamination.keep_clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked, texts of any length whole. Null texts stay null; repeated rows stay repeated."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences, with checksums of their ids."""
+    """Pieces of full sequences, with checksums of their ids; cases as in packing.pack()."""
     return packing.digests(packing.pack(docs))
 
 

@@ -234,7 +234,7 @@ def cl_kmeans(spark, d):
 @query
 def cl_best_k(spark, d):
     rows = lines.add_azimuth(X.lines(spark, d))
-    k, scores = clusters.best_k(rows, "endpt_az", 10, restarts=1)
+    k, scores = clusters.best_k(rows, "endpt_az", 10)
     return spark.createDataFrame([(n, s, n == k) for n, s in scores.items()], "k int, silhouette double, best boolean")
 
 

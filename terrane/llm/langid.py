@@ -99,10 +99,11 @@ def train(docs: DataFrame, modulus: int = 5) -> Model:
         df[r["at"]] = r["df"]
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05
 
-    # the first rows of each language by a hash: a share of twice as many as are wanted, cut exactly
+    # the first rows of each language by a hash: a share of twice as many as are wanted, cut exactly;
+    # the counts, a row for each language where the model has CENTROIDS vectors, are broadcast, so that only that share is dealt by language
     counted = known.groupBy("lang").agg(F.count("*").alias("rows"))
     share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    known_ids = known.select("doc_id", "lang").join(counted, "lang").where(share * F.col("rows") <= 2 * MOST_ROWS + 50)
+    known_ids = known.select("doc_id", "lang").join(F.broadcast(counted), "lang").where(share * F.col("rows") <= 2 * MOST_ROWS + 50)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known_ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MOST_ROWS).select("doc_id", "lang")
     picked = common.materialize(picked.distinct(), "langid-sample")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cleaning
+from .cleaning import op13_quality_rules
 from .decontamination import op4_decontamination
 from .embeddings import op5_embedding_dedup
 from .langid import op6_language_id
@@ -42,8 +44,8 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, l.c component_id, d.doc_id = l.c k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring, op13_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _SUBSTRINGS, "op5_embedding_dedup": _EMBEDDINGS, "op9_minhash_dedup": _SHINGLES}
+    return {"op2_suffix_dedup": _SUBSTRINGS, "op5_embedding_dedup": _EMBEDDINGS, "op9_minhash_dedup": _SHINGLES, "op13_quality_rules": cleaning.SQL}

@@ -36,6 +36,12 @@ def split_of(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda h: ascii(h)::bigint)), lambda c, b: {bits}), 4294967295::bigint)"
+
+
 def texts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and whole text (null: empty) and the given columns only; other
     columns of docs, whatever their names, are left behind."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, manifest
+from . import cleaning, manifest, prefix_trie
 from .cleaning import op13_quality_rules
 from .decontamination import op4_decontamination
 from .embeddings import op5_embedding_dedup
@@ -15,6 +15,7 @@ from .manifest import op12_merkle_manifest
 from .maxent import op10_lm_scoring
 from .minhash import op9_minhash_dedup
 from .packing import op7_packing
+from .prefix_trie import op11_prefix_trie
 from .quality import op1_quality
 from .secrets import op8_secret_scan
 from .substrings import op2_suffix_dedup
@@ -45,8 +46,8 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, l.c component_id, d.doc_id = l.c k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring, op12_merkle_manifest, op13_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_toxicity, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_packing, op8_secret_scan, op9_minhash_dedup, op10_lm_scoring, op11_prefix_trie, op12_merkle_manifest, op13_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _SUBSTRINGS, "op5_embedding_dedup": _EMBEDDINGS, "op9_minhash_dedup": _SHINGLES, "op12_merkle_manifest": manifest.SQL, "op13_quality_rules": cleaning.SQL}
+    return {"op2_suffix_dedup": _SUBSTRINGS, "op5_embedding_dedup": _EMBEDDINGS, "op9_minhash_dedup": _SHINGLES, "op11_prefix_trie": prefix_trie.SQL, "op12_merkle_manifest": manifest.SQL, "op13_quality_rules": cleaning.SQL}

@@ -138,7 +138,8 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> t
 
 def frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     """Of counts, the rows from that count on at which `most` are left at most, by a
-    histogram of 16 bins an octave: no task and no driver sorts what is not wanted."""
+    histogram of 16 bins an octave: no task and no driver sorts what is not wanted. If more
+    rows than that share the topmost bin, the first `most` of them by count and then by the other columns."""
     octave = F.floor(F.log2(column) * 16).cast("int")
     bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
     left, least = 0, 0
@@ -146,6 +147,8 @@ def frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
         left += n
         if left > most:
             least = b + 1
+            if b == bins[0][0]:
+                return counts.where(octave == b).orderBy(F.desc(column), *(c for c in counts.columns if c != column)).limit(most)
             break
     return counts.where(octave >= least)
 

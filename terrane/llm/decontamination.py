@@ -86,18 +86,18 @@ class Statistics:
     df: np.ndarray
 
 
-def statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
-    """n, mean length and the table (term, df) of all items (item_id, text)."""
+def statistics(items: DataFrame) -> tuple[int, float, int, DataFrame]:
+    """n, mean and greatest number of words and the table (term, df) of all items (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h in _tokens(common.column_of(batch, "text").to_pylist()):
                 key, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.arange(len(key)) == 0)], ["term", "tf", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.arange(len(key)) == 0), pa.array(np.full(len(key), len(h)))], ["term", "tf", "first", "words"])
 
-    terms = common.materialize(items.select("text").mapInArrow(run, "term long, tf long, first boolean"), "decontamination-terms")
-    one = terms.agg(F.count_if("first").alias("n"), F.sum("tf").alias("words")).first()
-    return one["n"], (one["words"] or 0) / max(one["n"], 1), terms.groupBy("term").agg(F.count("*").alias("df"))
+    terms = common.materialize(items.select("text").mapInArrow(run, "term long, tf long, first boolean, words long"), "decontamination-terms")
+    one = terms.agg(F.count_if("first").alias("n"), F.sum("tf").alias("words"), F.max("words").alias("longest")).first()
+    return one["n"], (one["words"] or 0) / max(one["n"], 1), one["longest"] or 0, terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def build(rows: list[tuple[int, str]], known: Statistics | None = None) -> Index | None:
@@ -262,8 +262,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = common.materialize(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null"), "decontamination-items")
     count = items.count()
     passes = max(1, -(-count // (MOST_ITEMS * 3 // 4))) if count > MOST_ITEMS else 1
-    n, mean, df = statistics(items.distinct()) if passes > 1 else (0, 0.0, None)
-    longest = items.agg(F.max(F.length("text"))).first()[0] or 0
+    n, mean, longest, df = statistics(items.distinct()) if passes > 1 else (0, 0.0, 0, None)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     held = common.texts(docs)
     found = None
@@ -271,7 +270,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number)
         index = build([(r["item_id"], r["text"]) for r in own.collect()], None if passes == 1 else _known(own, n, mean, df))
         if index is not None and passes > 1:
-            index.passage = max(PASSAGE, longest + 1)  # one length of passages for all: a word and its gap take two characters
+            index.passage = max(PASSAGE, 2 * longest)  # of the longest of all items, as in a single pass
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,11 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     return ranks if merged == at and sum(len(b) == 1 for b in ranks) == 256 else None
 
 
+#: White space in a row from which a text goes to the file's own library: the faster one
+#: keeps a step back for each of its characters and runs out of stack from about a million.
+LONG_GAP = 100_000
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, its added tokens included. Plain byte-level
     BPE runs through a faster library with the same ranks, which like the file's own
@@ -58,6 +64,7 @@ class Encoder:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, content: str):
+        self._own = None
         spec = json.loads(content)
         ranks, added = _ranks(spec), spec.get("added_tokens") or []
         names = [t["content"] for t in added]
@@ -66,12 +73,23 @@ class Encoder:
             import tiktoken
 
             own = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
-            self.encode = lambda text: own.encode(text, allowed_special="all") if any(n in text for n in names) else own.encode_ordinary(text)
+
+            def encode(text: str) -> list[int]:
+                if len(text) > LONG_GAP and any(m.end() - m.start() > LONG_GAP for m in re.finditer(r"\s\s+", text)):
+                    return self.own(content).encode(text, add_special_tokens=False).ids
+                return own.encode(text, allowed_special="all") if any(n in text for n in names) else own.encode_ordinary(text)
+
+            self.encode = encode
         else:
+            self.encode = lambda text: self.own(content).encode(text, add_special_tokens=False).ids
+
+    def own(self, content: str):
+        """The file's own library, loaded when first needed."""
+        if self._own is None:
             from tokenizers import Tokenizer
 
-            own = Tokenizer.from_str(content)
-            self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
+            self._own = Tokenizer.from_str(content)
+        return self._own
 
 
 _encoders: dict[int, Encoder] = {}

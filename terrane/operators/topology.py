@@ -13,8 +13,8 @@ from terrane.functions.scalar import quantum, ring_area, ring_turn, step_length,
 from terrane.operators.graphs import cut
 from terrane.operators.spatial import bucket, cell_size, close_pairs, segments
 
-#: Words in the name of a column that may hold units.
-UNIT_WORDS = ("code", "unit", "strat", "lith", "form", "geol", "name", "rock", "symbol", "label", "type")
+#: Fixed values, equal to those of the map tools whose results are to be matched: words in the name of a column that may hold units.
+UNIT_WORDS = ("code", "unit", "lith", "rock", "type", "formation", "strat", "map", "symbol", "abbrev", "short")
 
 
 def unit_candidates(df: DataFrame, order: str = "fid") -> DataFrame:

@@ -1,7 +1,7 @@
 """Polygon mosaics: adjacency, merging of small polygons with lineage, dissolve, dykes.
 
-Polygons are (fid, ring, attributes), ring a closed vertex array; holes are
-(fid, ring_no > 0) rows of a ring table. Mosaics are noded: neighbours share sides."""
+Polygons are (fid, ring, attributes), ring a closed vertex array, or ring tables (see
+rings.py) where features have members and holes. Mosaics are noded: neighbours share sides."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def large(df: DataFrame, least: float) -> DataFrame:
 
 
 def adjacency(df: DataFrame) -> DataFrame:
-    """G1, M3: pairs fid1 < fid2 that share sides, with the shared length."""
+    """G1, M3: pairs fid1 < fid2 that share sides of any of their rings, with the shared length."""
     s = segments(df).select("fid", "seg_key", "length")
     return s.select(F.col("fid").alias("fid1"), "seg_key", "length").join(s.select(F.col("fid").alias("fid2"), "seg_key"), "seg_key").where("fid1 < fid2").groupBy("fid1", "fid2").agg(F.sum("length").alias("shared"))
 
@@ -191,16 +191,16 @@ def threshold_series(diameter_km: float, increment: float | None = None, geograp
 
 
 def dissolve(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """(fid, ring_no, ring) of each group of polygons (member, group): sides
-    that occur an odd number of times in the group, stitched. Ring 0 is the largest."""
-    rows = segments(df).join(groups.withColumnRenamed("member", "fid"), "fid")
+    """The ring table (fid, member, ring_no, ring) of each group of polygons or rings
+    (member, group): sides that occur an odd number of times in the group, stitched and nested."""
+    rows = segments(df).join(groups.select(F.col("member").alias("fid"), "group"), "fid")
     sides = rows.groupBy("group", "seg_key").agg(F.count("*").alias("n"), F.min(F.struct("x0", "y0", "x1", "y1")).alias("e")).where("n % 2 = 1").select("group", "e.*")
 
     def stitch(key: tuple[int], own: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.rings([((a, b), (c, d)) for a, b, c, d in own[["x0", "y0", "x1", "y1"]].itertuples(index=False)])
-        return pd.DataFrame({"fid": [key[0]] * len(found), "ring_no": range(len(found)), "ring": [[{"x": x, "y": y} for x, y in r] for r in found]})
+        found = kernels.nest(kernels.rings([((a, b), (c, d)) for a, b, c, d in own[["x0", "y0", "x1", "y1"]].itertuples(index=False)]))
+        return pd.DataFrame([(key[0], m, k, [{"x": x, "y": y} for x, y in r]) for m, k, r in found], columns=["fid", "member", "ring_no", "ring"])
 
-    return sides.groupBy("group").applyInPandas(stitch, "fid long, ring_no int, ring array<struct<x: double, y: double>>")
+    return sides.groupBy("group").applyInPandas(stitch, "fid long, member int, ring_no int, ring array<struct<x: double, y: double>>")
 
 
 def overflow(text: Column, name: str = "inherit", width: int = 254, columns: int = 4) -> list[Column]:
@@ -225,7 +225,7 @@ def triangulate(df: DataFrame, ids: list[str], column: str, least: float = 1.0,
         for pdf in batches:
             out = []
             for fid, ring, inner in zip(pdf["fid"], pdf["ring"], pdf["holes"]):
-                points, gaps = xy(ring), [xy(h) for h in inner] if inner is not None else []
+                points, gaps = xy(ring), [xy(h["ring"]) for h in inner] if inner is not None else []
                 kept = 0
                 for t in kernels.triangles(points):
                     centre = (sum(p[0] for p in t) / 3, sum(p[1] for p in t) / 3)
@@ -238,9 +238,9 @@ def triangulate(df: DataFrame, ids: list[str], column: str, least: float = 1.0,
 
     own = df.where(hit).select(F.col("fid").cast("long").alias("fid"), "ring")
     if holes is None:
-        own = own.withColumn("holes", F.lit(None).cast("array<array<struct<x: double, y: double>>>"))
+        own = own.withColumn("holes", F.lit(None).cast("array<struct<ring: array<struct<x: double, y: double>>>>"))
     else:
-        own = own.join(holes.groupBy(F.col("fid").cast("long").alias("fid")).agg(F.collect_list("ring").alias("holes")), "fid", "left")
+        own = own.join(holes.groupBy(F.col("fid").cast("long").alias("fid")).agg(F.collect_list(F.struct("ring")).alias("holes")), "fid", "left")
     split_up = own.mapInPandas(split, schema)
     rest = df.where(~F.coalesce(hit, F.lit(False))).select(F.col("fid").cast("long").alias("fid"), F.lit(None).cast("int").alias("tri_id"), "ring")
     code = F.when(F.col("tri_id").isNotNull(), F.concat(F.lit("tri"), F.col("fid").cast("string"), F.lit("_"), F.col("tri_id").cast("string")))

@@ -78,20 +78,84 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius: float) -> Da
     return points.join(best, "fid")
 
 
+def base_size(boxes: DataFrame) -> float:
+    """Side of the cells of level 0: the median extent of boxes (x0, y0, x1, y1), so that one large thing does not change it."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return boxes.where(size > 0).agg(F.percentile_approx(size, 0.5)).first()[0] or 1.0
+
+
+def with_level(boxes: DataFrame, base: float) -> DataFrame:
+    """boxes (x0, y0, x1, y1) with level: cells of side base * 2^level are the first that are as large as the box."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(base)) / base)).cast("int")))
+
+
+def levels_of(dealt: DataFrame) -> list[int]:
+    """The levels that any box is on: some sixty at most, as sizes are doubles over their median."""
+    return sorted(r["level"] for r in dealt.select("level").distinct().collect())
+
+
+def deal_level(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, level: Column, base: float) -> DataFrame:
+    """df with a row, bx and by for each cell of the level that the box touches: four at most for boxes of the level or below."""
+    size = F.lit(base) * F.pow(F.lit(2.0), level)
+    at = lambda v: F.floor(v / size).cast("bigint")
+    df = df.withColumn("bx", F.explode(F.sequence(at(x0), at(x1))))
+    return df.withColumn("by", F.explode(F.sequence(at(y0), at(y1))))
+
+
+def meeting_boxes(boxes: DataFrame, base: float | None = None) -> DataFrame:
+    """(fid1, fid2), fid1 < fid2, of boxes (fid, x0, y0, x1, y1) that share a place, each pair once.
+
+    Each box is on the level of its size and looks up those of its level and above,
+    so neither a large thing nor a small one is dealt to many cells."""
+    x = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    base = base or base_size(boxes)
+    own = with_level(boxes.select("fid", "x0", "y0", "x1", "y1"), base)
+    known = levels_of(own)
+    held = deal_level(own, *x, F.col("level"), base).select(*(F.col(c).alias(f"{c}_b") for c in ("fid", "x0", "y0", "x1", "y1", "level")), F.col("level").alias("at"), "bx", "by")
+    asked = own.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, known)) if known else F.array().cast("array<int>"), lambda k: k >= F.col("level"))))
+    asked = deal_level(asked, *x, F.col("at"), base)
+    first = (F.col("level") < F.col("level_b")) | (F.col("fid") < F.col("fid_b"))
+    met = (F.col("x0") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1")) & (F.col("y0") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1"))
+    size = F.lit(base) * F.pow(F.lit(2.0), F.col("at"))
+    # each pair in one cell: that of the lower left corner of what the boxes share
+    one = (F.col("bx") == F.floor(F.greatest("x0", "x0_b") / size)) & (F.col("by") == F.floor(F.greatest("y0", "y0_b") / size))
+    pairs = asked.join(held, ["at", "bx", "by"]).where((F.col("fid") != F.col("fid_b")) & first & met & one)
+    return pairs.select(F.least("fid", "fid_b").alias("fid1"), F.greatest("fid", "fid_b").alias("fid2"))
+
+
+#: Sides of a polygon that a stripe of it holds, about.
+SIDES_TOGETHER = 8
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, ring: str = "ring") -> DataFrame:
-    """(pid, fid) of each point (pid, x, y) strictly inside a polygon: parity
-    of the sides that a ray to the right crosses. Sides are dealt to all buckets
-    left of them within their own rows of the polygon's box, so one equi-join
-    brings a point all sides that matter."""
-    cell = cell or cell_size(polygons.select(F.explode(F.array(*(F.array_max(v) - F.array_min(v) for v in (F.transform(F.col(ring), lambda p: p["x"]), F.transform(F.col(ring), lambda p: p["y"]))))).alias("size")))
-    sides = polygons.select("fid", F.posexplode(steps(F.col(ring))).alias("s", "e")).select("fid", "s", "e.*").where("y0 <> y1")
-    box = polygons.select("fid", F.array_min(F.transform(F.col(ring), lambda p: p["x"])).alias("left"))
-    sides = sides.join(box, "fid")
-    dealt = explode_buckets(sides, F.col("left"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), cell)
-    own = points.withColumns({"bx": bucket(F.col("x"), cell), "by": bucket(F.col("y"), cell)}).select("pid", F.col("x").alias("px"), F.col("y").alias("py"), "bx", "by")
-    spans = (F.col("y0") > F.col("py")) != (F.col("y1") > F.col("py"))
-    at = F.col("x0") + (F.col("py") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    hits = own.join(dealt, ["bx", "by"]).where(spans & (F.col("px") < at)).groupBy("pid", "fid").agg(F.count("*").alias("n"))
+    """(pid, fid) of each point (pid, x, y) strictly inside a feature (rows fid and ring, any
+    number for a feature: members and holes): parity of the sides that a ray to the right crosses.
+
+    Points look boxes up on each level that holds any. Each feature is cut into
+    horizontal stripes of a few sides each, so a point inside a box meets the sides
+    of its own stripe only, however many the feature has."""
+    from terrane.operators.rings import boxes
+
+    held = polygons.select("fid", F.col(ring).alias("ring"))
+    box = boxes(held)
+    base = cell or base_size(box)
+    stripe = F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-300)) / F.greatest(F.ceil(F.col("sides") / SIDES_TOGETHER), F.lit(1))
+    own = with_level(box, base).withColumn("stripe", stripe)
+    known = levels_of(own)
+    dealt = deal_level(own, *(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.col("level"), base)
+    px, py = F.col("px"), F.col("py")
+    asked = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("level", F.explode(F.array(*map(F.lit, known)) if known else F.array().cast("array<int>")))
+    size = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
+    asked = asked.withColumns({"bx": F.floor(px / size).cast("bigint"), "by": F.floor(py / size).cast("bigint")})
+    near = asked.join(dealt, ["level", "bx", "by"]).where((px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1")))
+    near = near.select("pid", "px", "py", "fid", F.floor((py - F.col("y0")) / F.col("stripe")).cast("bigint").alias("part"))
+    sides = held.select("fid", F.explode(steps(F.col("ring"))).alias("e")).select("fid", "e.*").where("y0 <> y1").join(own.select("fid", F.col("y0").alias("bottom"), "stripe"), "fid")
+    at = lambda y: F.floor((y - F.col("bottom")) / F.col("stripe")).cast("bigint")
+    sides = sides.withColumn("part", F.explode(F.sequence(at(F.least("y0", "y1")), at(F.greatest("y0", "y1"))))).drop("bottom", "stripe")
+    spans = (F.col("y0") > py) != (F.col("y1") > py)
+    right = F.col("x0") + (py - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    hits = near.join(sides, ["fid", "part"]).where(spans & (px < right)).groupBy("pid", "fid").agg(F.count("*").alias("n"))
     return hits.where("n % 2 = 1").select("pid", "fid")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from terrane.functions import kernels
 from terrane.functions.scalar import quantum, ring_area, ring_turn, step_length, steps
 from terrane.operators.graphs import cut
-from terrane.operators.spatial import bucket, cell_size, close_pairs, segments
+from terrane.operators.rings import as_rings, boxes
+from terrane.operators.spatial import bucket, cell_size, close_pairs, meeting_boxes, segments
 
 #: Fixed values, equal to those of the map tools whose results are to be matched: words in the name of a column that may hold units.
 UNIT_WORDS = ("code", "unit", "lith", "rock", "type", "formation", "strat", "map", "symbol", "abbrev", "short")
@@ -127,7 +128,7 @@ def boundary_pins(df: DataFrame, mode: str = "hard", q: float = 0.1) -> DataFram
 def contacts(df: DataFrame, unit: str) -> DataFrame:
     """For each unordered pair of different units that touch: the first pair
     of polygons, their shared length and vertex count, and the shared vertex nearest to the contact's centre."""
-    s = segments(df).join(df.select("fid", F.col(unit).cast("string").alias("unit")), "fid").where("unit is not null")
+    s = segments(df).join(df.select("fid", F.col(unit).cast("string").alias("unit")).distinct(), "fid").where("unit is not null")
     a = s.select(F.col("fid").alias("f1"), F.col("unit").alias("u1"), "seg_key", "x0", "y0", "x1", "y1", "length")
     b = s.select(F.col("fid").alias("f2"), F.col("unit").alias("u2"), "seg_key")
     rows = a.join(b, "seg_key").where("f1 < f2 and u1 <> u2").withColumns({"code_a": F.least("u1", "u2"), "code_b": F.greatest("u1", "u2")})
@@ -192,7 +193,7 @@ def node_segments(df: DataFrame, cell: float | None = None, tolerance: float = 1
 
 def gap_rings(df: DataFrame) -> DataFrame:
     """Gap, ring, area and filler (the polygon that shares most of its
-    boundary) of each hole of a noded mosaic.
+    boundary) of each hole of a noded mosaic of polygons or rings; a feature's own hole that nothing fills is one.
 
     Sides of one polygon only, walked with the polygon on the left, have no
     polygon on their right. Each is followed by the first side counterclockwise
@@ -200,7 +201,8 @@ def gap_rings(df: DataFrame) -> DataFrame:
     area, a grouped sum, tells holes from the outline. Only holes are put together in tasks."""
     from terrane.operators.graphs import components
 
-    turned = df.withColumn("ring", F.when(ring_turn(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring")))
+    wrong = (ring_turn(F.col("ring")) < 0) == (F.col("ring_no") == 0)  # holes turn the other way
+    turned = as_rings(df).withColumn("ring", F.when(wrong, F.reverse("ring")).otherwise(F.col("ring")))
     once = segments(turned).groupBy("seg_key").agg(F.count("*").alias("n"), F.min(F.struct("fid", "x0", "y0", "x1", "y1", "length")).alias("e")).where("n = 1")
     once = cut(once.select(F.xxhash64("seg_key").alias("side"), "seg_key", "e.*"))
     out = once.select(F.col("side").alias("next"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("to"))
@@ -222,70 +224,97 @@ def gap_rings(df: DataFrame) -> DataFrame:
 
 
 def fill_gaps(df: DataFrame, least: float = 0.0) -> DataFrame:
-    """The mosaic with each gap larger than least given to the neighbour with
-    which it shares most of its boundary. Other rows and all attributes stay."""
+    """The mosaic's ring table with each gap larger than least given to the neighbour with
+    which it shares most of its boundary. Other features, all other rings and all attributes stay."""
     from terrane.operators.polygons import dissolve
 
+    df = as_rings(df).withColumn("fid", F.col("fid").cast("long"))
     gaps = cut(gap_rings(df).where(F.col("area") > least))
     taken = gaps.select(F.col("filler").alias("fid")).distinct()
-    fid = F.col("fid").cast("long")
-    parts = df.join(taken, "fid", "left_semi").select(fid.alias("member"), fid.alias("group"), "ring").union(gaps.select("gap", "filler", "ring"))
-    new = dissolve(parts.select(F.col("member").alias("fid"), "ring"), parts.select("member", "group")).where("ring_no = 0").select(F.col("fid").alias("__fid"), F.col("ring").alias("__new"))
-    return df.join(new, fid == F.col("__fid"), "left").withColumn("ring", F.coalesce("__new", "ring")).drop("__fid", "__new")
+    parts = df.join(taken, "fid", "left_semi").select(F.col("fid").alias("group"), "ring").union(gaps.select("filler", "ring"))
+    new = dissolve(parts.select(F.col("group").alias("fid"), "ring"), taken.select(F.col("fid").alias("member"), F.col("fid").alias("group")))
+    return df.join(taken, "fid", "left_anti").unionByName(with_attributes(new, df))
+
+
+def with_attributes(rings: DataFrame, df: DataFrame) -> DataFrame:
+    """A ring table made anew (fid, member, ring_no, ring), with the other columns that its features have in df."""
+    rest = [c for c in df.columns if c not in ("fid", "member", "ring_no", "ring")]
+    return rings.join(df.select("fid", *rest).dropDuplicates(["fid"]), "fid").select(*df.columns) if rest else rings.select(*df.columns)
 
 
 def _meeting_pairs(df: DataFrame, cell: float | None) -> DataFrame:
-    """fid1 < fid2 and rings of polygons whose boxes share a place, each pair once, through buckets."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = df.select(F.col("fid").cast("long").alias("fid"), "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    cell = cell or cell_size(box.select(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("size")))
-    dealt = box.withColumn("bx", F.explode(F.sequence(bucket(F.col("x0"), cell), bucket(F.col("x1"), cell)))).withColumn("by", F.explode(F.sequence(bucket(F.col("y0"), cell), bucket(F.col("y1"), cell))))
-    a, b = dealt.select(*(F.col(c).alias(f"{c}_a") for c in box.columns), "bx", "by"), dealt.select(*(F.col(c).alias(f"{c}_b") for c in box.columns), "bx", "by")
-    met = (F.col("fid_a") < F.col("fid_b")) & (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")) & (F.col("y0_a") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1_a"))
-    # each pair in one bucket: that of the lower left corner of what the boxes share
-    one = (F.col("bx") == bucket(F.greatest("x0_a", "x0_b"), cell)) & (F.col("by") == bucket(F.greatest("y0_a", "y0_b"), cell))
-    return a.join(b, ["bx", "by"]).where(met & one).select(F.col("fid_a").alias("fid1"), F.col("fid_b").alias("fid2"), "ring_a", "ring_b")
+    """fid1 < fid2 and their rings (arrays, outer rings and holes) of features whose boxes share a place, each
+    pair once. Boxes alone are dealt to cells; rings go only to the pairs that are found."""
+    held = as_rings(df).select(F.col("fid").cast("long").alias("fid"), "member", "ring_no", "ring")
+    pairs = cut(meeting_boxes(boxes(held), cell))
+    shapes = held.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "ring_no", "ring"))), lambda s: F.struct(s["ring"].alias("ring"))).alias("rings"))
+    a, b = shapes.select(F.col("fid").alias("fid1"), F.col("rings").alias("rings_a")), shapes.select(F.col("fid").alias("fid2"), F.col("rings").alias("rings_b"))
+    return pairs.join(a, "fid1").join(b, "fid2")
 
 
 def _xy(ring) -> list[kernels.Point]:
     return [(p["x"], p["y"]) for p in ring]
 
 
+def _all(rings) -> list[list[kernels.Point]]:
+    """Of an array of structs with a ring each: arrays of arrays of unequal lengths do not reach pandas."""
+    return [_xy(r["ring"]) for r in rings]
+
+
 def overlaps(df: DataFrame, least: float = 1e-6, cell: float | None = None) -> DataFrame:
     """Z3: pairs fid1 < fid2 of polygons of any shape that overlap by more than least, and by how much."""
 
     def measure(batches):
         for pdf in batches:
             areas = []
-            for p, q in zip(pdf["ring_a"], pdf["ring_b"]):
-                # a ring inside another counts against it where parity says hole; rings of one overlay do not nest otherwise
-                areas.append(kernels.covered_area(kernels.overlay([_xy(p)], [_xy(q)], lambda a, b: a and b)))
+            for p, q in zip(pdf["rings_a"], pdf["rings_b"]):
+                areas.append(kernels.covered_area(kernels.overlay(_all(p), _all(q), lambda a, b: a and b)))
             yield pd.DataFrame({"fid1": pdf["fid1"], "fid2": pdf["fid2"], "overlap": areas})
 
     return _meeting_pairs(df, cell).mapInPandas(measure, "fid1 long, fid2 long, overlap double").where(F.col("overlap") > least)
 
 
 def fix_overlaps(df: DataFrame, least: float = 1e-6, cell: float | None = None) -> DataFrame:
-    """Z3: (fid, ring_no, ring) of the layer in which each polygon has lost what
-    polygons of lesser fids cover. Taking them away one after the other comes to
-    the same, so all is one join. Overlaps up to least stay; a polygon that is covered whole has no row."""
-    pairs = cut(_meeting_pairs(df, cell))
-    over = pairs.select("fid2", "ring_b", "ring_a").groupBy("fid2").agg(F.first("ring_b").alias("ring"), F.array_sort(F.collect_list("ring_a")).alias("others"))
-
-    def subtract(batches):
+    """Z3: the ring table (fid, member, ring_no, ring) of the layer in which each feature has lost
+    what features of lesser fids cover. Taking them away one after the other comes to
+    the same, so all is one join. All parts and holes that are left stay; overlaps up to least stay
+    too; a feature that is covered whole has no row."""
+
+    def subtract(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
+        left, changed = _all(pdf["rings_b"].iloc[0]), False
+        for other in map(_all, pdf.sort_values("fid1")["rings_a"]):
+            if left and kernels.covered_area(kernels.overlay(left, other, lambda a, b: a and b)) > least:
+                left, changed = kernels.overlay(left, other, lambda a, b: a and not b), True
+        found = kernels.nest(left) if left and changed else []
+        return pd.DataFrame([(key[0], m, k, [{"x": x, "y": y} for x, y in r], True) for m, k, r in found] or [(key[0], 0, 0, None, changed)], columns=["fid", "member", "ring_no", "ring", "changed"])
+
+    schema = "fid long, member int, ring_no int, ring array<struct<x: double, y: double>>, changed boolean"
+    found = cut(_meeting_pairs(df, cell).groupBy("fid2").applyInPandas(subtract, schema).where("changed"))
+    rest = as_rings(df).select(F.col("fid").cast("long").alias("fid"), "member", "ring_no", "ring").join(found.select("fid").distinct(), "fid", "left_anti")
+    return rest.union(found.where("ring is not null").select("fid", "member", "ring_no", "ring"))
+
+
+def repair_rings(df: DataFrame) -> DataFrame:
+    """The ring table with the rings of features that cross or touch themselves made anew: all of a
+    feature's sides are split where they meet, and its inside is what lies in an odd number of
+    its rings. Rings that end open are closed; features without a place inside have no row. Attributes stay."""
+    df = as_rings(df).withColumn("fid", F.col("fid").cast("long"))
+    shapes = df.where("ring is not null").groupBy("fid").agg(F.collect_list(F.struct("ring")).alias("rings"))
+
+    def repair(batches):
         for pdf in batches:
             out = []
-            for fid, ring, others in zip(pdf["fid2"], pdf["ring"], pdf["others"]):
-                left = [_xy(ring)]
-                for other in others:
-                    if left and kernels.covered_area(kernels.overlay(left, [_xy(other)], lambda a, b: a and b)) > least:
-                        left = kernels.overlay(left, [_xy(other)], lambda a, b: a and not b)
-                out += [(fid, i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(left)]
-            yield pd.DataFrame(out, columns=["fid", "ring_no", "ring"])
-
-    changed = over.mapInPandas(subtract, "fid long, ring_no int, ring array<struct<x: double, y: double>>")
-    rest = df.select(F.col("fid").cast("long").alias("fid"), F.lit(0).alias("ring_no"), "ring").join(over.select(F.col("fid2").alias("fid")), "fid", "left_anti")
-    return rest.union(changed)
+            for fid, rings in zip(pdf["fid"], pdf["rings"]):
+                own = [r if r[0] == r[-1] else [*r, r[0]] for r in _all(rings) if r]
+                if all(len(r) > 3 and kernels.is_simple(r) for r in own) and len(own) == len(rings) and all(r[0] == r[-1] for r in _all(rings)):
+                    continue
+                left = kernels.nest(kernels.overlay([r for r in own if len(r) > 3], [], lambda a, b: a))
+                out += [(fid, m, k, [{"x": x, "y": y} for x, y in r]) for m, k, r in left] or [(fid, 0, 0, None)]
+            yield pd.DataFrame(out, columns=["fid", "member", "ring_no", "ring"])
+
+    found = cut(shapes.mapInPandas(repair, "fid long, member int, ring_no int, ring array<struct<x: double, y: double>>"))
+    stays = df.where("ring is not null").join(found.select("fid").distinct(), "fid", "left_anti")
+    return stays.unionByName(with_attributes(found.where("ring is not null"), df))
 
 
 def invalid_rings(df: DataFrame, geom: str = "ring") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.sources.fixtures import DEGREES_SQL, LINES_SQL, POINTS_SQL, POLYGONS_SQL
+from terrane.sources.fixtures import DEGREES_SQL, LINES_SQL, NESTED_SQL, POINTS_SQL, POLYGONS_SQL
 
 P, L, G, D = f"with {POINTS_SQL}", f"with {LINES_SQL}", f"with {POLYGONS_SQL}", f"with {DEGREES_SQL}"
 #: Steps of lines: consecutive vertices.
@@ -18,6 +18,9 @@ means as (select cx, cy, cast(trunc(minx+(cx+0.5e0)*5000e0) as bigint) easting,
  case when r >= 1e-12 then cast(trunc(round(90e0-degrees(asin(greatest(-1e0, least(1e0, z/r)))), 9)) as bigint) end dip,
  case when r >= 1e-12 then cast(trunc(round((720e0+degrees(atan2(l/r, m/r))) % 360e0, 9)) as bigint) end dip_dir from sums)"""
 AREAS = "areas as (select fid, abs(sum(x0*y1-x1*y0))/2 area, sum(length) perimeter, max(strat1) strat1, max(strat2) strat2, max(lith) lith from segs group by fid)"
+N = f"with {NESTED_SQL}"
+NAREAS = """nareas as (select fid, sum(sign*area) area, count(*) filter (sign > 0) members, count(*) filter (sign < 0) holes, sum(perimeter) perimeter from (select fid, sign, part, abs(sum(x0*y1-x1*y0))/2 area, sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))) perimeter
+ from (select *, case when fid >= 10000000 then cast(floor(x0/2500e0) as bigint)*1000000 + cast(floor(y0/2500e0) as bigint) else 0 end part from nsegs) p group by fid, sign, part) q group by fid)"""
 PAIRS = "pairs as (select a.fid fid1, b.fid fid2, sum(a.length) shared from segs a join segs b on a.seg_key = b.seg_key and a.fid < b.fid group by all)"
 NET = """net as (select fid*2 line_id, x0, y0, x1, y1 from psteps where s = 0 and fid % 7 <> 0
  union all select a.fid*2+1, a.x x0, a.y y0, b.x x1, b.y y1 from pverts a join pverts b on a.fid = b.fid and a.v = 0 and b.v = 3 where a.fid % 5 <> 0),
@@ -211,6 +214,7 @@ ORACLE |= {
  union all select 'firstorder', count(*) from best, lateral (select abs(azimuth - (dip_dir + 270e0) % 180e0) % 180e0 dd) t where least(dd, 180e0-dd) <= 15""",
     "tz_gaps": f"{_FILL} select f.fid filler, round(a.area, 6) area from filler f join areas a on a.fid = f.gap",
     "tz_gap_fill": f"{_FILL} select a.fid, round(a.area + coalesce(sum(b.area), 0), 6) area from areas a left join filler f on f.fid = a.fid left join areas b on b.fid = f.gap where a.fid % 50 <> 25 group by a.fid, a.area",
+    "tz_gap_fill_rings": f"{_FILL} select a.fid, round(a.area + coalesce(sum(b.area), 0), 6) area, cast(0 as bigint) holes from areas a left join filler f on f.fid = a.fid left join areas b on b.fid = f.gap where a.fid % 50 <> 25 group by a.fid, a.area",
     "tz_midpoint_snap": f"""{L}, {POLYGONS_SQL}, f as (select fid, v, case when v = 0 then round(x, -2) else x end x, case when v = 0 then round(y, -2) else y end y from verts where v < 2),
  g as (select x, y, min(struct_pack(fid := fid, v := v)) o from f group by x, y), p as (select distinct x, y from pverts),
  b as (select g.x, g.y, p.x px, p.y py, row_number() over (partition by g.x, g.y order by round(sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)), 12), p.x, p.y) rn from g join p on p.x between g.x-300 and g.x+300 and p.y between g.y-300 and g.y+300 where sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)) <= 300)
@@ -257,6 +261,18 @@ kept as (select fid, unnest(arg_min(ks, len(ks))) k from left_over group by fid)
  select a.node_id start_node, b.node_id end_node, round(length, 6) length, line_id, a.node_type start_type, b.node_type end_type, least(a.node_type, b.node_type)||'-'||greatest(a.node_type, b.node_type) edge_type
  from nedges e join named a on e.x = a.x and e.y = a.y join named b on e.x2 = b.x and e.y2 = b.y""",
     # members are neighbours in one row of the mosaic, so a group has one ring
+    "tz_overlap_fix": f"{G} select fid, (case when i > 0 then 2500e0 else 3000e0 end)*(case when j > 0 then 2500e0 else 3000e0 end) area, cast(1 as bigint) members, cast(0 as bigint) holes from polys",
+    "pg_area_rings": f"""{N}, {NAREAS} select fid, round(area, 6) area, members, holes, round(perimeter, 6) perimeter from nareas""",
+    "pg_centroids": f"""{N}, c as (select fid, min(x0) ox, min(y0) oy from nsegs group by fid), m as (select n.fid, n.sign, x0-ox ax, y0-oy ay, x1-ox bx, y1-oy by_, ox, oy from nsegs n join c on c.fid = n.fid)
+ select fid, round(any_value(ox) + sum(sign*(ax+bx)*(ax*by_-bx*ay))/(3*sum(sign*(ax*by_-bx*ay))), 4) x, round(any_value(oy) + sum(sign*(ay+by_)*(ax*by_-bx*ay))/(3*sum(sign*(ax*by_-bx*ay))), 4) y from m group by fid""",
+    "pg_adjacency_rings": f"{G}, {PAIRS} select fid1, fid2, round(shared, 6) shared from pairs union all select fid, 10000000 + fid//100, 800e0 from polys where fid % 50 = 0",
+    "pg_dissolve_rings": f"""{N}, {NAREAS}, {PAIRS}, inside_ as (select fid1//4 g, sum(shared) shared from pairs where fid1//4 = fid2//4 group by 1), t as (select fid//4 g, sum(area) area, sum(holes) holes, sum(perimeter) perimeter from nareas where fid < 10000000 group by 1)
+ select t.g fid, round(area, 6) area, cast(1 as bigint) members, cast(holes as bigint) holes, round(perimeter - 2*coalesce(shared, 0), 6) perimeter from t left join inside_ i on i.g = t.g""",
+    "src_members": f"""{G}, {AREAS} select fid, cast(0 as bigint) member, cast(0 as bigint) ring_no, cast(5 as bigint) vertices, round(area, 6) area from areas union all select fid, 0, 1, 5, 40000e0 from polys where fid % 50 = 0
+ union all select 10000000 + fid//100, (fid//50) % 2, 0, 5, 40000e0 from polys where fid % 50 = 0""",
+    "so_pip_rings": f"""{N}, {POINTS_SQL}, q as (select fid pid, easting+0.25e0 px, northing+0.25e0 py from points union all select 10000000 + fid, i*2500 + 1250.5e0, j*2500 + 1250.5e0 from polys where fid % 25 = 0),
+ boxes as (select fid, min(x0) bx0, max(x0) bx1, min(y0) by0, max(y0) by1 from nsegs group by fid)
+ select pid, b.fid from q join boxes b on px >= bx0 and px <= bx1 and py >= by0 and py <= by1 where (select count(*) from nsegs s where s.fid = b.fid and (s.y0 > py) <> (s.y1 > py) and px < s.x0 + (py-s.y0)*(s.x1-s.x0)/(s.y1-s.y0)) % 2 = 1""",
     "pg_dissolve": f"{G}, {AREAS} select cast(floor(fid/4e0) as bigint) fid, cast(1 as bigint) rings, round(sum(area), 6) area from areas group by 1",
 }
 _PLACED = f"""b as (select cast(trunc(min(easting)) as bigint) minx, cast(trunc(max(easting)) as bigint)+1 maxx, cast(trunc(min(northing)) as bigint) miny, cast(trunc(max(northing)) as bigint)+1 maxy from points),

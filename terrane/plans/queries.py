@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import scalar as S
-from terrane.operators import clusters, lines, network, offsets, points, polygons, selection, simplify, spatial, topology
+from terrane.operators import clusters, lines, network, offsets, points, polygons, rings, selection, simplify, spatial, topology
 from terrane.sources import fixtures as X
 
 SIZE = 5000.0
@@ -310,6 +310,13 @@ def so_pip_join(spark, d):
     return spatial.points_in_polygons(p, X.polygons(spark, d), 2500.0)
 
 
+@query
+def so_pip_rings(spark, d):
+    p = X.points(spark, d).select(F.col("fid").alias("pid"), (F.col("easting") + 0.25).alias("x"), (F.col("northing") + 0.25).alias("y"))
+    middle = X.polygons(spark, d).where("fid % 25 = 0").select((F.col("fid") + 10_000_000).alias("pid"), ((F.col("fid") % 40) * 2500 + 1250.5).alias("x"), (F.floor(F.col("fid") / 40.0) * 2500 + 1250.5).alias("y"))
+    return spatial.points_in_polygons(p.union(middle), X.nested_mosaic(spark, d))
+
+
 def _offset(spark, d):
     return offsets.fault_offsets(X.lines(spark, d), X.polygons(spark, d), ["strat1", "strat2", "lith"])
 
@@ -394,6 +401,40 @@ def _with_holes(spark, d):
     return p.select("fid", F.lit(0).alias("ring_no"), "ring").union(p.where("fid % 50 = 0").select("fid", F.lit(1), hole))
 
 
+@query
+def pg_area_rings(spark, d):
+    got = rings.areas(X.nested_mosaic(spark, d))
+    return got.select("fid", r("area").alias("area"), "members", "holes", r("perimeter").alias("perimeter"))
+
+
+@query
+def pg_centroids(spark, d):
+    return rings.centroids(X.nested_mosaic(spark, d)).select("fid", r("x", 4).alias("x"), r("y", 4).alias("y"))
+
+
+@query
+def pg_adjacency_rings(spark, d):
+    return polygons.adjacency(X.nested_mosaic(spark, d)).select("fid1", "fid2", r("shared").alias("shared"))
+
+
+@query
+def pg_dissolve_rings(spark, d):
+    """Blocks of four polygons with their holes and without the islands: an island's place stays a hole."""
+    p = X.nested_mosaic(spark, d).where("fid < 10000000")
+    got = rings.areas(polygons.dissolve(p, p.select(F.col("fid").alias("member"), F.floor(F.col("fid") / 4).alias("group")).distinct()))
+    return got.select("fid", r("area").alias("area"), "members", "holes", r("perimeter").alias("perimeter"))
+
+
+@query
+def src_members(spark, d):
+    """The nested mosaic as text of several members, and back."""
+    from terrane.sources import layers
+
+    text = layers.to_wkt(rings.to_members(X.nested_mosaic(spark, d)), "members", "POLYGON")
+    back = rings.from_members(layers.from_wkt(text).select("fid", "members"))
+    return back.select("fid", F.col("member").cast("bigint").alias("member"), F.col("ring_no").cast("bigint").alias("ring_no"), F.size("ring").cast("bigint").alias("vertices"), r(S.ring_area(F.col("ring"))).alias("area"))
+
+
 @query
 def pg_small_holes(spark, d):
     return polygons.without_small_holes(_with_holes(spark, d), 10_000.0).select("fid", F.col("ring_no").cast("bigint").alias("ring_no"), r(S.ring_area(F.col("ring"))).alias("area"))
@@ -564,19 +605,22 @@ def tz_gaps(spark, d):
 @query
 def tz_gap_fill(spark, d):
     holed = X.polygons(spark, d).where("fid % 50 <> 25")
-    return topology.fill_gaps(holed).select("fid", r(S.ring_area(F.col("ring"))).alias("area"))
+    return rings.areas(topology.fill_gaps(holed)).select("fid", r("area").alias("area"))
+
+
+@query
+def tz_gap_fill_rings(spark, d):
+    """The nested mosaic without its islands and some polygons: both kinds of gap are filled, other rings stay."""
+    holed = X.nested_mosaic(spark, d).where("fid < 10000000 and fid % 50 <> 25")
+    return rings.areas(topology.fill_gaps(holed)).select("fid", r("area").alias("area"), "holes")
 
 
 @query
 def tz_overlap_fix(spark, d):
-    """Every tenth polygon's square is laid over the mosaic again, under a fid that loses."""
-    p = X.polygons(spark, d)
-    box = F.array(*(F.struct((F.col("ring")[0]["x"] + x).alias("x"), (F.col("ring")[0]["y"] + y).alias("y")) for x, y in ((0.0, 0.0), (4000.0, 0.0), (4000.0, 4000.0), (0.0, 4000.0), (0.0, 0.0))))
-    apart = p.where("fid % 10 = 0").select("fid", "ring").union(p.where("fid % 10 = 0").select((F.col("fid") + 10_000_000).alias("fid"), box))
-    fixed = topology.fix_overlaps(apart)
-    # no place is covered twice, and what was covered still is
-    sides = F.transform("ring", lambda v: v["x"])
-    return fixed.groupBy("fid").agg(r(F.sum(F.when(F.col("ring_no") == 0, S.ring_area(F.col("ring"))).otherwise(0.0)), 3).alias("largest"), F.bool_and(F.size(sides) > 3).alias("closed"))
+    """A square for every polygon, wider than its step, so that it overlaps those beside, above and below it."""
+    i, j = F.col("fid") % 40 * 2500.0, F.floor(F.col("fid") / 40.0) * 2500.0
+    squares = X.polygons(spark, d).select("fid", F.array(*(F.struct((i + x).alias("x"), (j + y).alias("y")) for x, y in ((0.0, 0.0), (3000.0, 0.0), (3000.0, 3000.0), (0.0, 3000.0), (0.0, 0.0)))).alias("ring"))
+    return rings.areas(topology.fix_overlaps(squares)).select("fid", r("area", 3).alias("area"), "members", "holes")
 
 
 @query

@@ -52,6 +52,22 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mosaic as a ring table: a square hole in every 50th polygon, filled by an island; two
+    consecutive islands are the two members of one feature, whose fid is above ten million."""
+    poly = polygons(spark, sf_dir)
+    i, j = F.col("fid") % 40, F.floor(F.col("fid") / 40.0)
+    cx, cy = (i * 2500 + 1250).cast("double"), (j * 2500 + 1250).cast("double")
+    square = F.array(*(F.struct((cx + a * 100).alias("x"), (cy + b * 100).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
+    rest = ("strat1", "strat2", "lith")
+    holed = poly.where("fid % 50 = 0")
+    outer = poly.select("fid", F.lit(0).alias("member"), F.lit(0).alias("ring_no"), "ring", *rest)
+    holes = holed.select("fid", F.lit(0), F.lit(1), F.reverse(square), *rest)
+    island = F.floor(F.col("fid") / 100).cast("bigint")
+    islands = holed.select((island + 10_000_000).alias("fid"), (F.floor(F.col("fid") / 50) % 2).cast("int"), F.lit(0), square, F.lit("island"), F.concat(F.lit("I"), island.cast("string")), F.lit("sand"))
+    return outer.union(holes).union(islands)
+
+
 def cells_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A network of lines along the mosaic's sides, with loose ends: lower side
     for all polygons but every 7th, left side for all but every 5th."""
@@ -81,3 +97,9 @@ segs as (select *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) length, case when x0 <
  then concat_ws('|', x0, y0, x1, y1) else concat_ws('|', x1, y1, x0, y0) end seg_key from psteps)"""
 #: The mosaic of in_degrees.
 DEGREES_SQL = POLYGONS_SQL.replace("cast(ci*2500 + ((ci*7 + cj*13) % 11 - 5)*100 as double) x", "cast(ci*2500 + ((ci*7 + cj*13) % 11 - 5)*100 as double)/110001 x").replace("cast(cj*2500 + ((ci*5 + cj*3) % 11 - 5)*100 as double) y", "cast(cj*2500 + ((ci*5 + cj*3) % 11 - 5)*100 as double)/110001 y")
+#: Rings of nested_mosaic: sides by feature.
+NESTED_SQL = POLYGONS_SQL + """,
+square as (select fid, i*2500e0 + 1250e0 cx, j*2500e0 + 1250e0 cy from polys where fid % 50 = 0),
+inner_ as (select fid, s, cx + 100e0*a x0, cy + 100e0*b y0, cx + 100e0*c x1, cy + 100e0*d y1 from square, (values (0, -1, -1, 1, -1), (1, 1, -1, 1, 1), (2, 1, 1, -1, 1), (3, -1, 1, -1, -1)) t(s, a, b, c, d)),
+nsegs as (select fid, 1 sign, x0, y0, x1, y1 from psteps union all select fid, -1, x0, y0, x1, y1 from inner_ union all select 10000000 + fid//100, 1, x0, y0, x1, y1 from inner_),
+nunits as (select fid, strat1, strat2, lith from polys union select 10000000 + fid//100, 'island', 'I' || fid//100, 'sand' from square)"""

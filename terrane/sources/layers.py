@@ -19,24 +19,40 @@ def _pairs(text: Column) -> Column:
 
 def from_wkt(df: DataFrame, column: str = "wkt") -> DataFrame:
     """Parts array<array<vertex>> from POINT, LINESTRING, POLYGON and their
-    MULTI forms (rings and members in order), and geom, the first part."""
-    inner = F.regexp_extract_all(F.col(column), F.lit(r"\(([^()]+)\)"), F.lit(1))
-    return df.withColumn("parts", F.transform(inner, _pairs)).withColumn("geom", F.get("parts", F.lit(0)))
+    MULTI forms (rings and members in order); geom, the first part; and of polygons
+    members, an array of members, each an array of rings, the outer one first (null for other kinds)."""
+    ring = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1)), _pairs)
+    member = F.regexp_extract_all(F.col(column), F.lit(r"\(\s*(\([^()]+\)(?:\s*,\s*\([^()]+\))*)\s*\)"), F.lit(1))
+    polygon = F.col(column).rlike(r"(?i)^\s*(MULTI)?POLYGON")
+    return df.withColumn("parts", ring(F.col(column))).withColumn("geom", F.get("parts", F.lit(0))).withColumn("members", F.when(polygon, F.transform(member, ring)))
+
+
+def _depth(df: DataFrame, geom: str) -> int:
+    """1: one part, 2: several parts or rings, 3: members of rings."""
+    return df.schema[geom].dataType.simpleString().count("array<")
 
 
 def to_wkt(df: DataFrame, geom: str = "geom", kind: str = "LINESTRING") -> DataFrame:
-    """S3: a wkt column in place of geom, which is one part, or an array of parts for POLYGON and MULTILINESTRING."""
-    several = df.schema[geom].dataType.simpleString().startswith("array<array")
+    """S3: a wkt column in place of geom, which is one part; or an array of parts for POLYGON and
+    MULTILINESTRING; or an array of members, each an array of rings, which gives a MULTIPOLYGON."""
+    depth = _depth(df, geom)
     listed = lambda part: F.concat_ws(", ", F.transform(part, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))))
-    body = F.concat_ws(", ", F.transform(geom, lambda part: F.concat(F.lit("("), listed(part), F.lit(")")))) if several else listed(F.col(geom))
-    left, right = ("((", "))") if kind == "POLYGON" and not several else ("(", ")")
+    bracketed = lambda parts: F.concat_ws(", ", F.transform(parts, lambda part: F.concat(F.lit("("), listed(part), F.lit(")"))))
+    if depth == 3:
+        body = F.concat_ws(", ", F.transform(geom, lambda rings: F.concat(F.lit("("), bracketed(rings), F.lit(")"))))
+        kind = kind if kind.startswith("MULTI") else f"MULTI{kind}"
+    else:
+        body = bracketed(F.col(geom)) if depth == 2 else listed(F.col(geom))
+    left, right = ("((", "))") if kind == "POLYGON" and depth == 1 else ("(", ")")
     return df.withColumn("wkt", F.concat(F.lit(f"{kind} {left}"), body, F.lit(right))).drop(geom)
 
 
 def read_layer(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """A layer by its format. csv holds WKT in the column wkt; geojson is
     one feature a line, its properties as strings; shapefile is one .shp file or a
-    folder of them, with .dbf beside. Text formats and shapefiles give parts (all rings or members, in order) and geom, the first."""
+    folder of them, with .dbf beside. Text formats and shapefiles give parts (all rings or members, in order) and
+    geom, the first; csv and geojson also give members (see from_wkt), which rings.from_members() makes a ring table
+    of, as rings.nested() does of a shapefile's rings."""
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
@@ -51,7 +67,9 @@ def read_layer(spark: SparkSession, path: str, kind: str = "parquet", schema: st
         lists = lists.when(kind_of.isin("MultiLineString", "Polygon"), held(3)).when(kind_of == "MultiPolygon", F.flatten(held(4)))
         parts = F.transform(lists, lambda part: F.transform(part, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
         properties = F.from_json(at("$.properties"), "map<string, string>")
-        return rows.select(properties.alias("properties"), parts.alias("parts")).withColumn("geom", F.get("parts", F.lit(0)))
+        nested = F.when(kind_of == "Polygon", F.array(held(3))).when(kind_of == "MultiPolygon", held(4))
+        members = F.transform(nested, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+        return rows.select(properties.alias("properties"), parts.alias("parts"), members.alias("members")).withColumn("geom", F.get("parts", F.lit(0)))
     if kind == "shapefile":
         return shapefile.read(spark, path)
     raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson, shapefile")
@@ -67,18 +85,20 @@ def write_layer(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
     """Csv gets WKT, geojson one feature a line; names that are taken raise, unless mode says otherwise.
 
     shape: LineString, or Polygon, of which geom is the outer ring. A geom of
-    several parts (an array of arrays) is written as MultiLineString, or as one Polygon whose later rings are holes."""
+    several parts (an array of arrays) is written as MultiLineString, or as one Polygon whose later rings are
+    holes, and one of several members (see rings.to_members) as MultiPolygon."""
     if shape not in ("LineString", "Polygon"):
         raise ValueError(f"unknown shape {shape!r}; known: LineString, Polygon")
-    several = df.schema[geom].dataType.simpleString().startswith("array<array")
+    depth = _depth(df, geom) if kind in ("csv", "geojson") else 0
+    several = depth > 1
     if kind == "parquet":
         df.write.mode(mode).parquet(path)
     elif kind == "csv":
         to_wkt(df, geom, ("MULTI" if several and shape == "LineString" else "") + shape.upper()).write.mode(mode).option("header", True).csv(path)
     elif kind == "geojson":
         listed = lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"]))
-        coordinates = F.transform(geom, listed) if several else F.array(listed(F.col(geom))) if shape == "Polygon" else listed(F.col(geom))
-        name = "MultiLineString" if several and shape == "LineString" else shape
+        coordinates = F.transform(geom, lambda rings: F.transform(rings, listed)) if depth == 3 else F.transform(geom, listed) if several else F.array(listed(F.col(geom))) if shape == "Polygon" else listed(F.col(geom))
+        name = "MultiPolygon" if depth == 3 else "MultiLineString" if several and shape == "LineString" else shape
         feature = F.struct(F.lit("Feature").alias("type"), F.struct(*(c for c in df.columns if c != geom)).alias("properties"), F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")).alias("geometry"))
         df.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
     else:

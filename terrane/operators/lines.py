@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import end_azimuth, length_in, line_length, line_mid_latitude
-from terrane.operators.graphs import components, cut
+from terrane.operators.graphs import cut
 from terrane.operators.spatial import close_pairs
 
 
@@ -97,43 +97,66 @@ def join_lines(g1: Column, end1: Column, g2: Column, end2: Column) -> Column:
     )
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pass inside a component: lines from the last to the first take their best free partner."""
-    options: dict[int, list] = {}
-    for r in rows.itertuples():
-        options.setdefault(r.fid1, []).append((r.score, r.fid2, r.end1, r.end2, True))
-        options.setdefault(r.fid2, []).append((r.score, r.fid1, r.end2, r.end1, False))
-    used, out = set(), []
-    for fid in sorted(options, reverse=True):
-        if fid in used:
-            continue
-        for _, other, own_end, other_end, _ in sorted(options[fid]):
-            if other not in used:
-                used |= {fid, other}
-                out.append((fid, own_end, other, other_end))
-                break
-    return pd.DataFrame(out, columns=["fid1", "end1", "fid2", "end2"])
+#: Pairs that a task walks at once, about; the result does not depend on it.
+PAIRS_TOGETHER = 50_000
 
 
-#: A component of more candidate pairs than this is matched by choosers and takers instead of in one task.
-MOST_PAIRS = 50_000
+def _settle_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """One step of a pass over some lines' pairs: own, other, score, both ends, own and other's block and other's last neighbour.
+
+    The sequential pass goes through lines from the last to the first, and each takes its best
+    free partner. A line is decided here as soon as nothing that the walk does before it can
+    change its choice: none of its own free neighbours comes before it any more, and of its best
+    one's free neighbours it comes first. Lines of other blocks count as undecided."""
+    near: dict[int, list] = {}
+    foreign: dict[int, int] = {}
+    for own, other, score, own_end, other_end, inside, last in rows[["own", "other", "score", "own_end", "other_end", "inside", "last"]].itertuples(index=False):
+        near.setdefault(own, []).append((score, other, own_end, other_end))
+        if not inside:
+            foreign[other] = last
+    used, empty, out = set(), set(), []
+    for own in sorted(near, reverse=True):
+        if own in used:
+            continue
+        free = sorted(c for c in near[own] if c[1] not in used)
+        if not free:
+            empty.add(own)
+            continue
+        if any(c[1] > own and c[1] not in empty for c in free):
+            continue
+        score, other, own_end, other_end = free[0]
+        if other in foreign:
+            first = foreign[other] == own
+        else:
+            first = not any(c[1] > own and c[1] not in used and c[1] not in empty for c in near[other])
+        if first:
+            used |= {own, other}
+            out.append((own, own_end, other, other_end))
+    return pd.DataFrame(out, columns=["fid1", "end1", "fid2", "end2"])
 
 
-def _matches(pairs: DataFrame, turn: int) -> DataFrame:
-    """Disjoint pairs of one pass. Components of the candidate graph are independent; small ones are walked in
-    order. In large ones a hash of fid and turn makes each line a chooser or a taker; choosers ask their best
-    taker, which takes its best chooser, so that whatever the scores a share of the lines is matched in each pass."""
-    label = components(pairs.select(F.col("fid1").alias("a"), F.col("fid2").alias("b")))
-    held = cut(pairs.join(label.withColumnRenamed("id", "fid1"), "fid1"))
-    size = held.groupBy("component").agg(F.count("*").alias("pairs"))
-    held = held.join(size, "component")
-    small = held.where(F.col("pairs") <= MOST_PAIRS).groupBy("component").applyInPandas(_greedy, "fid1 long, end1 string, fid2 long, end2 string")
-    takes = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
-    large = held.where((F.col("pairs") > MOST_PAIRS) & (takes("fid1") != takes("fid2")))
-    sides = large.select(F.when(takes("fid1"), F.col("fid2")).otherwise(F.col("fid1")).alias("chooser"), F.struct("score", "fid1", "fid2", "end1", "end2").alias("p"), F.when(takes("fid1"), F.col("fid1")).otherwise(F.col("fid2")).alias("taker"))
-    asked = sides.groupBy("chooser").agg(F.min(F.struct("p", "taker")).alias("b"))
-    taken = asked.groupBy("b.taker").agg(F.min("b.p").alias("p")).select("p.fid1", "p.end1", "p.fid2", "p.end2")
-    return small.union(taken)
+def _matches(pairs: DataFrame) -> DataFrame:
+    """Disjoint pairs of one pass, those of the sequential walk, whatever the size of a component.
+
+    Lines are dealt to blocks by ranges of fid. In each round every block decides what the
+    walk would have decided by its pairs alone; pairs of lines that are taken are dropped, until none
+    is left. The last line that has a pair is always decided, and a block follows a chain of choices
+    through all of its own lines, so rounds are few unless choices go to and fro between blocks."""
+    names = ("fid1", "end1", "fid2", "end2")
+    both = pairs.select(F.col("fid1").alias("own"), F.col("fid2").alias("other"), "score", F.col("end1").alias("own_end"), F.col("end2").alias("other_end"))
+    both = cut(both.union(pairs.select("fid2", "fid1", "score", "end2", "end1")))
+    done = None
+    while True:
+        left = both.count()
+        if not left:
+            return done if done is not None else pairs.select(*names).where("false")
+        dealt = cut(both.repartitionByRange(max(1, -(-left // PAIRS_TOGETHER)), "own").withColumn("block", F.spark_partition_id()))
+        lines_ = dealt.groupBy("own").agg(F.max("other").alias("last"), F.min("block").alias("of"))
+        held = dealt.join(lines_.select(F.col("own").alias("other"), "last", "of"), "other").withColumn("inside", F.col("of") == F.col("block"))
+        took = cut(held.groupBy("block").applyInPandas(_settle_pairs, "fid1 long, end1 string, fid2 long, end2 string"))
+        done = took if done is None else cut(done.union(took))
+        gone = took.select(F.explode(F.array("fid1", "fid2")).alias("fid"))
+        both = cut(both.join(gone, F.col("own") == F.col("fid"), "left_anti").join(gone, F.col("other") == F.col("fid"), "left_anti"))
 
 
 def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join_angle: float = 150.0, most_passes: int | None = None) -> DataFrame:
@@ -147,7 +170,7 @@ def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join
             break
         if turn == most_passes:
             raise RuntimeError(f"lines are left to merge after {most_passes} passes")
-        chosen = cut(_matches(pairs, turn))
+        chosen = cut(_matches(pairs))
         g1, g2 = now.select(F.col("fid").alias("fid1"), F.col("geom").alias("g1"), F.col("members").alias("m1")), now.select(F.col("fid").alias("fid2"), F.col("geom").alias("g2"), F.col("members").alias("m2"))
         joined = chosen.join(g1, "fid1").join(g2, "fid2").select(F.col("fid1").alias("fid"), join_lines(F.col("g1"), F.col("end1"), F.col("g2"), F.col("end2")).alias("geom"), F.concat("m1", "m2").alias("members"))
         gone = chosen.select(F.explode(F.array("fid1", "fid2")).alias("fid"))

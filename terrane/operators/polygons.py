@@ -9,14 +9,16 @@ import itertools
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from terrane.functions import kernels
 from terrane.functions.scalar import ring_area
-from terrane.operators.graphs import components, cut
-from terrane.operators.ranks import first
-from terrane.operators.selection import order_statistic, target_count
+from terrane.operators import rings as R
+from terrane.operators.graphs import cut
+from terrane.operators.points import hash_order
+from terrane.operators.ranks import kth
+from terrane.operators.selection import order_statistic, ratio_schedule, target_count
 from terrane.operators.spatial import segments
 
 STRATA = ("strat1", "strat2", "strat3", "strat4")
@@ -69,49 +71,40 @@ def merge_targets(small: DataFrame, nodes: DataFrame, pairs: DataFrame, columns:
     return best.select("fid", F.col("b.nbr").alias("target"), F.col("b.shared").alias("shared"), F.col("b.reason").alias("reason"))
 
 
-#: Chosen merges that hang together up to which they are settled in the order of their fids in one task;
-#: larger ones by who leaves and who stays in this round.
-MOST_TOGETHER = 20_000
-
-
-def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Targets in the order of the first polygon that chose them; one that has itself gone takes nobody."""
-    rows = rows.sort_values("fid")
-    gone, out, by_target = set(), [], {}
-    for r in rows.itertuples():
-        by_target.setdefault(r.target, []).append((r.fid, r.reason))
-    for target, small in by_target.items():
-        if target in gone:
-            continue
-        for fid, reason in small:
-            if fid not in gone:
-                gone.add(fid)
-                out.append((fid, target, reason))
-    return pd.DataFrame(out, columns=["fid", "target", "reason"])
+def settle(chosen: DataFrame) -> DataFrame:
+    """The merges of one round, those of a sequential walk: fid, target, reason.
 
+    The walk takes targets in the order of the least polygon that chose them, and a target takes
+    all its choosers unless it has itself gone before. So a target stands if and only if its own
+    choice does not stand or comes later: along the chain of ever earlier choices every second
+    one stands. Chains are followed by doubling, so rounds grow with the logarithm of the
+    longest, and neither a star nor a chain meets in one task."""
+    chosen = cut(chosen.select("fid", "target", "reason"))
+    order = chosen.groupBy("target").agg(F.min("fid").alias("turn"))
+    own = order.join(chosen.select(F.col("fid").alias("target"), F.col("target").alias("next")), "target", "left")
+    later = order.select(F.col("target").alias("next"), F.col("turn").alias("next_turn"))
+    chain = own.join(later, "next", "left").select("target", F.when(F.col("next_turn") < F.col("turn"), F.col("next")).alias("next"))
+    chain = cut(chain.withColumn("odd", F.col("next").isNotNull()))
+    while chain.where("next is not null").take(1):
+        ahead = chain.select(F.col("target").alias("next"), F.col("next").alias("after"), F.col("odd").alias("more"))
+        chain = cut(chain.join(ahead, "next", "left").select("target", F.col("after").alias("next"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")))
+    return chosen.join(chain.where("not odd").select("target"), "target", "left_semi").select("fid", "target", "reason")
 
-def settle(chosen: DataFrame, turn: int = 0) -> DataFrame:
-    """The merges of one round that do not get in each other's way: fid, target, reason.
 
-    In large components polygons that nobody chose leave, those that chose nobody
-    stay, and a hash of fid and turn decides for the rest; a target that stays takes
-    all its leaving choosers, so that a round settles any star and a share of each chain."""
-    chosen = cut(chosen.select("fid", "target", "reason"))
-    label = components(chosen.select(F.col("fid").alias("a"), F.col("target").alias("b")))
-    held = cut(chosen.join(label.withColumnRenamed("id", "fid"), "fid"))
-    held = held.join(held.groupBy("component").agg(F.count("*").alias("n")), "component")
-    few = held.where(F.col("n") <= MOST_TOGETHER).groupBy("component").applyInPandas(_in_order, "fid long, target long, reason string")
-    many = held.where(F.col("n") > MOST_TOGETHER).select("fid", "target", "reason")
-    taken = many.select(F.col("target").alias("fid"), F.lit(True).alias("wanted")).distinct()
-    leaving = many.join(taken, "fid", "left").where(F.col("wanted").isNull() | (F.pmod(F.xxhash64("fid", F.lit(turn)), F.lit(2)) == 0)).drop("wanted")
-    return few.union(leaving.join(leaving.select(F.col("fid").alias("target")), "target", "left_anti").select("fid", "target", "reason"))
+def _nodes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each feature of polygons or rings: area, moments of its centroid, box, and the columns."""
+    got = R.areas(df).select("fid", "area").join(R.centroids(df), "fid").join(R.boxes(df).drop("sides"), "fid")
+    got = got.select(F.col("fid").cast("long").alias("fid"), "area", (F.col("area") * F.col("x")).alias("mx"), (F.col("area") * F.col("y")).alias("my"), "x0", "y0", "x1", "y1")
+    return cut(got.join(df.select(F.col("fid").cast("long").alias("fid"), *columns).dropDuplicates(["fid"]), "fid"))
 
 
 def _merge(nodes: DataFrame, pairs: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, pairs and labels after merges: areas and shared lengths add, the target's attributes stay, no geometry is touched."""
+    """Nodes, pairs and labels after merges: areas, moments, boxes and shared lengths combine, the target's attributes stay, no geometry is touched."""
     to = done.select(F.col("fid"), "target")
-    moved = nodes.select("fid", "area").join(to, "fid").groupBy(F.col("target").alias("fid")).agg(F.sum("area").alias("more"))
-    nodes = cut(nodes.join(to, "fid", "left_anti").join(moved, "fid", "left").withColumn("area", F.col("area") + F.coalesce("more", F.lit(0.0))).drop("more"))
+    sums, lows, highs = ("area", "mx", "my"), ("x0", "y0"), ("x1", "y1")
+    moved = nodes.join(to, "fid").groupBy(F.col("target").alias("fid")).agg(*(F.sum(c).alias(f"__{c}") for c in sums), *(F.min(c).alias(f"__{c}") for c in lows), *(F.max(c).alias(f"__{c}") for c in highs))
+    new = {c: F.col(c) + F.coalesce(f"__{c}", F.lit(0.0)) for c in sums} | {c: F.least(c, f"__{c}") for c in lows} | {c: F.greatest(c, f"__{c}") for c in highs}
+    nodes = cut(nodes.join(to, "fid", "left_anti").join(moved, "fid", "left").withColumns(new).select(*nodes.columns))
     one, two = to.select(F.col("fid").alias("fid1"), F.col("target").alias("t1")), to.select(F.col("fid").alias("fid2"), F.col("target").alias("t2"))
     ends = pairs.join(one, "fid1", "left").join(two, "fid2", "left").select(F.coalesce("t1", "fid1").alias("a"), F.coalesce("t2", "fid2").alias("b"), "shared").where("a <> b")
     pairs = cut(ends.groupBy(F.least("a", "b").alias("fid1"), F.greatest("a", "b").alias("fid2")).agg(F.sum("shared").alias("shared")))
@@ -119,69 +112,126 @@ def _merge(nodes: DataFrame, pairs: DataFrame, labels: DataFrame, done: DataFram
     return nodes, pairs, labels
 
 
+def _labels(df: DataFrame) -> DataFrame:
+    fid = F.col("fid").cast("long")
+    return cut(df.select(fid.alias("fid"), fid.alias("group")).distinct())
+
+
 def clean_small(df: DataFrame, threshold: float, columns: list[str], most_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """M1, M4, M6: polygons under threshold merge into their best neighbour, round
+    """M1, M4, M6: polygons (or the features of a ring table) under threshold merge into their best neighbour, round
     after round. Gives (fid, area, columns, inherit: all fids inside, in order)
-    and the number of merges for each reason. Rounds work on the adjacency graph;
-    dissolve() makes the geometry once, at the end."""
-    nodes = cut(with_area(df).select(F.col("fid").cast("long").alias("fid"), "area", *columns))
-    pairs, labels, reasons = cut(adjacency(df)), cut(df.select(F.col("fid").cast("long").alias("fid"), F.col("fid").cast("long").alias("group"))), None
+    and the number of merges for each reason; those that stay under threshold, as they have no neighbour,
+    count as `orphan`. Rounds work on the adjacency graph; dissolve() makes the geometry once, at the end."""
+    nodes, pairs, labels, reasons = _nodes(df, columns), cut(adjacency(df)), _labels(df), None
     for turn in itertools.count():
         chosen = cut(merge_targets(nodes.where(F.col("area") < threshold), nodes, pairs, columns))
         if not chosen.take(1):
             break
         if turn == most_rounds:
             raise RuntimeError(f"polygons are left to merge after {most_rounds} rounds")
-        done = cut(settle(chosen, turn))
-        if not done.take(1):
-            continue
+        done = cut(settle(chosen))
         reasons = done.select("reason") if reasons is None else reasons.union(done.select("reason"))
         nodes, pairs, labels = _merge(nodes, pairs, labels, done)
     lineage = labels.groupBy("group").agg(F.array_sort(F.collect_list("fid")).alias("inherit")).withColumnRenamed("group", "fid")
-    counts = reasons.groupBy("reason").agg(F.count("*").alias("n")) if reasons is not None else df.sparkSession.createDataFrame([], "reason string, n long")
-    return nodes.join(lineage, "fid"), counts
-
-
-def merge_to_count(df: DataFrame, target: int, columns: list[str], most_rounds: int | None = None) -> DataFrame:
-    """Merges the smallest polygons until `target` are left, as far as they
-    have neighbours. Rounds take all of the n - target smallest that do not get
-    in each other's way, instead of one at a time; the last one takes just enough."""
-    nodes = cut(with_area(df).select(F.col("fid").cast("long").alias("fid"), "area", *columns))
-    pairs, labels = cut(adjacency(df)), cut(df.select(F.col("fid").cast("long").alias("fid"), F.col("fid").cast("long").alias("group")))
-    for turn in itertools.count():
+    orphans = nodes.where(F.col("area") < threshold).select(F.lit("orphan").alias("reason"))
+    counts = (orphans if reasons is None else reasons.union(orphans)).groupBy("reason").agg(F.count("*").alias("n"))
+    return nodes.select("fid", "area", *columns).join(lineage, "fid"), counts
+
+
+def _by_centroid(nodes: DataFrame, small: Row) -> DataFrame:
+    """For a feature without neighbours the one of nearest centroid among those whose boxes meet its own: fid, target, shared, reason; none if none does."""
+    own = small.asDict()
+    near = (F.col("x0") <= own["x1"]) & (F.col("x1") >= own["x0"]) & (F.col("y0") <= own["y1"]) & (F.col("y1") >= own["y0"])
+    dx, dy = (F.try_divide(F.col(f"m{c}"), F.col("area")) - own[f"m{c}"] / (own["area"] or 1.0) for c in "xy")
+    best = nodes.where(near & (F.col("fid") != own["fid"])).agg(F.min(F.struct(F.round(F.hypot(dx, dy), 6).alias("d"), "fid")).alias("b")).where("b is not null")
+    return best.select(F.lit(own["fid"]).cast("long").alias("fid"), F.col("b.fid").alias("target"), F.lit(0.0).alias("shared"), F.lit("nearest_centroid").alias("reason"))
+
+
+def merge_to_count(df: DataFrame, target: int, columns: list[str]) -> DataFrame:
+    """The smallest polygon (ties: least fid) merges into its best neighbour, one after the other, until
+    `target` are left: fid, area, columns, inherit. One without neighbours goes to the nearest centroid
+    among those whose boxes meet its own, and without any such it is dropped.
+
+    Rounds take all merges at once that a walk one by one would make just so: a polygon is the smallest
+    among all within two steps, so nothing that goes before it changes its neighbours or their
+    attributes; it is among the `excess` smallest, so the walk reaches it; and none without neighbours is
+    smaller. The smallest of all always is such a one."""
+    nodes, pairs, labels = _nodes(df, columns), cut(adjacency(df)), _labels(df)
+    key = F.struct("area", "fid")
+    while True:
         excess = nodes.count() - target
         if excess <= 0:
             break
-        small = first(nodes, excess, "area", "fid")
-        chosen = cut(merge_targets(small, nodes, pairs, columns))
-        if not chosen.take(1):  # none of these has a neighbour, so the smallest that have one
-            small = first(nodes.join(both_ways(pairs).select("fid").distinct(), "fid", "left_semi"), excess, "area", "fid")
-            chosen = cut(merge_targets(small, nodes, pairs, columns))
-        if not chosen.take(1):
-            break
-        if turn == most_rounds:
-            raise RuntimeError(f"polygons are left to merge after {most_rounds} rounds")
-        done = first(settle(chosen, turn).join(nodes.select("fid", "area"), "fid"), excess, "area", "fid").select("fid", "target", "reason")
-        done = cut(done)
-        if not done.take(1):
-            continue
+        linked = both_ways(pairs).select("fid").distinct().withColumn("linked", F.lit(True))
+        held = cut(nodes.join(linked, "fid", "left").select("fid", "area", F.coalesce("linked", F.lit(False)).alias("linked")))
+        least = held.agg(F.min(key).alias("all"), F.min(F.when(~F.col("linked"), key)).alias("alone")).first()
+        if least["alone"] is not None and least["alone"] == least["all"]:
+            done = cut(_by_centroid(nodes, nodes.where(F.col("fid") == least["all"]["fid"]).first()))
+            if not done.take(1):  # nothing near: it goes, and its members with it
+                nodes, labels = cut(nodes.where(F.col("fid") != least["all"]["fid"])), cut(labels.where(F.col("group") != least["all"]["fid"]))
+                continue
+        else:
+            bound = kth(held, excess, "area", "fid")
+            small = held.where(F.col("linked"))
+            for limit in (bound, least["alone"]):
+                if limit is not None:
+                    small = small.where(key < F.struct(F.lit(limit["area"]).alias("area"), F.lit(limit["fid"]).alias("fid")))
+            small = cut(small.select("fid", key.alias("k")))
+            # the least key of each polygon's neighbours, and of theirs; those that are not small cannot be it
+            around = both_ways(pairs).select("fid", "nbr")
+            near = around.join(small.select(F.col("fid").alias("nbr"), "k"), "nbr").select("fid", "k").union(small).groupBy("fid").agg(F.min("k").alias("k"))
+            further = around.join(near.select(F.col("fid").alias("nbr"), "k"), "nbr").select("fid", "k").union(near).groupBy("fid").agg(F.min("k").alias("k2"))
+            ready = small.join(further, "fid").where(F.col("k") == F.col("k2")).select("fid")
+            done = cut(merge_targets(ready, nodes, pairs, columns))
         nodes, pairs, labels = _merge(nodes, pairs, labels, done)
     lineage = labels.groupBy("group").agg(F.array_sort(F.collect_list("fid")).alias("inherit")).withColumnRenamed("group", "fid")
-    return nodes.join(lineage, "fid")
+    return nodes.select("fid", "area", *columns).join(lineage, "fid")
 
 
 def scale_polygons(df: DataFrame, ratio: float, columns: list[str]) -> DataFrame:
     """About round(N * ratio^1.5) polygons: first all under the area at that place of the order, then to the count."""
-    n = df.count()
+    area = R.areas(df).select("fid", "area")
+    n = area.count()
     keep = target_count(n, ratio, 3)
     if keep >= n:
-        return with_area(df).select("fid", "area", *columns, F.array("fid").alias("inherit"))
-    threshold = order_statistic(with_area(df), "area", min(n - keep, n - 1)) * (1 + 1e-9) + 1e-6
-    first, _ = clean_small(df, threshold, columns)
-    if first.count() <= keep:
-        return first
-    geom = dissolve(df, first.select(F.explode("inherit").alias("member"), F.col("fid").alias("group")))
-    return merge_to_count(geom.where("ring_no = 0").select("fid", "ring").join(first.select("fid", *columns), "fid"), keep, columns)
+        return area.join(df.select("fid", *columns).dropDuplicates(["fid"]), "fid").select("fid", "area", *columns, F.array("fid").alias("inherit"))
+    threshold = order_statistic(area, "area", min(n - keep, n - 1)) * (1 + 1e-9) + 1e-6
+    cleaned, _ = clean_small(df, threshold, columns)
+    cleaned = cut(cleaned)
+    if cleaned.count() <= keep:
+        return cleaned
+    geom = dissolve(df, cleaned.select(F.explode("inherit").alias("member"), F.col("fid").alias("group")))
+    merged = merge_to_count(cut(geom.join(cleaned.select("fid", *columns), "fid")), keep, columns)
+    # the members of what was merged, by their own fids
+    inside = merged.select("fid", F.explode("inherit").alias("part")).join(cleaned.select(F.col("fid").alias("part"), "inherit"), "part")
+    return merged.drop("inherit").join(inside.groupBy("fid").agg(F.array_sort(F.flatten(F.collect_list("inherit"))).alias("inherit")), "fid")
+
+
+def _shaped(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """The ring table of merged features (fid, area, columns, inherit) from the rings of df that they are made of."""
+    geom = dissolve(df, merged.select(F.explode("inherit").alias("member"), F.col("fid").alias("group")))
+    return geom.join(merged, "fid")
+
+
+def multi_scale_polygons(df: DataFrame, ratio: float, increment: float, columns: list[str]) -> dict[float, DataFrame]:
+    """T8 for polygons: each step scales the one before by the ratio between them. Ring tables with
+    area, the columns and inherit, the original fids inside; 1.0 is the layer itself."""
+    fid = F.col("fid").cast("long")
+    now = cut(R.as_rings(df).select(fid.alias("fid"), "member", "ring_no", "ring", *columns).join(R.areas(df).select("fid", "area"), "fid").withColumn("inherit", F.array("fid")))
+    out, last = {1.0: now}, 1.0
+    for step in ratio_schedule(ratio, increment):
+        plain = now.drop("area", "inherit")
+        merged = cut(scale_polygons(plain, step / last, columns))
+        parts = merged.select("fid", F.explode("inherit").alias("part")).join(now.select(F.col("fid").alias("part"), "inherit").dropDuplicates(["part"]), "part")
+        lineage = parts.groupBy("fid").agg(F.array_sort(F.flatten(F.collect_list("inherit"))).alias("inherit"))
+        now, last = cut(_shaped(plain, merged).drop("inherit").join(lineage, "fid")), step
+        out[step] = now
+    return out
+
+
+def clean_series(df: DataFrame, thresholds: list[float], columns: list[str]) -> dict[float, DataFrame]:
+    """M7: the layer cleaned at each threshold, each time from the start: ring tables with area, the columns and inherit."""
+    return {t: _shaped(df, cut(clean_small(df, t, columns)[0])) for t in thresholds}
 
 
 def threshold_series(diameter_km: float, increment: float | None = None, geographic: bool = False) -> list[float]:
@@ -248,6 +298,6 @@ def triangulate(df: DataFrame, ids: list[str], column: str, least: float = 1.0,
 
 
 def filler(kind: str, seed: int = 42) -> Column:
-    """Reproducible filler for an attribute of a type."""
-    h = F.pmod(F.xxhash64("fid", F.lit(seed)), F.lit(100_000)) + 1
+    """Reproducible filler for an attribute of a type, from fid and seed by multiplication modulo a prime, the same in every engine."""
+    h = hash_order(seed) % 100_000 + 1
     return {"int": h.cast("int"), "float": F.round(h / 1000.0, 3)}.get(kind, F.concat(F.lit("s"), h.cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.graphs import cut
@@ -22,6 +22,16 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     return held.join(F.broadcast(before), "__part").withColumn(name, place).drop("__part", "__before")
 
 
-def first(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    """The k first rows of the order, as a set: only the rows of range partitions up to the k-th are kept."""
-    return ranked(df, *order, name="__rank").where(F.col("__rank") < k).drop("__rank")
+def kth(df: DataFrame, k: int, *order: str) -> Row | None:
+    """The values of the order's columns, which must leave no ties, in the row at zero-based place k; None if there is none."""
+    return ranked(df.select(*order), *order, name="__at").where(F.col("__at") == k).drop("__at").first()
+
+
+def first(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The k first rows of the rising order of columns, as a set. Only the order's columns are written and
+    dealt to ranges: they give the last of the k rows, and a filter keeps the rows of df up to it."""
+    last = kth(df, k - 1, *order) if k > 0 else None
+    if last is None:
+        return df.where("false") if k <= 0 else df
+    bound = F.struct(*(F.lit(last[o]).cast(df.schema[o].dataType).alias(o) for o in order))
+    return df.where(F.struct(*order) <= bound)

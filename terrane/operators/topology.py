@@ -280,16 +280,22 @@ def fix_overlaps(df: DataFrame, least: float = 1e-6, cell: float | None = None)
     the same, so all is one join. All parts and holes that are left stay; overlaps up to least stay
     too; a feature that is covered whole has no row."""
 
-    def subtract(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        left, changed = _all(pdf["rings_b"].iloc[0]), False
-        for other in map(_all, pdf.sort_values("fid1")["rings_a"]):
-            if left and kernels.covered_area(kernels.overlay(left, other, lambda a, b: a and b)) > least:
-                left, changed = kernels.overlay(left, other, lambda a, b: a and not b), True
-        found = kernels.nest(left) if left and changed else []
-        return pd.DataFrame([(key[0], m, k, [{"x": x, "y": y} for x, y in r], True) for m, k, r in found] or [(key[0], 0, 0, None, changed)], columns=["fid", "member", "ring_no", "ring", "changed"])
-
-    schema = "fid long, member int, ring_no int, ring array<struct<x: double, y: double>>, changed boolean"
-    found = cut(_meeting_pairs(df, cell).groupBy("fid2").applyInPandas(subtract, schema).where("changed"))
+    pairs = _meeting_pairs(df, cell)
+    over = pairs.groupBy("fid2").agg(F.first("rings_b").alias("own"), F.array_sort(F.collect_list(F.struct("fid1", F.col("rings_a").alias("rings")))).alias("others"))
+
+    def subtract(batches):
+        for pdf in batches:
+            out = []
+            for fid, own, others in zip(pdf["fid2"], pdf["own"], pdf["others"]):
+                left, changed = _all(own), False
+                for other in (_all(o["rings"]) for o in others):
+                    if left and kernels.covered_area(kernels.overlay(left, other, lambda a, b: a and b)) > least:
+                        left, changed = kernels.overlay(left, other, lambda a, b: a and not b), True
+                if changed:
+                    out += [(fid, m, k, [{"x": x, "y": y} for x, y in r]) for m, k, r in kernels.nest(left)] or [(fid, 0, 0, None)]
+            yield pd.DataFrame(out, columns=["fid", "member", "ring_no", "ring"])
+
+    found = cut(over.mapInPandas(subtract, "fid long, member int, ring_no int, ring array<struct<x: double, y: double>>"))
     rest = as_rings(df).select(F.col("fid").cast("long").alias("fid"), "member", "ring_no", "ring").join(found.select("fid").distinct(), "fid", "left_anti")
     return rest.union(found.where("ring is not null").select("fid", "member", "ring_no", "ring"))
 

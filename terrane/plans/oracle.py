@@ -227,7 +227,9 @@ ORACLE |= {
  select method, tolerance, count(distinct fid) features, count(*) "before", count(*) filter (v = 0 or v = last_v or (method = 'decimation' and v % greatest(case when tolerance >= 1 then least(2, (last_v+1)//2) else 10 end, 1) = 0) or (method = 'bend' and (last_v < 3 or c >= tolerance))) "after" from k, m group by all""",
     "sv_faults": f"{G}, {NET} select line_id fid, cast(2 as bigint) vertices, round(x0+y0+x1+y1, 3) total from net",
     "pg_triangulate_holes": f"{G}, {AREAS} select fid, round(area, 3) area from areas where not (fid % 50 = 0 and lith = 'BUILDING')",
-    "pg_filler": f"{G} select fid, true whole, true small, true \"text\" from polys",
+    "pg_filler": f"""{G}, h as (select fid, ((fid + 42)*48271 % 2147483647) % 100000 + 1 h, ((fid + 7)*48271 % 2147483647) % 100000 + 1 g from polys) select fid, h whole, round(h/1000e0, 3) small, 's' || g "text" from h""",
+    "tp_polygons_chain": f"""{N}, {NAREAS} select ratio, count(*) originals, round(sum(area), 3) area, true drawn, true few from nareas, (values (1e0), (0.9e0), (0.8e0)) t(ratio) group by ratio""",
+    "pg_clean_series": f"""{N}, {NAREAS} select threshold, count(*) originals, round(sum(area), 3) area, true drawn, cast(0 as bigint) under from nareas, (values (50000e0), (5e6)) t(threshold) group by threshold""",
     "pg_lineage_fields": f"""{G}, t as (select cast(floor(fid/40e0) as bigint) fid, string_agg(cast(fid as varchar), ',' order by fid) t from polys group by 1)
  select fid, substr(t, 1, 100) inherit, substr(t, 101, 100) inherit1, substr(t, 201, 100) inherit2, substr(t, 301, 100) inherit3 from t""",
     "pg_thresholds": f"{G}, {AREAS}, s as (select cast(k as integer) step, pi()*(k*0.5e0/2)*(k*0.5e0/2)*1e6 threshold from range(0, 7) t(k)) select step, round(threshold, 3)+0e0 threshold, count(*) filter (area < threshold) under from s, areas group by all",

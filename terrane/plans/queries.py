@@ -463,7 +463,34 @@ def pg_triangulate_holes(spark, d):
 
 @query
 def pg_filler(spark, d):
-    return X.polygons(spark, d).select("fid", (polygons.filler("int").between(1, 100_000)).alias("whole"), (polygons.filler("float") <= 100).alias("small"), polygons.filler("text").startswith("s").alias("text"))
+    return X.polygons(spark, d).select("fid", polygons.filler("int").cast("bigint").alias("whole"), r(polygons.filler("float"), 3).alias("small"), polygons.filler("text", 7).alias("text"))
+
+
+def _layers(found, names):
+    """One row for each layer of a series: its features, all members, area, and whether every feature's area is that of its rings."""
+    out = None
+    for key, layer in found.items():
+        own = rings.areas(layer).withColumnRenamed("area", "drawn").join(layer.select("fid", "area", F.size("inherit").alias("n")).distinct(), "fid")
+        one = own.agg(F.count("*").alias("features"), F.sum("n").alias("originals"), r(F.sum("area"), 3).alias("area"), F.bool_and(F.abs(F.col("drawn") - F.col("area")) < 1e-3).alias("drawn")).select(F.lit(key).alias(names), "features", "originals", "area", "drawn")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def tp_polygons_chain(spark, d):
+    p = X.nested_mosaic(spark, d)
+    got = _layers(polygons.multi_scale_polygons(p, 0.8, 0.1, ["lith", "strat1", "strat2"]), "ratio")
+    # cleaning takes all under the threshold, so a step may go below its count
+    most = F.round(F.lit(p.select("fid").distinct().count()) * F.pow("ratio", F.lit(1.5)))
+    return got.select("ratio", "originals", "area", "drawn", (F.col("features") <= most + 1).alias("few"))
+
+
+@query
+def pg_clean_series(spark, d):
+    """A cleaned layer for each threshold: nothing is lost, and nothing under the threshold is left."""
+    found = polygons.clean_series(X.nested_mosaic(spark, d), [50_000.0, SMALL], STRATA)
+    under = {t: layer.where(F.col("area") < t).count() for t, layer in found.items()}
+    return _layers(found, "threshold").select("threshold", "originals", "area", "drawn", F.element_at(F.create_map(*(F.lit(v) for pair in under.items() for v in pair)), F.col("threshold")).alias("under"))
 
 
 @query

@@ -1,4 +1,4 @@
-"""Reading and writing layers: Parquet, CSV with WKT, GeoJSON lines; reading shapefiles."""
+"""Reading and writing layers: Parquet, CSV with WKT, GeoJSON lines, shapefiles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.sources import shapefile
+from terrane.sources.shapesink import ShapefileSink
 
 _VERTEX = "struct<x: double, y: double>"
 
@@ -82,7 +83,8 @@ def output_path(folder: str, layer: str, method: str, parameter: float | None =
 
 
 def write_layer(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", geom: str = "geom", shape: str = "LineString") -> None:
-    """Csv gets WKT, geojson one feature a line; names that are taken raise, unless mode says otherwise.
+    """Csv gets WKT, geojson one feature a line, shapefile a folder of files, one or more a task (field
+    names are cut to ten characters, text to 254 bytes); names that are taken raise, unless mode says otherwise.
 
     shape: LineString, or Polygon, of which geom is the outer ring. A geom of
     several parts (an array of arrays) is written as MultiLineString, or as one Polygon whose later rings are
@@ -101,8 +103,17 @@ def write_layer(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
         name = "MultiPolygon" if depth == 3 else "MultiLineString" if several and shape == "LineString" else shape
         feature = F.struct(F.lit("Feature").alias("type"), F.struct(*(c for c in df.columns if c != geom)).alias("properties"), F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")).alias("geometry"))
         df.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
+    elif kind == "shapefile":
+        if mode not in ("errorifexists", "error", "append"):
+            raise ValueError("shapefiles are added to a folder: modes errorifexists and append")
+        spark = df.sparkSession
+        spark.dataSource.register(ShapefileSink)
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # known to whatever Spark knows paths by
+        if mode != "append" and there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            raise FileExistsError(path)
+        df.write.format("shapefile_sink").mode("append").option("geom", geom).option("shape", shape).save(path)
     else:
-        raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson")
+        raise ValueError(f"unknown kind of layer {kind!r}; known: parquet, csv, geojson, shapefile")
 
 
 def cell_points(cells: DataFrame, with_empty: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import kernels as K
@@ -99,3 +100,19 @@ def test_a_large_box_is_dealt_to_few_cells(spark):
     assert dealt.where("fid = 1000000").count() <= 4 and dealt.count() <= 4 * 20_001
     pairs = spatial.meeting_boxes(both)
     assert pairs.count() == pairs.distinct().count() == 20_000 and pairs.where("fid2 <> 1000000").count() == 0
+
+
+def test_shapefiles_come_back_as_they_went(spark, tmp_path):
+    members = rings.to_members(nested(spark)).withColumns({"a_long_name_1": F.concat(F.lit("Ärea "), F.col("fid").cast("string")), "a_long_name_2": F.col("fid") / 3, "even": F.col("fid") % 2 == 0, "text": F.repeat(F.lit("é"), 200), "none": F.lit(None).cast("string")})
+    layers.write_layer(members.repartition(3), f"{tmp_path}/polygons", "shapefile", geom="members", shape="Polygon")
+    back = layers.read_layer(spark, f"{tmp_path}/polygons", "shapefile").select(F.col("properties")["fid"].cast("long").alias("fid"), "parts", "properties").cache()
+    assert areas(rings.nested(back.select("fid", F.explode("parts").alias("ring")))) == {1: (8700.0, 1, 2), 2: (800.0, 1, 1), 3: (5400.0, 2, 0)}
+    got = {r["fid"]: r["properties"] for r in back.collect()}
+    assert got[2]["a_long_nam"] == "Ärea 2" and float(got[2]["a_long_n_1"]) == 2 / 3 and (got[2]["even"], got[3]["even"]) == ("T", "F") and got[2]["text"] == "é" * 127 and got[2]["none"] is None
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 2.5)]), (2, None)], "fid long, geom array<struct<x: double, y: double>>")
+    layers.write_layer(lines, f"{tmp_path}/lines", "shapefile")
+    held = {r["properties"]["fid"]: r["geom"] for r in layers.read_layer(spark, f"{tmp_path}/lines", "shapefile").collect()}
+    assert [(p["x"], p["y"]) for p in held["1"]] == [(0.0, 0.0), (1.0, 2.5)] and not held["2"]
+    with pytest.raises(FileExistsError):
+        layers.write_layer(lines, f"{tmp_path}/lines", "shapefile")
+    assert sorted({p.suffix for p in (tmp_path / "lines").iterdir()}) == [".dbf", ".shp", ".shx"]  # nothing pending is left

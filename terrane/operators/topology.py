@@ -323,6 +323,27 @@ def repair_rings(df: DataFrame) -> DataFrame:
     return stays.unionByName(with_attributes(found.where("ring is not null"), df))
 
 
+def crossings(df: DataFrame, geom: str = "ring") -> DataFrame:
+    """(fid1, fid2), fid1 <= fid2, once for each two sides that cross inside both, and for each
+    side that two different rows have in common. df: a ring or line in each row, with fids of
+    their own. Sides meet through boxes on the level of their size; the test is arithmetic on columns."""
+    rows = df.select("fid", F.posexplode(steps(F.col(geom))).alias("s", "e")).select("fid", "s", "e.*").where("x0 <> x1 or y0 <> y1")
+    rows = cut(rows.withColumn("id", F.xxhash64("fid", "s")))
+    box = rows.select(F.col("id").alias("fid"), F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
+    a = rows.select(F.col("id").alias("fid1"), F.col("fid").alias("f"), *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
+    b = rows.select(F.col("id").alias("fid2"), F.col("fid").alias("g"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+
+    def side(p: str, q: str, r: str) -> Column:
+        """On which side of the line from p0 to p1 a point lies."""
+        x, y = F.col(f"{q}x{r}"), F.col(f"{q}y{r}")
+        return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (y - F.col(f"{p}y0")) - (F.col(f"{p}y1") - F.col(f"{p}y0")) * (x - F.col(f"{p}x0"))
+
+    apart = lambda p, q: F.signum(side(p, q, "0")) * F.signum(side(p, q, "1")) < 0
+    met = meeting_boxes(box).join(a, "fid1").join(b, "fid2").where(apart("a", "b") & apart("b", "a")).select("f", "g")
+    twice = segments(df, geom).groupBy("seg_key").agg(F.min("fid").alias("f"), F.max("fid").alias("g")).where("f < g").select("f", "g")
+    return met.union(twice).select(F.least("f", "g").alias("fid1"), F.greatest("f", "g").alias("fid2"))
+
+
 def invalid_rings(df: DataFrame, geom: str = "ring") -> DataFrame:
     """Fid and reason of rings that are missing, too short, or cross themselves."""
 

@@ -264,6 +264,11 @@ kept as (select fid, unnest(arg_min(ks, len(ks))) k from left_over group by fid)
  from nedges e join named a on e.x = a.x and e.y = a.y join named b on e.x2 = b.x and e.y2 = b.y""",
     # members are neighbours in one row of the mosaic, so a group has one ring
     "tz_overlap_fix": f"{G} select fid, (case when i > 0 then 2500e0 else 3000e0 end)*(case when j > 0 then 2500e0 else 3000e0 end) area, cast(1 as bigint) members, cast(0 as bigint) holes from polys",
+    "sv_map_sound": f"""{N}, e as (select *, x1-x0 dx, y1-y0 dy, (((cast((x0+x1)*7 + (y0+y1)*3 as bigint) % 11) + 11) % 11 - 5)/200e0 k, x0 > x1 or (x0 = x1 and y0 > y1) t from nsegs),
+ w as (select *, case when t then -1e0 else 1e0 end g, k*case when t then 0.5e0 else 1e0 end a, k*case when t then 1e0 else 0.5e0 end b from e),
+ v as (select *, x0+dx*0.25e0-dy*g*a px, y0+dy*0.25e0+dx*g*a py, x0+dx*0.75e0-dy*g*b qx, y0+dy*0.75e0+dx*g*b qy from w),
+ z as (select sign, fid, case when fid >= 10000000 then cast(floor(x0/2500e0) as bigint)*1000000 + cast(floor(y0/2500e0) as bigint) else 0 end part, abs(sum(x0*py-px*y0 + px*qy-qx*py + qx*y1-x1*qy))/2 area from v group by all)
+ select count(distinct fid) features, count(*) filter (sign > 0) members, count(*) filter (sign < 0) holes, round(sum(sign*area), 0) area, cast(0 as bigint) own_crossings, cast(0 as bigint) crossings, cast(0 as bigint) invalid from z""",
     "pg_area_rings": f"""{N}, {NAREAS} select fid, round(area, 6) area, members, holes, round(perimeter, 6) perimeter from nareas""",
     "pg_centroids": f"""{N}, c as (select fid, min(x0) ox, min(y0) oy from nsegs group by fid), m as (select n.fid, n.sign, x0-ox ax, y0-oy ay, x1-ox bx, y1-oy by_, ox, oy from nsegs n join c on c.fid = n.fid)
  select fid, round(any_value(ox) + sum(sign*(ax+bx)*(ax*by_-bx*ay))/(3*sum(sign*(ax*by_-bx*ay))), 4) x, round(any_value(oy) + sum(sign*(ay+by_)*(ax*by_-bx*ay))/(3*sum(sign*(ax*by_-bx*ay))), 4) y from m group by fid""",

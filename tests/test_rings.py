@@ -116,3 +116,18 @@ def test_shapefiles_come_back_as_they_went(spark, tmp_path):
     with pytest.raises(FileExistsError):
         layers.write_layer(lines, f"{tmp_path}/lines", "shapefile")
     assert sorted({p.suffix for p in (tmp_path / "lines").iterdir()}) == [".dbf", ".shp", ".shx"]  # nothing pending is left
+
+
+def test_simplified_pieces_do_not_cross(spark):
+    """A spike of one piece reaches through the gap that thinning would close in its neighbour."""
+    deep = [(0, 0), (45, 0), (50, -40), (55, 0), (100, 0)]
+    poke = [(0, -60), (49, -50), (50, -30), (51, -50), (100, -60)]
+    lens = [(0, 100), (50, 100.5), (100, 100)], [(0, 100), (50, 99.5), (100, 100)]
+    rows = [(1, [(float(x), float(y)) for x, y in deep]), (2, [(float(x), float(y)) for x, y in poke]), (3, lens[0]), (4, lens[1])]
+    pieces = spark.createDataFrame([(f, [{"x": float(x), "y": float(y)} for x, y in g]) for f, g in rows], "fid long, points array<struct<x: double, y: double>>")
+    poked = pieces.where("fid > 2").union(pieces.where("fid = 1").withColumn("points", F.transform("points", lambda p: F.struct(p["x"].alias("x"), (p["y"] + F.when(p["x"] == 50, -5.0).otherwise(0.0)).alias("y")))))
+    assert topology.crossings(pieces, "points").count() == 2  # the spike crosses both flanks of the poke as it is
+    done = {r["fid"]: len(r["points"]) for r in simplify.thin_apart(poked, 1e6).collect()}
+    assert done[1] == 2 and max(done[3], done[4]) == 3  # the lens does not collapse
+    crossed = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 10.0}, {"x": 10.0, "y": 0.0}, {"x": 0.0, "y": 10.0}])], "fid long, points array<struct<x: double, y: double>>")
+    assert [tuple(r) for r in topology.crossings(crossed, "points").collect()] == [(1, 1)]

@@ -228,13 +228,13 @@ def cl_stats(spark, d):
 @query
 def cl_kmeans(spark, d):
     rows = lines.add_azimuth(X.lines(spark, d))
-    return clusters.assign(rows, "endpt_az", clusters.fit(rows, "endpt_az", 3, restarts=3)).groupBy("cluster").agg(F.count("*").alias("n"), F.first("cluster_center").alias("center"))
+    return clusters.assign(rows, "endpt_az", clusters.fit(rows, "endpt_az", 3)).groupBy("cluster").agg(F.count("*").alias("n"), F.first("cluster_center").alias("center"))
 
 
 @query
 def cl_best_k(spark, d):
     rows = lines.add_azimuth(X.lines(spark, d))
-    k, scores = clusters.best_k(rows, "endpt_az", 10)
+    k, scores = clusters.best_k(rows, "endpt_az")
     return spark.createDataFrame([(n, s, n == k) for n, s in scores.items()], "k int, silhouette double, best boolean")
 
 

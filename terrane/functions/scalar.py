@@ -1,8 +1,9 @@
 """Column expressions for angles, directions, lengths and map-scale arithmetic.
 
 Bearings are degrees clockwise from north; axial values lie in [0, 180).
-Vertex arrays are array<struct<x: double, y: double>>. Expressions only: all of
-it stays inside generated code."""
+Vertex arrays are array<struct<x: double, y: double>>. Expressions only, all
+evaluated in the JVM; those over arrays (aggregate, transform, zip_with) are
+interpreted, the others are part of generated code."""
 
 from __future__ import annotations
 

@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import GRID_METRES_PER_DEGREE, TINY, Moments, axial_difference, direction_cosines, strike_to_dip_direction, turn, whole, with_spread
-from terrane.operators.ranks import first, ranked
+from terrane.operators.ranks import first, ranked, running
 
 
 @dataclass(frozen=True)
@@ -149,23 +149,23 @@ def remove_outliers_by_break(df: DataFrame, size: float = 1000.0, floor_bounds:
         return F.filter(touching, lambda c: (c >= 0) & (c <= cells))
 
     rows = corner.select("*", F.explode(candidates("easting", "minx", "maxx")).alias("cx")).select("*", F.explode(candidates("northing", "miny", "maxy")).alias("cy"))
-    cell = Window.partitionBy("cx", "cy")
     rows = rows.select("fid", "cx", "cy", "minx", "miny", *_terms().columns("t_"))
     rows = _with_sums(rows)
     s = Moments.of("s_")
     rows = rows.where(s.resultant() >= 1e-12)
     dot = F.col("t_l") * s.l + F.col("t_m") * s.m + F.col("t_z") * s.z
     away = F.round(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / s.resultant())))), 9)
-    far = cell.orderBy(F.desc("away"), F.desc("fid"))
-    rows = rows.withColumn("away", away).withColumn("step", F.row_number().over(far))
-    gone = far.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("*", *(F.sum(f"t_{n}").over(gone).alias(f"g_{n}") for n in Moments.NAMES)).where(F.col("step") <= F.floor(F.col("s_n") / 2))
+    # farthest first, then the greatest fid; a cell of any size is walked in ranges
+    terms = [f"t_{n}" for n in Moments.NAMES]
+    rows = running(rows.withColumns({"away": -away, "last": -F.col("fid")}), ["cx", "cy"], ["away", "last"], terms).where(F.col("step") <= F.floor(F.col("s_n") / 2))
     rows = with_spread(rows, s, "k0", "b0")
-    kept = s.minus(Moments.of("g_"))
-    rows = with_spread(rows.select("fid", "cx", "cy", "minx", "miny", "step", "k0", "b0", *s.columns("s_"), *kept.columns("r_")), Moments.of("r_"))
-    order = cell.orderBy("step")
+    gone = Moments(*(F.col(f"g_t_{n}") for n in Moments.NAMES))
+    kept, before = s.minus(gone), s.minus(gone.minus(Moments.of("t_")))
+    rows = rows.select("fid", "cx", "cy", "minx", "miny", "step", "k0", "b0", *s.columns("s_"), *kept.columns("r_"), *before.columns("p_"))
+    rows = with_spread(with_spread(rows, Moments.of("r_")), Moments.of("p_"), "k_before", "b_before")
     k = F.coalesce(F.col("kappa"), F.lit(1e-6))
-    rise = F.round(k - F.coalesce(F.lag(k).over(order), F.col("k0")), 9)
+    # the concentration one step before, from the sums that hold this point
+    rise = F.round(k - F.when(F.col("step") == 1, F.col("k0")).otherwise(F.coalesce(F.col("k_before"), F.lit(1e-6))), 9)
     rows = rows.withColumn("rise", rise)
     names = ("kappa", "beta", *(f"r_{n}" for n in Moments.NAMES))
     best = rows.groupBy("cx", "cy", "minx", "miny").agg(

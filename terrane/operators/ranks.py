@@ -35,3 +35,19 @@ def first(df: DataFrame, k: int, *order: str) -> DataFrame:
         return df.where("false") if k <= 0 else df
     bound = F.struct(*(F.lit(last[o]).cast(df.schema[o].dataType).alias(o) for o in order))
     return df.where(F.struct(*order) <= bound)
+
+
+def running(df: DataFrame, group: list[str], order: list[str], sums: list[str], place: str = "step", prefix: str = "g_") -> DataFrame:
+    """df with the one-based place of each row in its group and the sums of columns up to it, the row itself
+    included; order must leave no ties in a group.
+
+    Rows are dealt to ranges of group and order, so a group of any size is in several; sums inside a
+    range start from those of the group's earlier ranges, of which there is one row each."""
+    held = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    totals = held.groupBy("__part", *group).agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{c}") for c in sums))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c, zero: F.coalesce(F.sum(c).over(before), F.lit(zero))
+    earlier = totals.select("__part", *group, start("__n", 0).alias("__n"), *(start(f"__{c}", 0.0).alias(f"__{c}") for c in sums))
+    inside = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = held.select("*", F.count("*").over(inside).alias("__at"), *(F.sum(c).over(inside).alias(f"__in_{c}") for c in sums)).join(earlier, ["__part", *group])
+    return rows.select(*df.columns, (F.col("__at") + F.col("__n")).alias(place), *((F.col(f"__in_{c}") + F.col(f"__{c}")).alias(f"{prefix}{c}") for c in sums))

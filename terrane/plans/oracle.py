@@ -237,7 +237,8 @@ ORACLE |= {
     "cl_trends": "select o_orderkey fid, cast(o_orderkey % 360 as double) trend from orders where o_orderkey % 3 <> 0",
     "tp_points_chain": f"{P} select ratio, cast(case when ratio = 1 then count(*) else round_even(count(*)*pow(ratio, 0.5e0), 0) end as bigint) n from points, (values (1e0), (0.75e0), (0.5e0)) t(ratio) group by ratio",
     "tp_prepared_offset": f"""{L}, {STEPS}, {POLYGONS_SQL}, {_PROBES}, {_UNITS}, one as (select fid, max(offset_level) mo from ranked group by fid)
- select fid, cast(mo as integer) max_offset from (select l.fid, mo, row_number() over (order by abs(mo) desc nulls last, round(len, 6) desc, l.fid) k, count(*) over () n from lens l left join one on one.fid = l.fid where l.fid % 4 = 0) q where k <= round_even(n*0.2e0, 0)""",
+ select fid, cast(mo as integer) max_offset from (select l.fid, mo, row_number() over (order by abs(mo) desc nulls last, round(len, 6) desc, l.fid) k, count(*) over () n from lens l left join one on one.fid = l.fid) q where k <= round_even(n*0.2e0, 0)""",
+    "tp_prepared_graph": f"{_CHAINS}, types as (select line_id, min(case when a is not null then a||'-'||b end) et from body left join open_ends using (c) group by line_id) select net.line_id fid, et edge_type from net left join types on types.line_id = net.line_id",
     "tz_invalid": f"{G} select fid, case fid % 20 when 3 then 'crosses itself' when 7 then 'open' else 'too short' end reason from polys where fid % 20 in (3, 7, 9)",
 }
 ORACLE["tz_boundary_pins"] = ORACLE["tz_exterior_vertices"]  # the mosaic's outline is no rectangle

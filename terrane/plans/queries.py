@@ -538,11 +538,17 @@ def tp_points_chain(spark, d):
 @query
 def tp_prepared_offset(spark, d):
     """Lines without the column that the method needs get it first."""
-    rows = X.lines(spark, d).where("fid % 4 = 0").select("fid", "geom")
+    rows = X.lines(spark, d).select("fid", "geom")
     ready = selection.prepare_lines(rows, "strat_offset", polygons=X.polygons(spark, d), columns=STRATA)
     return selection.select_lines(ready, 0.2, "strat_offset", "max_offset").select("fid", "max_offset")
 
 
+@query
+def tp_prepared_graph(spark, d):
+    """Lines of the network with the edge type that selection by graph needs."""
+    return selection.prepare_lines(X.cells_network(spark, d), "graph").select("fid", "edge_type")
+
+
 # ---------------------------------------------------------------- topology
 @query
 def tz_invalid(spark, d):

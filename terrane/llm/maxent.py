@@ -273,6 +273,7 @@ def train(docs: DataFrame, model: Model) -> Model:
             changes, parts = changes.groupBy("which", "at", F.expr(f"part div {FAN_IN}").alias("of")).applyInPandas(add, schema), -(-parts // FAN_IN)
         class_weights, node_weights = model.class_weights.copy(), model.node_weights.copy()
         got = changes.collect()  # one model's worth
+        shared.destroy()  # or each worker would keep every round's model
         walked = max((r["n"] for r in got), default=1.0)
         for r in got:
             into = (class_weights, node_weights)[r["which"]]

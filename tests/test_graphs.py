@@ -1,6 +1,10 @@
+import heapq
+import math
 import random
 
-from terrane.operators import clusters, graphs, network, ranks
+import pytest
+
+from terrane.operators import clusters, graphs, network, ranks, sweeps
 
 
 def test_a_long_path_settles_in_few_rounds(spark, monkeypatch):
@@ -27,17 +31,93 @@ def _layer(spark, rows):
     return spark.createDataFrame([(f, [{"x": float(x), "y": float(y)} for x, y in g]) for f, g in rows], "fid long, geom array<struct<x:double,y:double>>")
 
 
-def test_centrality_in_rounds_equals_that_of_sources(spark, monkeypatch):
-    rows = [(i * 10 + j, [(i, j), (i + 1, j)]) for i in range(3) for j in range(3)] + [(100 + i * 10 + j, [(i, j), (i, j + 1)]) for i in range(3) for j in range(2)] + [(500, [(50, 50), (51, 50.5), (53, 50)])]
+def _plain_sums(near, weighted):
+    """Betweenness and load by Brandes' rule, one source after the other; lengths in whole units."""
+    between, load = dict.fromkeys(near, 0.0), dict.fromkeys(near, 0.0)
+    for s in near:
+        far, heap, order = {s: 0}, [(0, s)], []
+        while heap:
+            d, v = heapq.heappop(heap)
+            if d == far[v] and v not in order:
+                order.append(v)
+                for u, w in near[v].items():
+                    new = d + (w if weighted else 1)
+                    if new < far.get(u, new + 1):
+                        far[u] = new
+                        heapq.heappush(heap, (new, u))
+        before = {v: [u for u, w in near[v].items() if far[u] + (w if weighted else 1) == far[v]] for v in order}
+        count = {}
+        for v in order:
+            count[v] = 1 if v == s else sum(count[u] for u in before[v])
+        part, carried = dict.fromkeys(order, 0.0), dict.fromkeys(order, 1.0)
+        for v in reversed(order):
+            for u in before[v]:
+                part[u] += count[u] / count[v] * (1 + part[v])
+                carried[u] += carried[v] / len(before[v])
+            if v != s:
+                between[v] += part[v]
+                load[v] += carried[v] - 1
+    return between, load
+
+
+def _near(rows):
+    near = {}
+    for _, line in rows:
+        for a, b in zip(line, line[1:]):
+            w = round(math.dist(a, b) / sweeps.UNIT)
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    return near
+
+
+@pytest.mark.parametrize("strip, block, wave, weighted", [(20_000, 32, 4096, False), (8, 4, 3, True)])
+def test_centrality_equals_one_source_after_the_other(spark, monkeypatch, strip, block, wave, weighted):
+    """One strip and one wave, or many of both: a path crosses strips to and fro."""
+    for name, value in (("STRIP", strip), ("BLOCK", block), ("WAVE", wave)):
+        monkeypatch.setattr(sweeps, name, value)
+    rows = [(i * 10 + j, [(i, j), (i + 1, j)]) for i in range(3) for j in range(3)] + [(100 + i * 10 + j, [(i, j), (i, j + 1)]) for i in range(3) for j in range(2)]
+    rows += [(500, [(50, 50), (51, 50.5), (53, 50)]), (600, [(0, 2), (9, 9), (-4, 9), (9, 12), (3, 2)])]
+    near = _near(rows)
+    between, load = _plain_sums(near, weighted)
+    pairs = lambda v: {True: 2 * 1, False: max((len(near) - 4) * (len(near) - 5), 1)}[v[0] >= 50]
+    got = network.centrality(*network.build(_layer(spark, rows)), weighted).collect()
+    assert len(got) == len(near)
+    for r in got:
+        v = (r["x"], r["y"])
+        assert math.isclose(r["betweenness"], between[v] / pairs(v), abs_tol=1e-9) and math.isclose(r["load"], load[v] / pairs(v), abs_tol=1e-9), v
+
+
+@pytest.mark.parametrize("strip", [20_000, 6])
+def test_sampled_paths_are_the_shortest(spark, monkeypatch, strip):
+    monkeypatch.setattr(sweeps, "STRIP", strip)
+    rng = random.Random(3)
+    places = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
+    rows = [(i, [rng.choice(places), rng.choice(places)]) for i in range(45)] + [(90, [(100, 0), (101, 0), (101, 1)]), (91, [(200, 0), (201, 0)])]
+    rows = [(f, g) for f, g in rows if g[0] != g[1]]
+    near = _near(rows)
     nodes, edges = network.build(_layer(spark, rows))
-    for weighted in (False, True):
-        monkeypatch.setattr(network, "MOST_EDGES", 50_000)
-        one = {(r["x"], r["y"]): (r["betweenness"], r["load"]) for r in network.centrality(nodes, edges, weighted).collect()}
-        paths = sorted(map(tuple, network.sample_paths(nodes, edges).collect()))
-        monkeypatch.setattr(network, "MOST_EDGES", 0)
-        other = {(r["x"], r["y"]): (r["betweenness"], r["load"]) for r in network.centrality(nodes, edges, weighted).collect()}
-        assert one.keys() == other.keys() and all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], other[k]))
-        assert paths == sorted(map(tuple, network.sample_paths(nodes, edges).collect())) and len(paths) == 2
+    part = network.node_components(nodes, edges).selectExpr("node.x", "node.y", "xxhash64(node) as id", "xxhash64(component) as c").collect()
+    name, expected = {r["id"]: (r["x"], r["y"]) for r in part}, {}
+    for c in sorted({r["c"] for r in part})[:3]:
+        ids = [r["id"] for r in part if r["c"] == c]
+        s, t = name[min(ids)], name[max(ids)]
+        best, heap = {s: (0, 0)}, [(0, 0, s)]
+        while heap:
+            d, n, v = heapq.heappop(heap)
+            for u, w in near[v].items():
+                if (d + w, n + 1) < best.get(u, (1 << 62, 0)):
+                    best[u] = (d + w, n + 1)
+                    heapq.heappush(heap, (*best[u], u))
+        expected[c] = best[t]
+    got = {r["component"]: (round(r["length"] / sweeps.UNIT), r["hops"]) for r in network.sample_paths(nodes, edges, 3).collect()}
+    assert got == expected
+
+
+def test_networks_without_edges(spark):
+    nodes, edges = network.build(_layer(spark, [(1, [(0, 0)])]))
+    assert [tuple(r) for r in network.centrality(nodes, edges).collect()] == [(0.0, 0.0, 0.0, 0.0)]
+    assert network.sample_paths(nodes, edges).count() == 0
+    nodes, edges = network.build(_layer(spark, []))
+    assert network.centrality(nodes, edges).count() == 0 and network.sample_paths(nodes, edges).count() == 0
 
 
 def test_chains_keep_their_geometry(spark):
@@ -47,8 +127,6 @@ def test_chains_keep_their_geometry(spark):
 
 
 def test_silhouette_is_that_of_all_pairs(spark):
-    import math
-
     rng = random.Random(1)
     rows = [(i, rng.uniform(0, 180), rng.randrange(3)) for i in range(120)] + [(900, 10.0, 3), (901, None, 1), (902, 10.0, 0)]
     points = [(math.cos(math.radians(2 * a)), math.sin(math.radians(2 * a)), c) for _, a, c in rows if a is not None]

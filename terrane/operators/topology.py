@@ -125,6 +125,15 @@ def boundary_pins(df: DataFrame, mode: str = "hard", q: float = 0.1) -> DataFram
     return exterior_vertices(df, q) if mode == "hard" else exterior_vertices(df, q).where("false")
 
 
+def soft_boundary(df: DataFrame, q: float = 0.1) -> DataFrame:
+    """Z15, soft: places (qx, qy) on the outer boundary of a map that is not rectangular, junctions
+    apart, which simplification is to thin less; those of a rectangular map are pinned instead."""
+    exterior = exterior_vertices(df, q).select("qx", "qy").distinct()
+    if is_rectangular(df):
+        return exterior.where("false")
+    return exterior.join(junctions(df, "ring", q).select("qx", "qy"), ["qx", "qy"], "left_anti")
+
+
 def contacts(df: DataFrame, unit: str) -> DataFrame:
     """For each unordered pair of different units that touch: the first pair
     of polygons, their shared length and vertex count, and the shared vertex nearest to the contact's centre."""

@@ -714,6 +714,12 @@ def sv_mvw(spark, d):
     return simplify.simplify_mosaic(_dense(spark, d), 20_000.0).select("fid", *_total("ring"))
 
 
+@query
+def sv_soft_boundary(spark, d):
+    dense = _dense(spark, d)
+    return simplify.simplify_mosaic(dense, 20_000.0, soft=topology.soft_boundary(dense)).select("fid", *_total("ring"))
+
+
 @query
 def sv_faults(spark, d):
     return simplify.simplify_faults(X.cells_network(spark, d), 1000.0, X.polygons(spark, d)).select("fid", *_total("geom"))

@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     make pairs: a row links with the other rows of its class and all rows of
     linked classes. A vector that is null, empty, zero, or holds null or
     non-finite components links with nothing. vec_id is expected to be unique.
-    Empty tables: an empty result."""
+    Empty tables: an empty result. Other columns are not read, whatever their names."""
     units = common.materialize(unit_vectors(vectors), "embedding-units")
     usable = units.where(F.col("v").isNotNull() & F.col("label").isNotNull())
     classes = common.materialize(usable.groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("v").alias("v")), "embedding-classes")

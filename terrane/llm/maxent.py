@@ -349,7 +349,8 @@ def language_model(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
     Learns counts and weights from all rows outside the held-out split. Null
     text is empty: one end token. Repeated rows count and are scored each; with
-    no training rows, every token is the unseen one. Empty table: no rows."""
+    no training rows, every token is the unseen one. Empty table: no rows.
+    Whole texts of any length are used; other columns of the table are not read, whatever their names."""
     held = common.texts(docs)
     known = held.where(common.split_of(F.col("doc_id"), modulus) != 0)
     counts = common.materialize(count(known), "maxent-counts")

@@ -372,7 +372,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     a repeated row gets a repeated result, and of different texts with one id all
     count as that id. Rows with a null id link as others do, and equal texts of
     them count as one repeated row. They are kept only in groups without an id,
-    whose component_id is null. Empty tables: an empty result."""
+    whose component_id is null. Empty tables: an empty result.
+    Whole texts of any length are used; other columns of the table are not read, whatever their names."""
     return _grouped(docs, k, percent).select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
 
 

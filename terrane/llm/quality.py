@@ -179,7 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
     Learns from labelled rows outside the held-out split. Null text counts as
     empty; empty texts get the model's score of an empty text. A repeated row
     gives a repeated result; labels that are null or neither 0 nor 1 are left out,
-    and an id labelled twice counts twice. Empty tables: an empty result."""
+    and an id labelled twice counts twice. Empty tables: an empty result.
+    Whole texts of any length are used; other columns of the table are not read, whatever their names."""
     x = common.materialize(features(docs), "quality")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (common.split_of(F.col("doc_id"), modulus) != 0))
     model = fit(x.join(known, "doc_id").select("x", "label"))

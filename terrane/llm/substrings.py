@@ -219,7 +219,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot:
 
     Texts are UTF-8 bytes (null: empty); no string spans two documents, and all
     are judged on the input. Texts shorter than length lose nothing; repeated
-    rows count as two documents. Empty tables: an empty result."""
+    rows count as two documents. Empty tables: an empty result.
+    Whole texts of any length are used; other columns of the table are not read, whatever their names."""
     keyed = common.texts(docs).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     ranges = common.materialize(covered(keyed, length, k, hot), "substring-ranges")
     of_key = ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
@@ -250,6 +251,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digest of what each document keeps."""
+    """Counts and digest of what each document keeps; cases as in remove_repeats()."""
     out = remove_repeats(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -296,9 +296,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs. Empty texts get
-    a score as well; repeated rows give repeated results; unlabelled tables give
-    low scores; empty tables an empty result."""
+    """doc_id, held_out, score, predicted for every row of docs. Null text counts as
+    empty; empty texts get a score as well; repeated rows give repeated results;
+    unlabelled tables give low scores; empty tables an empty result.
+    Whole texts of any length are used; other columns of the table are not read, whatever their names."""
     scored = score(docs, train(docs, labels, label, modulus))
     return scored.select("doc_id", (common.split_of(F.col("doc_id"), modulus) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 

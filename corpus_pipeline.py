@@ -18,7 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8."""
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8. Null
+    and wordless texts link with nothing and stay; of a repeated row one stays; rows with a null doc_id link
+    as others do and go where their group has an id; an empty table stays empty; texts of any length whole."""
     return minhash.keep_first(docs, k=5, percent=80)
 
 

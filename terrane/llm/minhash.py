@@ -262,7 +262,7 @@ def _bridges(sets: DataFrame, labels: DataFrame, clusters: DataFrame, docs: Data
     dealt = _outside(rows.select("cluster", "id", "c", "s1", "s2", F.col("n_shingles").alias("weight")), "cluster", "minhash-bridges")
     wanted = common.materialize(dealt.groupBy("g").applyInPandas(hopeful, "g long, id long, asks boolean"), "minhash-hopeful")
     some = wanted.select(F.col("id").alias("doc_id")).distinct()
-    held = common.materialize(common.texts(docs).join(some, "doc_id", "left_semi").mapInArrow(full, "id long, held binary"), "minhash-sets")
+    held = common.materialize(common.among(common.texts(docs), "doc_id", some).join(some, "doc_id", "left_semi").mapInArrow(full, "id long, held binary"), "minhash-sets")
     met = wanted.join(rows.select("id", "c", "s1", "s2"), "id").join(held, "id")
     return met.groupBy("g").applyInPandas(compare, "a long, b long")
 
@@ -301,7 +301,8 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     labels = common.materialize(common.connected_components(sure).withColumnRenamed("component", "c"), "minhash-labels")
     a, b = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
     rest = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = sure.union(common.materialize(verify(rest.join(first, ["a", "b"], "left_anti"), docs, k, percent), "minhash-links"))
+    rest = common.materialize(rest.join(first, ["a", "b"], "left_anti"), "minhash-rest")
+    more = sure.union(common.materialize(verify(rest, docs, k, percent), "minhash-links"))
     if not large.take(1):
         return more
     clusters = _clusters(large.select("node", "id", "s1", "s2").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")))
@@ -309,8 +310,9 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * common >= percent * union."""
-    held = common.texts(docs)
+    """The pairs (a, b), a written table, whose full sets have 100 * common >= percent * union.
+    Texts that are in no pair are not exchanged, but for a few."""
+    held = lambda end, text: common.among(common.texts(docs).select(F.col("doc_id").alias(end), F.col("text").alias(text)), end, pairs.select(end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column: pa.Array, lo: int, hi: int) -> Iterator[np.ndarray]:
@@ -328,8 +330,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    with_a = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return with_a.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(held("a", "ta"), "a").join(held("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -382,13 +383,18 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     one without ids, one text), once if its row is repeated; rows with neither
     id nor words all stay; same columns."""
     lone = ~F.col("named") & (F.col("n_shingles") == 0)
-    rows = common.materialize(_grouped(docs, k, percent).where("kept").select(F.col("key").alias("__kept"), lone.alias("__lone")), "minhash-kept")
-    kept = rows.distinct()
+    rows = common.materialize(_grouped(docs, k, percent).select(F.col("key").alias("__kept"), lone.alias("__lone"), F.col("kept").alias("__stays")), "minhash-kept")
+    stays = rows.where("__stays").select("__kept", "__lone")
+    kept = stays.distinct()
+    # a key of one row that stays needs no join: its row, texts and all, is not exchanged
+    asked = rows.groupBy("__kept").agg(F.count("*").alias("n"), F.bool_and("__stays").alias("all")).where("n > 1 or not all").select("__kept")
     keyed = docs.withColumn("__key", _key(F.col("doc_id"), F.col("text")))
+    sure, keyed = common.among(keyed, "__key", asked, inside=False), common.among(keyed, "__key", asked)
     of = lambda d, k: d.join(k, F.col("__key") == F.col("__kept"), "left_semi")
-    if rows.count() == kept.count():
-        return of(keyed, kept).drop("__key")
-    return of(keyed, kept.where("not __lone")).dropDuplicates(["__key"]).union(of(keyed.where("doc_id is null"), kept.where("__lone"))).drop("__key")
+    if stays.count() == kept.count():
+        return sure.union(of(keyed, kept)).drop("__key")
+    once = of(keyed, kept.where("not __lone")).dropDuplicates(["__key"])
+    return sure.union(once).union(of(keyed.where("doc_id is null"), kept.where("__lone"))).drop("__key")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,12 @@ def bucket(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("bigint")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side that no join broadcasts. Spark reckons what explode makes as large as what it was made
+    from, and a table as large as its compressed file, so it would broadcast sides that no driver holds."""
+    return df.hint("merge")
+
+
 def explode_buckets(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
     """df with a row, bx and by for each bucket that the box touches."""
     df = df.withColumn("bx", F.explode(F.sequence(bucket(x0, size), bucket(x1, size))))
@@ -162,6 +168,6 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | Non
 def close_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs of rows of a (id_a, xa, ya) and b (id_b, xb, yb) within radius of each other."""
     near = b.withColumn("dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    near = near.withColumns({"bx": bucket(F.col("xb"), radius) + F.col("dx"), "by": bucket(F.col("yb"), radius) + F.col("dy")}).drop("dx", "dy")
+    near = spread(near.withColumns({"bx": bucket(F.col("xb"), radius) + F.col("dx"), "by": bucket(F.col("yb"), radius) + F.col("dy")}).drop("dx", "dy"))
     own = a.withColumns({"bx": bucket(F.col("xa"), radius), "by": bucket(F.col("ya"), radius)})
     return own.join(near, ["bx", "by"]).drop("bx", "by").withColumn("distance", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya"))).where(F.col("distance") <= radius)

@@ -78,10 +78,10 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius: float) -> Da
     radius; ties go to the least (segment fid, s). Points without one are dropped."""
     left = points.withColumns({"bx": bucket(F.col("easting"), radius), "by": bucket(F.col("northing"), radius)})
     x = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    right = _along_buckets(segments.withColumnRenamed("fid", "seg_fid"), *x, radius)
+    right = spread(_along_buckets(segments.withColumnRenamed("fid", "seg_fid"), *x, radius))
     near = left.select("fid", "easting", "northing", "bx", "by").join(right, ["bx", "by"]).withColumn("distance", distance_to_segment(F.col("easting"), F.col("northing"), *x)).where(F.col("distance") <= radius)
     best = near.groupBy("fid").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "seg_fid", "s", "distance", "azimuth")).alias("b")).select("fid", "b.distance", "b.seg_fid", "b.azimuth")
-    return points.join(best, "fid")
+    return spread(points).join(best, "fid")
 
 
 def base_size(boxes: DataFrame) -> float:

@@ -1,6 +1,6 @@
 """Sides that explode() makes are not broadcast, however small Spark reckons them to be."""
 
-from terrane.operators import lines
+from terrane.operators import lines, points
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -16,7 +16,20 @@ def stored(spark, folder, rows, schema):
     return spark.read.parquet(str(folder))
 
 
+def measured(spark, folder):
+    return stored(spark, folder / "points", [(1, 0.0, 1.0, 30.0, 90.0), (2, 50.0, 90.0, 30.0, 0.0)], "fid long, easting double, northing double, dip double, dip_dir double")
+
+
+def side(spark, folder):
+    return stored(spark, folder / "contacts", [(7, 0, 0.0, 0.0, 0.0, 100.0, 0.0)], "fid long, s int, x0 double, y0 double, x1 double, y1 double, azimuth double")
+
+
 def test_merge_candidates(spark, tmp_path):
     rows = [(i, [(i * 10.0, 0.0), (i * 10.0 + 9.0, 0.0)]) for i in range(3)]
     got = lines.merge_candidates(stored(spark, tmp_path / "lines", rows, f"fid long, geom {RING}"), 2.0)
     assert joins(got) == (1, 0) and sorted((r["fid1"], r["end1"], r["fid2"], r["end2"]) for r in got.collect()) == [(0, "end", 1, "start"), (1, "end", 2, "start")]
+
+
+def test_first_order(spark, tmp_path):
+    got = points.first_order(measured(spark, tmp_path), side(spark, tmp_path), 60.0)
+    assert joins(got) == (2, 0) and [r["fid"] for r in got.collect()] == [1]

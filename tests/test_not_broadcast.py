@@ -33,3 +33,8 @@ def test_merge_candidates(spark, tmp_path):
 def test_first_order(spark, tmp_path):
     got = points.first_order(measured(spark, tmp_path), side(spark, tmp_path), 60.0)
     assert joins(got) == (2, 0) and [r["fid"] for r in got.collect()] == [1]
+
+
+def test_methods(spark, tmp_path):
+    got = points.run_methods(measured(spark, tmp_path), {"firstorder": {"buffer": 60.0}}, side(spark, tmp_path))
+    assert joins(got)[1] == 0 and [tuple(r) for r in got.collect()] == [("firstorder", 1)]

@@ -50,7 +50,7 @@ def segments(layer: DataFrame, ring: str = "ring", q: float | None = None) -> Da
     first, last = F.struct(x0.alias("x"), y0.alias("y")), F.struct(x1.alias("x"), y1.alias("y"))
     low, high = F.least(first, last), F.greatest(first, last)
     key = F.struct(low["x"].alias("ax"), low["y"].alias("ay"), high["x"].alias("bx"), high["y"].alias("by"))
-    return rows.withColumn("seg_key", key).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    return spread(rows).withColumn("seg_key", key).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
 
 
 def distance_to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -120,7 +120,7 @@ def meeting_boxes(boxes: DataFrame, base: float | None = None) -> DataFrame:
     known = levels_of(own)
     held = deal_level(own, *x, F.col("level"), base).select(*(F.col(c).alias(f"{c}_b") for c in ("fid", "x0", "y0", "x1", "y1", "level")), F.col("level").alias("at"), "bx", "by")
     asked = own.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, known)) if known else F.array().cast("array<int>"), lambda k: k >= F.col("level"))))
-    asked = deal_level(asked, *x, F.col("at"), base)
+    asked = spread(deal_level(asked, *x, F.col("at"), base))
     first = (F.col("level") < F.col("level_b")) | (F.col("fid") < F.col("fid_b"))
     met = (F.col("x0") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1")) & (F.col("y0") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1"))
     size = F.lit(base) * F.pow(F.lit(2.0), F.col("at"))
@@ -154,9 +154,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | Non
     asked = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("level", F.explode(F.array(*map(F.lit, known)) if known else F.array().cast("array<int>")))
     size = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
     asked = asked.withColumns({"bx": F.floor(px / size).cast("bigint"), "by": F.floor(py / size).cast("bigint")})
-    near = asked.join(dealt, ["level", "bx", "by"]).where((px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1")))
+    near = spread(asked).join(dealt, ["level", "bx", "by"]).where((px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1")))
     near = near.select("pid", "px", "py", "fid", F.floor((py - F.col("y0")) / F.col("stripe")).cast("bigint").alias("part"))
-    sides = held.select("fid", F.explode(steps(F.col("ring"))).alias("e")).select("fid", "e.*").where("y0 <> y1").join(own.select("fid", F.col("y0").alias("bottom"), "stripe"), "fid")
+    sides = spread(held.select("fid", F.explode(steps(F.col("ring"))).alias("e"))).select("fid", "e.*").where("y0 <> y1").join(own.select("fid", F.col("y0").alias("bottom"), "stripe"), "fid")
     at = lambda y: F.floor((y - F.col("bottom")) / F.col("stripe")).cast("bigint")
     sides = sides.withColumn("part", F.explode(F.sequence(at(F.least("y0", "y1")), at(F.greatest("y0", "y1"))))).drop("bottom", "stripe")
     spans = (F.col("y0") > py) != (F.col("y1") > py)

@@ -12,7 +12,7 @@ from terrane.functions import kernels
 from terrane.functions.scalar import quantum, ring_area, ring_turn, step_length, steps
 from terrane.operators.graphs import cut
 from terrane.operators.rings import as_rings, boxes
-from terrane.operators.spatial import bucket, cell_size, close_pairs, meeting_boxes, segments
+from terrane.operators.spatial import bucket, cell_size, close_pairs, meeting_boxes, segments, spread
 
 #: Fixed values, equal to those of the map tools whose results are to be matched: words in the name of a column that may hold units.
 UNIT_WORDS = ("code", "unit", "lith", "rock", "type", "formation", "strat", "map", "symbol", "abbrev", "short")
@@ -49,7 +49,7 @@ def _key(x: Column, y: Column, q: float) -> list[Column]:
 
 def vertices(df: DataFrame, geom: str = "ring", q: float = 0.1) -> DataFrame:
     """P20: fid, v, x, y and quantised place of every vertex."""
-    return df.select("fid", F.posexplode(geom).alias("v", "p")).select("fid", "v", "p.x", "p.y", *_key(F.col("p.x"), F.col("p.y"), q))
+    return spread(df.select("fid", F.posexplode(geom).alias("v", "p"))).select("fid", "v", "p.x", "p.y", *_key(F.col("p.x"), F.col("p.y"), q))
 
 
 def junctions(df: DataFrame, geom: str = "ring", q: float = 0.1) -> DataFrame:
@@ -140,7 +140,7 @@ def contacts(df: DataFrame, unit: str) -> DataFrame:
     s = segments(df).join(df.select("fid", F.col(unit).cast("string").alias("unit")).distinct(), "fid").where("unit is not null")
     a = s.select(F.col("fid").alias("f1"), F.col("unit").alias("u1"), "seg_key", "x0", "y0", "x1", "y1", "length")
     b = s.select(F.col("fid").alias("f2"), F.col("unit").alias("u2"), "seg_key")
-    rows = a.join(b, "seg_key").where("f1 < f2 and u1 <> u2").withColumns({"code_a": F.least("u1", "u2"), "code_b": F.greatest("u1", "u2")})
+    rows = spread(a).join(b, "seg_key").where("f1 < f2 and u1 <> u2").withColumns({"code_a": F.least("u1", "u2"), "code_b": F.greatest("u1", "u2")})
     first = rows.groupBy("code_a", "code_b").agg(F.min(F.struct("f1", "f2")).alias("p"))
     own = rows.join(first, ["code_a", "code_b"]).where("p.f1 = f1 and p.f2 = f2")
     middle = own.groupBy("code_a", "code_b", "f1", "f2").agg(

@@ -52,3 +52,8 @@ def test_methods(spark, tmp_path):
 def test_exterior_vertices(spark, tmp_path, scale, q):
     got = topology.exterior_vertices(squares(spark, tmp_path, scale), q)
     assert joins(got) == (1, 0) and {tuple(r) for r in got.collect()} == {(x, y) for x in (0, 200) for y in (0, 100)}
+
+
+def test_contacts(spark, tmp_path):
+    got = topology.contacts(squares(spark, tmp_path), "unit")
+    assert joins(got)[0] > 0 and [(r["code_a"], r["code_b"], r["length"], r["vertices"]) for r in got.collect()] == [("U0", "U1", 1.0, 2)]

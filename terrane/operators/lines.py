@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import end_azimuth, length_in, line_length, line_mid_latitude
-from terrane.operators.graphs import cut
+from terrane.operators.graphs import cut, discard
 from terrane.operators.spatial import close_pairs
 
 
@@ -149,14 +149,20 @@ def _matches(pairs: DataFrame) -> DataFrame:
     while True:
         left = both.count()
         if not left:
+            discard(both)
             return done if done is not None else pairs.select(*names).where("false")
         dealt = cut(both.repartitionByRange(max(1, -(-left // PAIRS_TOGETHER)), "own").withColumn("block", F.spark_partition_id()))
         lines_ = dealt.groupBy("own").agg(F.max("other").alias("last"), F.min("block").alias("of"))
         held = dealt.join(lines_.select(F.col("own").alias("other"), "last", "of"), "other").withColumn("inside", F.col("of") == F.col("block"))
         took = cut(held.groupBy("block").applyInPandas(_settle_pairs, "fid1 long, end1 string, fid2 long, end2 string"))
-        done = took if done is None else cut(done.union(took))
         gone = took.select(F.explode(F.array("fid1", "fid2")).alias("fid"))
-        both = cut(both.join(gone, F.col("own") == F.col("fid"), "left_anti").join(gone, F.col("other") == F.col("fid"), "left_anti"))
+        before, both = both, cut(both.join(gone, F.col("own") == F.col("fid"), "left_anti").join(gone, F.col("other") == F.col("fid"), "left_anti"))
+        discard(dealt, before)
+        if done is None:
+            done = took
+        else:
+            old, done = done, cut(done.union(took))
+            discard(old, took)
 
 
 def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join_angle: float = 150.0, most_passes: int | None = None) -> DataFrame:
@@ -167,14 +173,16 @@ def merge_lines(df: DataFrame, distance: float = 10.0, angle: float = 30.0, join
     for turn in itertools.count():
         pairs = cut(merge_candidates(now, distance, angle, join_angle))
         if not pairs.take(1):
+            discard(pairs)
             break
         if turn == most_passes:
             raise RuntimeError(f"lines are left to merge after {most_passes} passes")
-        chosen = cut(_matches(pairs))
+        chosen = _matches(pairs)
         g1, g2 = now.select(F.col("fid").alias("fid1"), F.col("geom").alias("g1"), F.col("members").alias("m1")), now.select(F.col("fid").alias("fid2"), F.col("geom").alias("g2"), F.col("members").alias("m2"))
         joined = chosen.join(g1, "fid1").join(g2, "fid2").select(F.col("fid1").alias("fid"), join_lines(F.col("g1"), F.col("end1"), F.col("g2"), F.col("end2")).alias("geom"), F.concat("m1", "m2").alias("members"))
         gone = chosen.select(F.explode(F.array("fid1", "fid2")).alias("fid"))
-        now = cut(now.join(gone, "fid", "left_anti").union(joined))
+        before, now = now, cut(now.join(gone, "fid", "left_anti").union(joined))
+        discard(before, pairs, chosen)
     return now
 
 

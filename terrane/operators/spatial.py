@@ -165,9 +165,18 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | Non
     return hits.where("n % 2 = 1").select("pid", "fid")
 
 
+#: Rows of b that a row of a may be compared with, about, when close_pairs takes cells wider than the radius.
+COMPARED = 16
+
+
 def close_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs of rows of a (id_a, xa, ya) and b (id_b, xb, yb) within radius of each other."""
-    near = b.withColumn("dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    near = spread(near.withColumns({"bx": bucket(F.col("xb"), radius) + F.col("dx"), "by": bucket(F.col("yb"), radius) + F.col("dy")}).drop("dx", "dy"))
-    own = a.withColumns({"bx": bucket(F.col("xa"), radius), "by": bucket(F.col("ya"), radius)})
+    """Pairs of rows of a (id_a, xa, ya) and b (id_b, xb, yb) within radius of each other. Rows of b go to each cell
+    within radius; where they are sparse cells are wider than the radius, so that few rows go to several."""
+    n, wide, high = b.agg(F.count("*"), F.max("xb") - F.min("xb"), F.max("yb") - F.min("yb")).first()
+    dense = n * radius * radius / max((wide or 0.0) * (high or 0.0), radius * radius)
+    cell = next((k for k in (8, 4, 2) if (k + 2) ** 2 * dense <= COMPARED), 1) * radius
+    margin = radius * (1 + 1e-6)  # the exact distance is tested later
+    reach = lambda c: F.explode(F.sequence(bucket(F.col(c) - margin, cell), bucket(F.col(c) + margin, cell)))
+    near = spread(b.withColumn("bx", reach("xb")).withColumn("by", reach("yb")))
+    own = a.withColumns({"bx": bucket(F.col("xa"), cell), "by": bucket(F.col("ya"), cell)})
     return own.join(near, ["bx", "by"]).drop("bx", "by").withColumn("distance", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya"))).where(F.col("distance") <= radius)

@@ -2,7 +2,9 @@
 
 import random
 
-from terrane.operators import lines, spatial
+from pyspark.sql import functions as F
+
+from terrane.operators import lines, offsets, spatial
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -28,3 +30,21 @@ def test_merging_leaves_only_its_result_on_disk(spark):
     got = lines.merge_lines(spark.createDataFrame(rows, f"fid long, geom {RING}"), 1.0)
     assert [sorted(r["members"]) for r in got.collect()] == [list(range(9))]
     assert len(held() - before) == 1
+
+
+def test_units_of_probes_in_features_of_few_and_many_sides(spark):
+    """A square with a hole and a round feature; probes outside and in the hole have no units."""
+    import math
+
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    disc = [(300 + 90 * math.cos(k * math.pi / 30), 90 * math.sin(k * math.pi / 30)) for k in range(60)]
+    rows = [(1, box(-100.0, -100.0, 100.0, 100.0), "square"), (1, box(-60.0, -10.0, -40.0, 10.0), "square"), (2, [*disc, disc[0]], "round")]
+    polygons = spark.createDataFrame(rows, f"fid long, ring {RING}, unit string")
+    faults = spark.createDataFrame([(7, [(-50.0, 0.0), (320.0, 0.0)]), (8, [(0.0, 150.0), (0.0, 90.0)])], f"fid long, geom {RING}")
+    probes = offsets.probe_points(faults, 5.0)
+    units = polygons.dropDuplicates(["fid"]).select("fid", "unit")
+    inside = spatial.points_in_polygons(probes.select(F.struct("fid", "location", "side").alias("pid"), "x", "y"), polygons)
+    want = {(r["pid"]["fid"], r["pid"]["location"], r["pid"]["side"], r["unit"]) for r in inside.join(units, "fid").collect()}
+    assert want == {(7, "end", "side1", "round"), (7, "end", "side2", "round"), (8, "end", "side1", "square"), (8, "end", "side2", "square")}
+    found = offsets.units_inside(probes, polygons.where("ring[0].x <> -60"), ["unit"])
+    assert {(r["fid"], r["location"], r["side"], r["unit"]) for r in found.collect()} == want | {(7, "start", s, "square") for s in ("side1", "side2")}

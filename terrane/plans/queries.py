@@ -323,7 +323,7 @@ def _offset(spark, d):
 
 @query
 def so_offset_level(spark, d):
-    probes = offsets.with_units(offsets.probe_points(X.lines(spark, d)), X.polygons(spark, d), STRATA)
+    probes = offsets.units_inside(offsets.probe_points(X.lines(spark, d)), X.polygons(spark, d), STRATA)
     return offsets.location_offsets(probes, STRATA).select("fid", "location", "offset_level", F.concat_ws(",", "side1_units").alias("side1_units"), F.concat_ws(",", "side2_units").alias("side2_units"))
 
 
